@@ -62,14 +62,15 @@ def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, target: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about target bytes of text each; a document is never cut."""
+def pieces(batch: pa.RecordBatch, column: str, target: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about target bytes of text each, and at most so many
+    rows; a document is never cut."""
     at = batch.schema.get_field_index(column)
     _, offs = bytes_of(batch.column(at))
     lo = 0
     while lo < batch.num_rows:
         hi = int(np.searchsorted(offs, offs[lo] + target, "right")) - 1
-        hi = min(max(hi, lo + 1), batch.num_rows)
+        hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
