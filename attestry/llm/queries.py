@@ -10,6 +10,7 @@ from attestry.llm.decontam import find_contamination
 from attestry.llm.exactdedup import exact_dedup
 from attestry.llm.jaccard import jaccard_join
 from attestry.llm.linededup import line_dedup
+from attestry.llm.packing import pack
 from attestry.llm.quality import quality_filter
 from attestry.llm.suffixdedup import find_repeats
 
@@ -26,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), score_as="quality_score")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
