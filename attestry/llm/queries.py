@@ -11,9 +11,11 @@ from attestry.llm.exactdedup import exact_dedup
 from attestry.llm.jaccard import jaccard_join
 from attestry.llm.linededup import line_dedup
 from attestry.llm.packing import pack
+from attestry.llm.pii import find_identifiers
 from attestry.llm.quality import quality_filter
 from attestry.llm.suffixdedup import find_repeats
 from attestry.llm.urlfilter import url_filter
+from attestry.llm.warc import salvage_pages
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage_pages(read(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -52,15 +58,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_identifiers(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_warc_salvage": op5_warc_salvage,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii_deobfuscation": op10_pii_deobfuscation,
 }
 
 ORACLE: dict[str, str] = {
