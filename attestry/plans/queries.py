@@ -4,7 +4,345 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attestry.functions import llmjson, text
+from attestry.operators import chunking, dataset, parsing, scoring
+
+#: White space of attestry.functions.text as RE2 writes it.
+WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+NORM = f"lower(regexp_replace(coalesce(%s, ''), '{WS}+', '', 'g'))"
+ANSWER = NORM % r"regexp_replace(regexp_replace(coalesce(%s, ''), '【\d+】|\[\d+\]|\(\d+\)', '', 'g'), '(\d+)\.0+(%%|[^\d]|$)', '\1\2', 'g')"
+COMPACT = f"regexp_replace({ANSWER}, '[{WS[1:-1]}，。；;：:、！!？?（）()\\[\\]【】《》“”\"''`·\\-—/\\\\]+', '', 'g')"
+TRIM = f"regexp_replace(%s, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def norm(x: str) -> str:
+    return NORM % x
+
+
+def compact(x: str) -> str:
+    return COMPACT % x
+
+
+def trim(x: str) -> str:
+    return TRIM % x
+
+
+def match(h: str, q: str) -> str:
+    return f"({h} <> '' AND {q} <> '' AND (contains({h}, CASE WHEN length({q}) >= 24 THEN left({q}, 24) ELSE {q} END) OR contains({q}, {h})))"
+
+
+def covered(p: str, a: str) -> str:
+    chars = f"list_filter(string_split({a}, ''), lambda x: regexp_full_match(x, '[\\p{{Han}}A-Za-z0-9]'))"
+    return f"""CASE WHEN {a} = '' THEN false WHEN contains({p}, {a}) THEN true WHEN length({a}) <= 6 THEN false
+        ELSE coalesce(len({chars}) > 0 AND len(list_filter({chars}, lambda x: contains({p}, x)))::DOUBLE / len({chars}) >= 0.72, false) END"""
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"SELECT doc_id, {norm('text')} AS norm FROM documents")
+def normalize_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", text.normalize_text("text").alias("norm"))
+
+
+@query(f"SELECT conv_id, turn, {compact('text')} AS compact FROM conversations")
+def normalize_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").select("conv_id", "turn", text.compact_answer("text").alias("compact"))
+
+
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's turn as the answer that the assistant's next turn is to cover."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    d = read(spark, sf, "conversations").withColumn("prediction", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w))
+    return d.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", "prediction", F.split("text", " ").alias("words"), F.array("text").alias("answers"))
+
+
+ANSWERED = f"""answered AS (SELECT conv_id, turn, prediction, text AS answer FROM (
+    SELECT *, lead(text) OVER w AS prediction, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    WHERE role = 'user' AND next_role = 'assistant'),
+  forms AS (SELECT *, {compact(ANSWER % 'prediction')} AS p, {compact(ANSWER % 'answer')} AS a FROM answered),
+  ruled AS (SELECT *, {covered('p', 'a')} AS rule FROM forms)"""
+
+
+@query(f"WITH {ANSWERED} SELECT conv_id, turn, rule AS correct FROM ruled")
+def rule_answer_correct(spark: SparkSession, sf: str) -> DataFrame:
+    return answered(spark, sf).select("conv_id", "turn", text.answer_correct("prediction", "answers").alias("correct"))
+
+
+@query(f"""WITH {ANSWERED} SELECT r.conv_id, r.turn, r.rule OR coalesce(l.quality = 1, false) AS answer_correct,
+    CASE WHEN r.rule THEN 'rule' ELSE 'model_judge' END AS answer_judge_method FROM ruled r LEFT JOIN labels l ON l.doc_id = r.conv_id""")
+def score_with_judge(spark: SparkSession, sf: str) -> DataFrame:
+    judged = read(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), (F.col("quality") == 1).alias("correct"), F.lit("recorded").alias("reason"))
+    return scoring.score_answers(answered(spark, sf), judged, ("conv_id",)).select("conv_id", "turn", "answer_correct", "answer_judge_method")
+
+
+PAIRS = f"""d AS MATERIALIZED (SELECT doc_id, source, {norm('text')} AS h FROM documents), b AS MATERIALIZED (SELECT item_id, {norm('text')} AS q FROM benchmark),
+  pairs AS MATERIALIZED (SELECT item_id, doc_id FROM d JOIN b ON {match('h', 'q')})"""
+
+
+@query(f"WITH {PAIRS} SELECT item_id, doc_id FROM pairs")
+def evidence_match_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.match_pairs(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), "text", "quote").select("item_id", "doc_id")
+
+
+def hits(spark: SparkSession, sf: str, platform: str) -> DataFrame:
+    """Up to 20 ranked documents for each item: those that hold it, and the first 20 of
+    one source; by id on platform a, the other way on b."""
+    docs, items = read(spark, sf, "documents").select("doc_id", "source", "text"), read(spark, sf, "benchmark")
+    few = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 20").select("doc_id", "source")
+    near = items.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")).join(few, "source").select("item_id", "doc_id")
+    both = evidence_match_pairs(spark, sf).unionByName(near).distinct()
+    order = F.col("doc_id").asc() if platform == "a" else F.col("doc_id").desc()
+    return scoring.top_k(scoring.ranked(both, "item_id", order), 20).withColumn("platform", F.lit(platform))
+
+
+def hits_sql(order: str, name: str) -> str:
+    return f"""{name} AS (SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id {order}) AS rank FROM (
+      SELECT item_id, doc_id FROM pairs UNION SELECT b.item_id, s.doc_id FROM b JOIN (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM d) s
+      ON s.rn <= 20 AND s.source = 'src' || (b.item_id % 20))) WHERE rank <= 20)"""
+
+
+def results(spark: SparkSession, sf: str, platform: str = "a") -> DataFrame:
+    """Result rows of all items. The matching runs where documents meet items once;
+    an answer counts where the first matching document has a label."""
+    pairs = evidence_match_pairs(spark, sf).withColumn("hit", F.lit(True))
+    h = hits(spark, sf, platform).join(pairs, ["item_id", "doc_id"], "left")
+    per = h.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.min_by("doc_id", F.when(F.col("hit"), F.col("rank"))).alias("doc"))
+    all_ = read(spark, sf, "benchmark").select("item_id").join(per, "item_id", "left")
+    m = scoring.measures(F.when(F.col("first").isNotNull(), 1).otherwise(0), F.col("first"), F.lit(1), F.coalesce("n", F.lit(0)))
+    label = read(spark, sf, "labels").select(F.col("doc_id").alias("doc"), (F.col("quality") == 1).alias("answer_correct"))
+    doc = F.when(F.col("first").isNotNull(), F.col("doc"))
+    return all_.select("item_id", m.alias("retrieval"), doc.alias("doc")).join(label, "doc", "left").withColumn("answer_judge_method", F.when(F.col("answer_correct"), "rule").otherwise("mimo_answer_error"))
+
+
+def results_sql(name: str, h: str) -> str:
+    return f"""{name} AS (SELECT b.item_id, first IS NOT NULL AS hit, (first IS NOT NULL)::INT::DOUBLE AS recall, CASE WHEN coalesce(n, 0) > 0 THEN (first IS NOT NULL)::INT / n::DOUBLE ELSE 0 END AS prec,
+      coalesce(1.0 / first, 0)::DOUBLE AS rr, first, coalesce(n, 0) AS n, l.quality = 1 AS ok FROM b LEFT JOIN (
+        SELECT h.item_id, count(*) AS n, min(CASE WHEN p.doc_id IS NOT NULL THEN rank END) AS first, arg_min(h.doc_id, CASE WHEN p.doc_id IS NOT NULL THEN rank END) AS doc
+        FROM {h} h LEFT JOIN pairs p USING (item_id, doc_id) GROUP BY 1) x USING (item_id) LEFT JOIN labels l ON l.doc_id = CASE WHEN first IS NOT NULL THEN doc END)"""
+
+
+RESULTS_A = f"WITH {PAIRS}, {hits_sql('ASC', 'ha')}, {results_sql('ra', 'ha')}"
+SUMMARY = """count(*) AS total, coalesce(avg(hit::INT), 0)::DOUBLE AS evidence_hit_rate, coalesce(avg(recall), 0)::DOUBLE AS evidence_recall, coalesce(avg(rr), 0)::DOUBLE AS mrr,
+  coalesce(count(*) FILTER (ok)::DOUBLE / nullif({total}, 0), 0) AS qa_accuracy, count(*) FILTER (ok) AS qa_correct, {total} AS qa_total, {more} coalesce(avg(n), 0)::DOUBLE AS avg_retrieved_count"""
+FULL = SUMMARY.format(total="count(ok)", more="count(*) FILTER (NOT ok) AS qa_answer_errors, 0::BIGINT AS qa_quota_errors,")
+
+
+@query(RESULTS_A + " SELECT item_id, hit AS evidence_hit, recall AS evidence_recall, round(prec, 9) AS evidence_precision, round(rr, 9) AS mrr, first AS first_evidence_rank, n AS retrieved_count FROM ra")
+def retrieval_metrics_per_item(spark: SparkSession, sf: str) -> DataFrame:
+    r = results(spark, sf).select("item_id", "retrieval.*")
+    return r.withColumn("evidence_precision", F.round("evidence_precision", 9)).withColumn("mrr", F.round("mrr", 9))
+
+
+def rounded(d: DataFrame) -> DataFrame:
+    return d.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes])
+
+
+def round_sql(body: str, source: str) -> str:
+    return f" SELECT * REPLACE (round(evidence_hit_rate, 9) AS evidence_hit_rate, round(evidence_recall, 9) AS evidence_recall, round(mrr, 9) AS mrr, round(qa_accuracy, 9) AS qa_accuracy, round(avg_retrieved_count, 9) AS avg_retrieved_count) FROM (SELECT {body} FROM {source})"
+
+
+@query(RESULTS_A + round_sql(FULL, "ra"))
+def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scoring.summarize(results(spark, sf)))
+
+
+@query(RESULTS_A + round_sql(SUMMARY.format(total="count(*)", more=""), "ra"))
+def flat_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scoring.summarize(results(spark, sf), flat=True))
+
+
+def compared(spark: SparkSession, sf: str) -> DataFrame:
+    both = results(spark, sf, "a").withColumn("platform", F.lit("a")).unionByName(results(spark, sf, "b").withColumn("platform", F.lit("b")))
+    return scoring.compare(scoring.summarize(both, "platform").withColumn("ord", F.when(F.col("platform") == "a", 0).otherwise(1)))
+
+
+COMPARE = f"""WITH {PAIRS}, {hits_sql('ASC', 'ha')}, {results_sql('ra', 'ha')}, {hits_sql('DESC', 'hb')}, {results_sql('rb', 'hb')},
+  s AS (SELECT 'a' AS platform, 0 AS ord, {FULL} FROM ra UNION ALL SELECT 'b', 1, {FULL} FROM rb),
+  c AS (SELECT platform, ord, floor(qa_accuracy * 10000 + 0.5) / 100 AS qa_accuracy_percent, qa_correct, qa_total, floor(evidence_hit_rate * 10000 + 0.5) / 100 AS evidence_hit_rate_percent,
+    floor(evidence_recall * 10000 + 0.5) / 100 AS evidence_recall_percent, floor(mrr * 10000 + 0.5) / 10000 AS mrr, floor(avg_retrieved_count * 100 + 0.5) / 100 AS avg_retrieved_count FROM s)"""
+
+
+@query(COMPARE + " SELECT * FROM c")
+def platform_compare(spark: SparkSession, sf: str) -> DataFrame:
+    return compared(spark, sf)
+
+
+@query(COMPARE + " SELECT * FROM c ORDER BY qa_accuracy_percent DESC, ord LIMIT 1")
+def platform_winner(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.winner(compared(spark, sf))
+
+
+@query(f"WITH {PAIRS}, {hits_sql('ASC', 'ha')}, {results_sql('ra', 'ha')}, {hits_sql('DESC', 'hb')}, {results_sql('rb', 'hb')} SELECT item_id AS id, ra.ok AS correct_a, rb.ok AS correct_b FROM ra FULL JOIN rb USING (item_id)")
+def question_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.question_diff(*(results(spark, sf, p).withColumnRenamed("item_id", "id") for p in "ab"))
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(""" + trim(r"regexp_replace(regexp_replace(replace(replace(text, chr(10), chr(10) || chr(10)), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')") + rf""", '\n{WS}*\n'),
+    lambda x: {trim('x')}), lambda x: x <> '') AS ps FROM documents),
+  f AS (SELECT doc_id, ps, 1 AS i, ps[1] AS now, NULL::VARCHAR AS out FROM p WHERE len(ps) > 0
+    UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(now) + length(ps[i + 1]) + 2 <= 1800 THEN now ELSE right(now, 180) END || chr(10) || chr(10) || ps[i + 1],
+      CASE WHEN length(now) + length(ps[i + 1]) + 2 <= 1800 THEN NULL ELSE now END FROM f WHERE i < len(ps)),
+  e AS (SELECT doc_id, i, 0 AS last, out FROM f WHERE out IS NOT NULL UNION ALL SELECT doc_id, i, 1, now FROM f WHERE i = len(ps))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, last) - 1 AS chunk_no, out AS chunk FROM e""")
+def corpus_split(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_corpus(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("chunk_no", "chunk"))
+
+
+def removed(x: str, keep: str) -> str:
+    return f"length(regexp_replace({x}, '{keep}', '', 'g'))"
+
+
+@query(r"""SELECT doc_id, dense AS dense_tokens, greatest(dense, -((-(150 * cjk + 130 * words + 100 * numbers)) // 100))::INT AS tokens FROM (
+    SELECT doc_id, cjk, words, numbers, ceil((150 * cjk + 45 * alnum + 80 * (asc_ - asc_ws - alnum) + 100 * (length(text) - asc_ - cjk - (ws - asc_ws))) / 100.0)::INT AS dense FROM (
+    SELECT doc_id, text, """ + ", ".join(f"{removed('text', f'[^{k[1:-1]}]')} AS {n}" for n, k in (("cjk", r"[\x{4E00}-\x{9FFF}]"), ("alnum", "[A-Za-z0-9]"), ("asc_", r"[\x00-\x7F]"), ("asc_ws", r"[\t\n\x0B\f\r ]"), ("ws", WS))) + r""",
+      len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS words, len(regexp_extract_all(text, '\d+(?:[.,:/_-]\d+)*')) AS numbers FROM documents))""")
+def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", text.estimate_dense_tokens("text").alias("dense_tokens"), text.estimate_tokens("text").alias("tokens"))
+
+
+STRIPPED = "html"
+for pattern in (r"<style[\s\S]*?</style>", r"<script[\s\S]*?</script>", "<[^>]+>"):
+    STRIPPED = f"regexp_replace({STRIPPED}, '(?is){pattern}', ' ', 'g')"
+for entity, to in (("&nbsp;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''")):
+    STRIPPED = f"replace({STRIPPED}, '{entity}', {to})"
+
+
+@query("SELECT page_id, " + trim(rf"regexp_replace(regexp_replace(replace({STRIPPED}, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')") + " AS text FROM pages")
+def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", text.html_to_text("html").alias("text"))
+
+
+@query(f"""SELECT doc_id AS ord, pos, quote FROM (SELECT *, row_number() OVER (PARTITION BY {norm('quote')} ORDER BY doc_id, pos) AS rn FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS quote, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE {norm('quote')} <> '') WHERE rn = 1""")
+def fallback_corpus_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.distinct_quotes(read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.split("text", "\n").alias("quotes"))).select("ord", "pos", "quote")
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def id_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", "text").join(read(spark, sf, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT item_id AS id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)")
+def missing_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.missing_ids(read(spark, sf, "labels").select(F.col("doc_id").alias("id")), read(spark, sf, "benchmark").select(F.col("item_id").alias("id")))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, left(sha256(text), 2) || '/' || sha256(text) AS cache, sha1('corpus::' || doc_id || '::1') AS chunk_id FROM documents")
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    sha = parsing.digest("text")
+    return read(spark, sf, "documents").select("doc_id", sha.alias("digest"), parsing.cache_path(sha).alias("cache"), parsing.stable_id(F.lit("corpus"), "doc_id", F.lit(1)).alias("chunk_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN b <= a OR len(p) = 0 THEN '' WHEN list_min(p) = list_max(p) THEN list_min(p)::VARCHAR ELSE list_min(p) || '-' || list_max(p) END AS page FROM (
+    SELECT doc_id, n_chars // 4 AS a, n_chars // 2 AS b, list_filter(range(1, n_chars // 1000 + 2), lambda k: k * 1000 > n_chars // 4 AND (k - 1) * 1000 < n_chars // 2) AS p FROM documents)""")
+def page_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    spans = F.transform(F.sequence(F.lit(1), F.floor(F.col("n_chars") / 1000) + 1), lambda k: F.struct(k.alias("page"), ((k - 1) * 1000).alias("start"), (k * 1000).alias("end")))
+    return read(spark, sf, "documents").select("doc_id", parsing.page_value(spans, F.floor(F.col("n_chars") / 4), F.floor(F.col("n_chars") / 2)).alias("page"))
+
+
+@query("""WITH h AS (SELECT doc_id, unnest(range(150, n_chars + 150, 700)) AS at FROM documents)
+  SELECT d.doc_id, coalesce(max(h.at) FILTER (h.at <= d.n_chars // 3), 0) AS section_start, coalesce(min(h.at) FILTER (h.at > d.n_chars // 3), any_value(d.n_chars)) AS section_end
+  FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""")
+def section_asof(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_chars")
+    b = parsing.section_bounds(F.sequence(F.lit(150).cast("long"), F.greatest(n + 149, F.lit(150)), F.lit(700).cast("long")), F.floor(n / 3), n)
+    return read(spark, sf, "documents").select("doc_id", b.alias("b")).select("doc_id", "b.*")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
+def json_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """props wrapped in fences and prose, with a comma too many."""
+    broken = F.concat(F.lit("```json\nHere it is: {not it} "), F.regexp_replace("props", r"\}\s*$", ",}"), F.lit(" and more\n```"))
+    o = llmjson.extract_object(broken)
+    key = F.get(F.json_object_keys("props"), F.lit(0))
+    return read(spark, sf, "events").select("event_id", "props", o.alias("o")).select("event_id", F.element_at(F.from_json("o", "map<string,string>"), key).alias("value"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+  f AS (SELECT source, doc_id, rn, 0 AS batch, 1 AS c, n_chars AS t FROM r WHERE rn = 1
+    UNION ALL SELECT r.source, r.doc_id, r.rn, CASE WHEN f.c >= 50 OR f.t + r.n_chars > 65536 THEN f.batch + 1 ELSE f.batch END,
+      CASE WHEN f.c >= 50 OR f.t + r.n_chars > 65536 THEN 1 ELSE f.c + 1 END, CASE WHEN f.c >= 50 OR f.t + r.n_chars > 65536 THEN r.n_chars ELSE f.t + r.n_chars END
+      FROM f JOIN r ON r.source = f.source AND r.rn = f.rn + 1)
+  SELECT source, doc_id, batch FROM f""")
+def batch_grouping(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.group_batches(read(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", limit=65536).select("source", "doc_id", "batch")
+
+
+@query("""SELECT doc_id, o AS page_offset, (o // 5 + 1)::INT AS part, o + 1 AS first_page, least(o + 5, pages) AS last_page FROM (
+    SELECT doc_id, pages, unnest(range(0, pages, 5)) AS o FROM (SELECT doc_id, n_chars // 100 + 1 AS pages FROM documents))""")
+def page_parts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", (F.floor(F.col("n_chars") / 100) + 1).cast("long").alias("pages"))
+    return parsing.page_parts(docs, most=5).select("doc_id", F.col("page_offset").cast("long"), "part", F.col("first_page").cast("long"), "last_page")
+
+
+@query("""SELECT source AS doc, string_agg('<!-- source: ' || source || '; pages: ' || n_chars || '; part: ' || rn || '/' || n || ' -->' || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY rn) AS markdown FROM (
+    SELECT source, n_chars, """ + trim("left(text, 80)") + """ AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE doc_id % 10 = 0) GROUP BY 1""")
+def merge_parts(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("source")
+    d = read(spark, sf, "documents").where("doc_id % 10 = 0").select(F.col("source").alias("doc"), F.col("n_chars").alias("pages"), F.left("text", F.lit(80)).alias("markdown"), F.row_number().over(w.orderBy("doc_id")).alias("part"), F.count(F.lit(1)).over(w).alias("of"))
+    return parsing.merge_parts(d)
+
+
+@query()
+def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document with a heading before every fourth line."""
+    lines = F.split("text", "\n")
+    md = F.array_join(F.transform(lines, lambda l, i: F.when(i % 4 == 0, F.concat(F.lit("## Part "), (i / 4).cast("int").cast("string"), F.lit("\n\n"), l)).otherwise(l)), "\n\n")
+    spans = "array<struct<page:int,start:int,end:int>>"
+    docs = read(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc"), md.alias("text"), F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.length(md).alias("end"))).cast(spans).alias("page_spans"), F.lit(None).cast("array<struct<type:string,start:int,end:int,page:int,title:string>>").alias("semantic_spans"))
+    return chunking.markdown_chunks(docs, "corpus")
+
+
+@query("""SELECT user_id, event_type AS state, n FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id) AS n,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def latest_job_state(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events")
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 80")
+def report_top80(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(80)
+
+
+@query("""SELECT item_id AS id, 'Q ' || item_id AS query, CASE item_id % 3 WHEN 0 THEN ['a ' || item_id] WHEN 1 THEN ['x', 'y', 'z'] ELSE [item_id::VARCHAR] END AS answer,
+    CASE WHEN item_id % 2 = 0 THEN [""" + trim("text") + """] ELSE ['p' || item_id] END AS quotes FROM benchmark""")
+def qa_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of JSON in the shapes that datasets have: scalar, nested and number answers;
+    evidence as objects, or only positive."""
+    i = F.col("item_id")
+    answer = F.when(i % 3 == 0, F.concat(F.lit('" a '), i.cast("string"), F.lit(' "'))).when(i % 3 == 1, F.lit('["x", ["y", ["", "z"]]]')).otherwise(i.cast("string"))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    gold = F.when(i % 2 == 0, F.concat(F.lit('"evidence": [{"source_file": "s", "page": "1", "quote": '), quoted, F.lit("}]"))).otherwise(F.concat(F.lit('"evidence": [{"quote": " "}], "positive": ["p'), i.cast("string"), F.lit('"]')))
+    line = F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "query": "Q '), i.cast("string"), F.lit('", "answer": '), answer, F.lit(", "), gold, F.lit("}"))
+    return dataset.canonical(read(spark, sf, "benchmark").select(line.alias("value"), i.alias("ord"))).select("id", "query", "answer", "quotes")
+
+
+@query("""SELECT doc_id, q.quality, reject FROM (SELECT doc_id, quality, CASE WHEN NOT contains(t, a) THEN 'evidence quote is not copied from source chunk'
+    WHEN NOT contains(a, b) THEN 'answers not found in evidence quote: [''' || b || ''']' END AS reject FROM (
+    SELECT d.doc_id, l.quality, text AS t, CASE WHEN d.doc_id % 3 = 0 THEN 'Q' ELSE '' END || left(text, 60) AS a, CASE WHEN d.doc_id % 2 = 0 THEN left(text, 9) ELSE 'nowhere' END AS b FROM documents d JOIN labels l USING (doc_id))) q""")
+def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    i, t = F.col("doc_id"), F.col("text")
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
+    made = d.select(i, "quality", t.alias("chunk"), F.concat(F.when(i % 3 == 0, "Q").otherwise(""), F.left(t, F.lit(60))).alias("quote"), F.array(F.when(i % 2 == 0, F.left(t, F.lit(9))).otherwise("nowhere")).alias("answer"))
+    return dataset.reject_reasons(made).select("doc_id", "quality", "reject")
