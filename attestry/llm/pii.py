@@ -21,7 +21,7 @@ _LOOKS = {
     "a": "аɑα", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡ", "h": "һ", "i": "іιı", "j": "јϳ", "k": "κк", "l": "ӏⅼ", "m": "м", "n": "ո", "o": "оοօσ", "p": "рρ", "q": "ԛ", "r": "г",
     "s": "ѕ", "t": "т", "u": "υս", "v": "νѵ", "w": "ѡԝ", "x": "хχ", "y": "уγү", "z": "ᴢ",
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "-": "‐‑‒–—−﹣", ".": "․。｡", "@": "﹫", " ": "              　",
+    "-": "‐‑‒–—−﹣", ".": "․。｡", "@": "﹫", " ": "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000",
 }
 
 
@@ -41,7 +41,7 @@ def _homoglyphs() -> dict[int, str]:
 
 HOMOGLYPHS = _homoglyphs()
 ODD = re.compile("[" + "".join(re.escape(chr(i)) for i in HOMOGLYPHS) + "]")
-HIDDEN = "­​‌‍⁠﻿"
+HIDDEN = "\u00ad\u180e\u200b\u200c\u200d\u2060\ufeff"
 DIGITS = {w: str(i) for i, ws in enumerate(("zero oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")) for w in ws.split()}
 _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
