@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,6 +170,21 @@ def find_contamination(
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.n")).alias("first_word"), "b.words", "b.matches")
 
 
+def _leaks(shared: Broadcast, masks: tuple[str, ...], window: int, share: float) -> Callable:
+    """Whether find finds anything in a text."""
+
+    @F.arrow_udf("boolean")
+    def leaks(arr: pa.Array) -> pa.Array:
+        out, k, lo = np.zeros(len(arr), bool), Kernel(), 0
+        for part in pieces(pa.record_batch([arr], ["t"]), "t"):
+            for row, *_ in find(shared.value, k, part.column(0), masks, window, share):
+                out[lo + row] = True
+            lo += part.num_rows
+        return pa.array(out)
+
+    return leaks
+
+
 def decontaminate(
     df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
     masks: tuple[str, ...] = MASKS, window: int = 20, share: float = 0.8, floor: int = 5, max_index_mb: int = 64,
@@ -181,15 +197,6 @@ def decontaminate(
     for ids, texts in _slices(benchmark, item_id, item_text, max_index_mb):
         shared = df.sparkSession.sparkContext.broadcast(build_index(ids, texts, masks, floor))
 
-        @F.arrow_udf("boolean")
-        def leaks(arr: pa.Array, shared=shared) -> pa.Array:
-            out, k, lo = np.zeros(len(arr), bool), Kernel(), 0
-            for part in pieces(pa.record_batch([arr], ["t"]), "t"):
-                for row, *_ in find(shared.value, k, part.column(0), masks, window, share):
-                    out[lo + row] = True
-                lo += part.num_rows
-            return pa.array(out)
-
         flag = fresh(df, "__leaks")
-        df = df.withColumn(flag, leaks(F.coalesce(col(text), F.lit("")))).where(~F.col(flag)).drop(flag)
+        df = df.withColumn(flag, _leaks(shared, masks, window, share)(F.coalesce(col(text), F.lit("")))).where(~F.col(flag)).drop(flag)
     return df
