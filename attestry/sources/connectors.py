@@ -187,7 +187,7 @@ def chat(df: DataFrame, messages: Column | str, out: str, provider: Provider, bu
     each row; messages is JSON. parallel bounds the requests of a task at a time."""
     from pyspark.sql import types as T
 
-    ready = df.withColumn("__messages", c(messages))
+    ready, names = df.withColumn("__messages", c(messages)), df.columns
     schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.StringType()) for x in (out, "error", "error_kind"))])
 
     def ask(m: str | None) -> tuple[str | None, str | None, str | None]:
@@ -202,8 +202,8 @@ def chat(df: DataFrame, messages: Column | str, out: str, provider: Provider, bu
         with ThreadPoolExecutor(parallel) as pool:
             for b in batches:
                 got = list(pool.map(ask, b.column("__messages").to_pylist()))
-                cols = [b.column(x) for x in df.columns] + [pa.array(list(x), pa.string()) for x in (zip(*got) if got else ((), (), ()))]
-                yield pa.record_batch(cols, [*df.columns, out, "error", "error_kind"])
+                cols = [b.column(x) for x in names] + [pa.array(list(x), pa.string()) for x in (zip(*got) if got else ((), (), ()))]
+                yield pa.record_batch(cols, [*names, out, "error", "error_kind"])
 
     return ready.mapInArrow(run, schema)
 
