@@ -76,7 +76,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op6_jaccard_join": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS gs FROM w WHERE len(ws) > 0),
+        s AS (SELECT doc_id, gs, len(gs)::INT AS n, min(doc_id) OVER (PARTITION BY gs) AS rep FROM g),
+        r AS (SELECT rep, unnest(gs) AS x, n FROM s WHERE doc_id = rep),
+        p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, count(*)::INT AS overlap, any_value(a.n) AS size_a, any_value(b.n) AS size_b FROM r a JOIN r b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2)
+        SELECT rep AS doc_a, doc_id AS doc_b, n AS overlap, n AS size_a, n AS size_b, 1.0::DOUBLE AS jaccard FROM s WHERE doc_id <> rep
+        UNION ALL SELECT doc_a, doc_b, overlap, size_a, size_b, overlap::DOUBLE / (size_a + size_b - overlap) FROM p WHERE overlap >= 0.6 * (size_a + size_b - overlap) - 1e-9""",
     "op8_exact_dedup": """
         SELECT * FROM documents
         WHERE text IS NULL OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)""",
+    "op9_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+        dw AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+        bw AS (SELECT item_id, len(ws) AS m, least(20, len(ws)) AS k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS q FROM b WHERE len(ws) >= 5),
+        c AS (SELECT doc_id, item_id, p - q AS diag, n, m, k, list(q) AS qs FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) >= 0.8 * k),
+        s AS (SELECT *, unnest(range(greatest(0, -diag), least(m, n - diag) - k + 1)) AS s FROM c),
+        x AS (SELECT doc_id, item_id, k, diag + s AS first_word, len(list_filter(qs, lambda q: q >= s AND q < s + k)) AS matches FROM s)
+        SELECT doc_id, item_id, arg_max(first_word, matches * 1000000000 - first_word)::INT AS first_word, any_value(k)::INT AS words, max(matches)::INT AS matches
+        FROM x WHERE matches >= 0.8 * k GROUP BY doc_id, item_id""",
 }
