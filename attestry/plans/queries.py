@@ -109,7 +109,7 @@ def hits(spark: SparkSession, sf: str, platform: str) -> DataFrame:
     docs, items = read(spark, sf, "documents").select("doc_id", "source", "text"), read(spark, sf, "benchmark")
     few = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 20").select("doc_id", "source")
     near = items.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")).join(few, "source").select("item_id", "doc_id")
-    both = evidence_match_pairs(spark, sf).unionByName(near).distinct()
+    both = evidence_match_pairs(spark, sf).withColumn("hit", F.lit(True)).unionByName(near.withColumn("hit", F.lit(False))).groupBy("item_id", "doc_id").agg(F.max("hit").alias("hit"))
     order = F.col("doc_id").asc() if platform == "a" else F.col("doc_id").desc()
     return scoring.top_k(scoring.ranked(both, "item_id", order), 20).withColumn("platform", F.lit(platform))
 
@@ -123,9 +123,7 @@ def hits_sql(order: str, name: str) -> str:
 def results(spark: SparkSession, sf: str, platform: str = "a") -> DataFrame:
     """Result rows of all items. The matching runs where documents meet items once;
     an answer counts where the first matching document has a label."""
-    pairs = evidence_match_pairs(spark, sf).withColumn("hit", F.lit(True))
-    h = hits(spark, sf, platform).join(pairs, ["item_id", "doc_id"], "left")
-    per = h.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.min_by("doc_id", F.when(F.col("hit"), F.col("rank"))).alias("doc"))
+    per = hits(spark, sf, platform).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.min_by("doc_id", F.when(F.col("hit"), F.col("rank"))).alias("doc"))
     all_ = read(spark, sf, "benchmark").select("item_id").join(per, "item_id", "left")
     m = scoring.measures(F.when(F.col("first").isNotNull(), 1).otherwise(0), F.col("first"), F.lit(1), F.coalesce("n", F.lit(0)))
     label = read(spark, sf, "labels").select(F.col("doc_id").alias("doc"), (F.col("quality") == 1).alias("answer_correct"))
