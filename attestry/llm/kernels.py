@@ -62,7 +62,7 @@ def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, target: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, target: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about target bytes of text each, and at most so many
     rows; a document is never cut."""
     at = batch.schema.get_field_index(column)
