@@ -168,7 +168,7 @@ def by_paragraph(text: str, budget: int, least: int) -> list[str]:
 
 def by_heading(text: str, budget: int, least: int) -> list[str]:
     """Sections of ATX headings; longer ones by paragraph. A section below least is left
-    out where there are chunks already, as the reference format has it."""
+    out where there are chunks already."""
     starts = [m.start() for m in HEADING.finditer(text)]
     if not starts:
         return by_paragraph(text, budget, least)
