@@ -99,6 +99,13 @@ def ratios(p: Features, u: Features, least: int = 40) -> np.ndarray:
     return np.where(cp + cu >= least, r, 0.0)
 
 
+def only(f: Features, number: np.ndarray) -> Features:
+    """The words that have a number, by it."""
+    words = number[f.words]
+    c = np.concatenate([[0], np.cumsum(words >= 0)])
+    return Features(words[words >= 0], c[f.at], f.stats)
+
+
 def fit(p: Features, u: Features, prior: float | None, epochs: int = 6, batch: int = 512, rate: float = 0.1, decay: float = 3e-4, seed: int = 7) -> Model:
     """Linear model by Adam. With a prior, it minimises the non-negative unbiased risk
     prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss: where the
@@ -107,8 +114,13 @@ def fit(p: Features, u: Features, prior: float | None, epochs: int = 6, batch: i
     rng = np.random.default_rng(seed)
     both = np.concatenate([p.stats, u.stats])
     mean, scale = both.mean(0), both.std(0) + 1e-3
-    ratio = ratios(p, u)
-    theta = np.zeros(BUCKETS + 3 * STATS + 1)
+    full = ratios(p, u)
+    # words without a ratio never get a weight: only the others take part
+    active = np.flatnonzero(full)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[active] = np.arange(len(active), dtype=np.int32)
+    p, u, ratio, size = only(p, number), only(u, number), full[active], len(active)
+    theta = np.zeros(size + 3 * STATS + 1)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     step = 0
     np_, nu = len(p.stats), len(u.stats)
@@ -122,7 +134,7 @@ def fit(p: Features, u: Features, prior: float | None, epochs: int = 6, batch: i
             for f, rows in ((p, rp), (u, ru)):
                 w, own, stats = take(f, rows)
                 x = expand(stats, mean, scale)
-                s = np.bincount(own, theta[w] * ratio[w], len(rows)) + x @ theta[BUCKETS:-1] + theta[-1]
+                s = np.bincount(own, theta[w] * ratio[w], len(rows)) + x @ theta[size:-1] + theta[-1]
                 parts.append((w, own, x, s))
             sp, su = parts[0][3], parts[1][3]
             if prior is None:
@@ -137,14 +149,16 @@ def fit(p: Features, u: Features, prior: float | None, epochs: int = 6, batch: i
                     du = -sigmoid(su) / len(su)
             g = decay * theta
             for (w, own, x, _), d in zip(parts, (dp, du)):
-                g[:BUCKETS] += np.bincount(w, d[own] * ratio[w], BUCKETS)
-                g[BUCKETS:-1] += d @ x
+                g[:size] += np.bincount(w, d[own] * ratio[w], size)
+                g[size:-1] += d @ x
                 g[-1] += d.sum()
             step += 1
             m1 += 0.1 * (g - m1)
             m2 += 0.001 * (g * g - m2)
             theta -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return Model((theta[:BUCKETS] * ratio).astype(np.float32), theta[BUCKETS:-1], mean, scale, float(theta[-1]))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[active] = theta[:size] * ratio
+    return Model(weights, theta[size:-1], mean, scale, float(theta[-1]))
 
 
 def best_bin(positive: np.ndarray, unlabelled: np.ndarray, total: int, delta: float = 0.1) -> float:
@@ -171,8 +185,11 @@ def join(parts: list[Features]) -> Features:
 
 
 def pick(f: Features, rows: np.ndarray) -> Features:
-    words, own, stats = take(f, rows)
-    return Features(words, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(rows)))]).astype(np.int64), stats)
+    n = np.diff(f.at)[rows]
+    at = np.concatenate([[0], np.cumsum(n)])
+    index = np.repeat((f.at[rows] - at[:-1]).astype(np.int32), n)
+    index += np.arange(len(index), dtype=np.int32)
+    return Features(f.words[index], at.astype(np.int64), f.stats[rows])
 
 
 EDGES = np.linspace(-12, 12, 481)
@@ -223,12 +240,14 @@ def train(
     words = [np.frombuffer(x, np.int32) for x in got["words"].to_pylist()]
     if not words:
         return Classifier(None, 0.0, 0.0)
-    everything = Features(np.concatenate(words), np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64), np.stack([np.frombuffer(x, np.float32) for x in got["stats"].to_pylist()]))
     # rows come in the order in which tasks end; sums and batches need a fixed one
     tag = np.array([hash((int(x[:8].sum()), len(x))) & 0x7FFFFFFF for x in words])
-    by = np.lexsort((tag, everything.stats[:, 7], everything.stats[:, 6], got["f"].to_numpy()))
+    everything = Features(np.concatenate(words), np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64), np.stack([np.frombuffer(x, np.float32) for x in got["stats"].to_pylist()]))
+    fold, p, u = (got[c].to_numpy() for c in ("f", "p", "u"))
+    del got, words
+    by = np.lexsort((tag, everything.stats[:, 7], everything.stats[:, 6], fold))
     everything = pick(everything, by)
-    fold, p, u = (got[c].to_numpy()[by] for c in ("f", "p", "u"))
+    fold, p, u = fold[by], p[by], u[by]
     fold = np.abs(fold)
     if not p.any() or not u.any():
         return Classifier(None, 0.0, 0.0)
