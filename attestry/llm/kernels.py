@@ -73,6 +73,7 @@ def pieces(batch: pa.RecordBatch, column: str, target: int = 1 << 20, rows: int
         hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 class Kernel:

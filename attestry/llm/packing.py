@@ -62,7 +62,7 @@ def token_counter(path: str, pattern: str):
             c = known.get(x)
             if c is None:
                 c = len(encoding.encode_ordinary(data[a:b].decode("utf-8", "replace")))
-                if len(known) < 1 << 19:  # about 60 MB
+                if len(known) < 1 << 17:  # about 15 MB
                     known[x] = c
             n[i] = c
         each = np.empty(len(starts), np.int64)
