@@ -143,10 +143,16 @@ def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
             for part in pieces(batch, "t"):
                 *_, m, _, _, doc = super_mers(k, part.column(1), min_words)
                 if len(m):
-                    yield pa.record_batch([pa.array(m.view(np.int64)), part.column(0).take(pa.array(doc))], ["m", "h"])
+                    # once a document, so that equal rows don't count as a repetition
+                    order = np.lexsort((m, doc))
+                    m, doc = m[order], doc[order]
+                    new = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])]))
+                    n = np.diff(np.concatenate([new, [len(m)]]))
+                    yield pa.record_batch([pa.array(m[new].view(np.int64)), part.column(0).take(pa.array(doc[new])), pa.array(n > 1)], ["m", "h", "within"])
 
-    found = src.select("h", "t").mapInArrow(minimisers, "m long, h long")
-    again = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("m"))).where("n > 1")
+    found = src.select("h", "t").mapInArrow(minimisers, "m long, h long, within boolean")
+    by_m = Window.partitionBy("m")
+    again = found.withColumn("again", F.max("within").over(by_m) | (F.min("h").over(by_m) != F.max("h").over(by_m))).where("again")
     wanted = again.groupBy("h").agg(F.collect_set("m").alias("ms")).withColumnRenamed("h", "h2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +212,17 @@ def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
 
 def spans(k: Kernel, t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     """Of runs sorted by minimiser, bytes and place: the repeated stretches, by words
-    (w to x) and characters (c to e) of their document, and where the first stands (s)."""
-    t = t.combine_chunks()
+    (w to x) and characters (c to e) of their document, and where the first stands (s).
+    The runs of equal rows stand side by side and count once."""
+    twin = np.ones(t.num_rows, bool)
+    twin[:1] = False
+    for c in ("m", "h", "w"):
+        x = t[c].to_numpy()
+        twin[1:] &= x[1:] == x[:-1]
+    d = t["d"].combine_chunks() if t.num_rows else t["d"]
+    for i in np.flatnonzero(twin).tolist():
+        twin[i] = d[i].as_py() == d[i - 1].as_py()
+    t = (t.filter(pa.array(~twin)) if twin.any() else t).combine_chunks()
     raw, offs = bytes_of(t["raw"])
     h, starts, ends, wo = k.words(raw, offs, blank_lut())
     m = t["m"].to_numpy()

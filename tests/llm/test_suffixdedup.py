@@ -59,6 +59,19 @@ def test_cases(spark):
     assert got(df.limit(0)) == set()
 
 
+def test_equal_rows_are_one_document(spark):
+    alone = " ".join(f"v{i}" for i in range(80))
+    other = " ".join(f"u{i}" for i in range(70))
+    within = " ".join([*(f"t{i}" for i in range(60))] * 2)
+    rows = [(1, alone), (1, alone), (1, alone), (2, other), (3, f"x {other} y"), (3, f"x {other} y"), (4, within), (4, within), (None, alone + " z"), (None, alone + " z")]
+    rows += [(None, " ".join(f"s{i}" for i in range(60)))] * 2
+    want = brute(rows, 50)
+    assert {d for d, *_ in want} == {3, 4, None}
+    df = spark.createDataFrame(rows, DDL)
+    assert got(df) == want
+    assert {r.first_doc_id for r in find_repeats(df).collect() if r.doc_id != 4} == {1, 2}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=30), min_size=1, max_size=6))
 def test_lpf(texts):
