@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from attestry.llm.kernels import STEP, Kernel, U, bytes_of, mix, owners, pieces, word_lut
 from attestry.llm.shared import col, fresh
 
-#: Fixed masks of eight read positions; a 0 ignores the token there. The last,
-#: without a gap, serves items too short for the others.
+#: Fixed masks of eight read positions; a 0 ignores the token there. They serve
+#: items longer than a window; shorter ones have blocks.
 MASKS = ("1101100110101", "1011010011011", "1110010101011", "11111111")
+HITS = 1 << 20  # hits worked on at once
 
 
 class Index(NamedTuple):
@@ -29,7 +30,8 @@ class Index(NamedTuple):
     tokens: np.ndarray
     offs: np.ndarray
     ids: list
-    shorts: tuple
+    masks: tuple
+    short: np.ndarray
     door: np.ndarray
 
 
@@ -51,20 +53,36 @@ def hash_of(mask: str) -> int:
     return int(mask, 2) * 0x9E3779B97F4A7C15 % (1 << 64)
 
 
-def build_index(ids: list, texts: list[str | None], masks: tuple[str, ...], floor: int) -> Index:
-    """Items of fewer than floor tokens are in no seed. Items shorter than every
-    mask get a mask of ones of their own length."""
+def blocks(n: int, share: float) -> list[tuple[int, int]]:
+    """(first word, words) of blocks that part n words: one more than words that may
+    differ, so that one block at least is equal in whatever matches."""
+    parts = min(n, n - int(np.ceil(share * n - 1e-9)) + 1)
+    cuts = [i * n // parts for i in range(parts + 1)]
+    return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
+
+
+def build_index(ids: list, texts: list[str | None], masks: tuple[str, ...], floor: int, window: int = 20, share: float = 0.8) -> Index:
+    """Items of fewer than floor tokens are in no seed. Items of at most window
+    tokens, which match as one window, have a seed for each of their blocks, by which
+    none is missed; longer items have one wherever a mask fits."""
     k = Kernel()
     text, offs = bytes_of(pc.utf8_lower(pa.array(texts, pa.large_string())))
     h, _, _, wo = k.words(text, offs, word_lut())
     lengths = np.diff(wo)
-    least = min(map(len, masks))
-    shorts = tuple(sorted({int(n) for n in lengths if floor <= n < least}))
+    short = lengths <= window
+    of: dict[int, list[np.ndarray]] = {}
+    for n in np.unique(lengths[short & (lengths >= max(floor, 1))]).tolist():
+        first = wo[:-1][lengths == n]
+        for x, size in blocks(n, share):
+            of.setdefault(size, []).append(first + x)
     own = owners(wo)
-    seed, item, at = [], [], []
-    for mask in (*masks, *("1" * n for n in shorts)):
+    seed, item, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    every = tuple(dict.fromkeys((*masks, *("1" * n for n in sorted(of)))))
+    for mask in every:
         p, g = seeds(h, wo, mask)
-        good = lengths[own[p]] >= floor if len(mask) >= least else lengths[own[p]] == len(mask)
+        good = ~short[own[p]] & (lengths[own[p]] >= floor) if mask in masks else np.zeros(len(p), bool)
+        if "0" not in mask and len(mask) in of:
+            good |= np.isin(p, np.concatenate(of[len(mask)]))
         p, g = p[good], g[good]
         seed.append(g), item.append(own[p]), at.append(p - wo[own[p]])
     seed, item, at = np.concatenate(seed), np.concatenate(item), np.concatenate(at)
@@ -72,33 +90,53 @@ def build_index(ids: list, texts: list[str | None], masks: tuple[str, ...], floo
     seed = seed[order]
     door = np.zeros(1 << 22, bool)
     door[(seed & U((1 << 22) - 1)).astype(np.int64)] = True
-    return Index(seed, item[order], at[order], h, wo, list(ids), shorts, door)
+    return Index(seed, item[order], at[order], h, wo, list(ids), every, short, door)
 
 
-def find(ix: Index, k: Kernel, arr: pa.Array, masks: tuple[str, ...], window: int, share: float) -> list[tuple[int, int, int, int, int]]:
+def find(ix: Index, k: Kernel, arr: pa.Array, window: int, share: float) -> list[tuple[int, int, int, int, int]]:
     """(row, item, first word, words, matches): of each text and item the best
     window, wherever at least share of its tokens agree on one diagonal."""
     text, offs = bytes_of(pc.utf8_lower(arr))
     h, _, _, wo = k.words(text, offs, word_lut())
     if not len(h) or not len(ix.seed):
         return []
-    own = owners(wo)
-    hit_at, hit_entry = [], []
-    for mask in (*masks, *("1" * n for n in ix.shorts)):
+    own, size = owners(wo), np.diff(ix.offs)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def offer(row: int, item: int, first: int, w: int, m: int) -> None:
+        if (row, item) not in best or (m, -first) > (best[row, item][2], -best[row, item][0]):
+            best[row, item] = (first, w, m)
+
+    far = [np.zeros((0, 3), np.int64)]
+    for mask in ix.masks:
         p, g = seeds(h, wo, mask)
         near = ix.door[(g & U((1 << 22) - 1)).astype(np.int64)]
         p, g = p[near], g[near]
         lo, hi = np.searchsorted(ix.seed, g, "left"), np.searchsorted(ix.seed, g, "right")
-        n = hi - lo
-        hit_at.append(np.repeat(p, n))
-        hit_entry.append(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
-    at, entry = np.concatenate(hit_at), np.concatenate(hit_entry)
-    if not len(at):
-        return []
-    diagonal = at - ix.at[entry]
-    found = np.unique(np.stack([own[at], ix.item[entry], diagonal], axis=1), axis=0)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for row, item, d in found.tolist():
+        p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        if not len(p):
+            continue
+        sums = np.cumsum(n)
+        for part in np.split(np.arange(len(p)), np.unique(np.searchsorted(sums, np.arange(HITS, sums[-1], HITS)))):
+            pn, pl = n[part], lo[part]
+            at, entry = np.repeat(p[part], pn), np.repeat(pl - np.cumsum(pn) + pn, pn) + np.arange(pn.sum())
+            item = ix.item[entry]
+            found = np.stack([own[at], item, at - ix.at[entry]], axis=1)
+            whole = ix.short[item]
+            if not whole.all():
+                far.append(np.unique(found[~whole], axis=0))
+            # an item of one window: all its words against those of the text at once
+            row, item, d = found[whole].T
+            w = size[item]
+            inside = (d >= wo[row]) & (d + w <= wo[row + 1])
+            row, item, d, w = row[inside], item[inside], d[inside], w[inside]
+            m = np.zeros(len(d), np.int64)
+            for j in range(int(w.max()) if len(w) else 0):
+                on = np.flatnonzero(w > j)
+                m[on] += h[d[on] + j] == ix.tokens[ix.offs[item[on]] + j]
+            for i in np.flatnonzero(m >= share * w - 1e-9).tolist():
+                offer(int(row[i]), int(item[i]), int(d[i] - wo[row[i]]), int(w[i]), int(m[i]))
+    for row, item, d in np.unique(np.concatenate(far), axis=0).tolist():
         a, b = int(ix.offs[item]), int(ix.offs[item + 1])
         lo, hi = max(int(wo[row]) - d, 0), min(int(wo[row + 1]) - d, b - a)
         same = np.concatenate([[0], np.cumsum(h[d + lo : d + hi] == ix.tokens[a + lo : a + hi])])
@@ -108,8 +146,8 @@ def find(ix: Index, k: Kernel, arr: pa.Array, masks: tuple[str, ...], window: in
         sums = same[w:] - same[:-w]
         i = int(sums.argmax())
         m = int(sums[i])
-        if m >= share * w - 1e-9 and (w, m) > best.get((row, item), (0, 0, 0))[1:]:
-            best[row, item] = (d + lo + i - int(wo[row]), w, m)
+        if m >= share * w - 1e-9:
+            offer(row, item, d + lo + i - int(wo[row]), w, m)
     return [(row, item, *x) for (row, item), x in sorted(best.items())]
 
 
@@ -136,12 +174,13 @@ def find_contamination(
 
     Seeds under fixed masks of both sides are joined: the benchmark's seeds are
     broadcast in parts of at most max_index_mb (checked), one pass a part; around
-    each hit, the whole diagonal is compared word by word. Several windows of one
-    pair give the best one, the earliest of equals.
+    each hit, the whole diagonal is compared word by word. Items of at most window
+    words are parted into blocks of which one must be equal, so none is missed; of
+    longer ones, a lone window with all the differences allowed may be.
+    Several windows of one pair give the best one, the earliest of equals.
 
     Null and empty texts on either side match nothing, nor do items of fewer than
-    floor words; items of fewer than eight words match only as a whole. Repeated
-    documents each give their rows, except that rows equal in doc_id and item_id
+    floor words. Repeated documents each give their rows, except that rows equal in doc_id and item_id
     become one, with the most matches; a null id is reported as null. Empty tables
     give no rows. Other columns are not read.
     """
@@ -153,13 +192,13 @@ def find_contamination(
     arrow_item = pa.int64() if item_kind == T.LongType() else None
     out = None
     for ids, texts in _slices(benchmark, item_id, item_text, max_index_mb):
-        shared = df.sparkSession.sparkContext.broadcast(build_index(ids, texts, masks, floor))
+        shared = df.sparkSession.sparkContext.broadcast(build_index(ids, texts, masks, floor, window, share))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             k, ix = Kernel(), shared.value
             for batch in batches:
                 for part in pieces(batch, "t"):
-                    found = find(ix, k, part.column(1), masks, window, share)
+                    found = find(ix, k, part.column(1), window, share)
                     if found:
                         row, item, *rest = map(list, zip(*found))
                         yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array([ix.ids[i] for i in item], arrow_item), *(pa.array(x, pa.int32()) for x in rest)], ["doc_id", "item_id", "first_word", "words", "matches"])
@@ -170,14 +209,14 @@ def find_contamination(
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.n")).alias("first_word"), "b.words", "b.matches")
 
 
-def _leaks(shared: Broadcast, masks: tuple[str, ...], window: int, share: float) -> Callable:
+def _leaks(shared: Broadcast, window: int, share: float) -> Callable:
     """Whether find finds anything in a text."""
 
     @F.arrow_udf("boolean")
     def leaks(arr: pa.Array) -> pa.Array:
         out, k, lo = np.zeros(len(arr), bool), Kernel(), 0
         for part in pieces(pa.record_batch([arr], ["t"]), "t"):
-            for row, *_ in find(shared.value, k, part.column(0), masks, window, share):
+            for row, *_ in find(shared.value, k, part.column(0), window, share):
                 out[lo + row] = True
             lo += part.num_rows
         return pa.array(out)
@@ -195,8 +234,8 @@ def decontaminate(
     repeated rows stay or go together; empty tables give all rows of df.
     """
     for ids, texts in _slices(benchmark, item_id, item_text, max_index_mb):
-        shared = df.sparkSession.sparkContext.broadcast(build_index(ids, texts, masks, floor))
+        shared = df.sparkSession.sparkContext.broadcast(build_index(ids, texts, masks, floor, window, share))
 
         flag = fresh(df, "__leaks")
-        df = df.withColumn(flag, _leaks(shared, masks, window, share)(F.coalesce(col(text), F.lit("")))).where(~F.col(flag)).drop(flag)
+        df = df.withColumn(flag, _leaks(shared, window, share)(F.coalesce(col(text), F.lit("")))).where(~F.col(flag)).drop(flag)
     return df

@@ -1,9 +1,18 @@
 """Against all diagonals, without seeds."""
 
+import itertools
 import random
 import re
 
+import duckdb
+import pandas as pd
+import pyarrow as pa
+import pytest
+
+from attestry.llm import decontam
 from attestry.llm.decontam import decontaminate, find_contamination
+from attestry.llm.kernels import Kernel
+from attestry.llm.queries import ORACLE
 
 DDL = "doc_id long, text string"
 
@@ -85,3 +94,44 @@ def test_cases(spark):
     kept = decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 6]
     assert find_contamination(docs.limit(0), bench).count() == 0 and decontaminate(docs, bench.limit(0)).count() == 7
+
+
+def oracle(docs, items):
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    db.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    return sorted(db.sql(f"select doc_id, item_id, first_word, words, matches from ({ORACLE['op9_decontaminate']})").fetchall())
+
+
+def test_short_items_with_all_the_substitutions_allowed(spark):
+    rng = random.Random(3)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in range(5, 21)]
+    docs, want = [], set()
+    for n, t in items:
+        most = n // 5
+        ways = list(itertools.combinations(range(n), most))
+        more = list(itertools.combinations(range(n), most + 1))
+        for gone in rng.sample(ways, min(60, len(ways))) + rng.sample(more, 5):
+            v = [f"z{j}" if j in gone else x for j, x in enumerate(t.split())]
+            if len(gone) == most:
+                want.add((len(docs), n, 3, n, n - most))
+            docs.append((len(docs), "before it stand " + " ".join(v) + " after"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in find_contamination(spark.createDataFrame(docs, DDL), bench).collect()}
+    assert got == want
+    assert sorted(want) == oracle(docs, items)
+    kept = {r.doc_id for r in decontaminate(spark.createDataFrame(docs, DDL), bench).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, *_ in want}
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 50])
+def test_short_items_of_few_words_against_sql(monkeypatch, hits):
+    monkeypatch.setattr(decontam, "HITS", hits)
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choices("abc", k=n))
+    docs = [(i, text(rng.randrange(0, 60))) for i in range(80)]
+    items = [(i, text(rng.randrange(3, 21))) for i in range(60)]
+    want = oracle(docs, items)
+    ix = decontam.build_index(*zip(*items), decontam.MASKS, 5)
+    got = decontam.find(ix, Kernel(), pa.array([t for _, t in docs]), 20, 0.8)
+    assert len(want) > 100 and got == want
