@@ -44,8 +44,34 @@ def chunks(k: Kernel, arr: pa.Array, min_bytes: int) -> tuple[np.ndarray, np.nda
     return text, k.ranges(k.prefix(text), s, content), s, e, np.searchsorted(lo, go, "right") - 1
 
 
+def windows(k: Kernel, arr: pa.Array, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As chunks, for the shortest runs of at least two lines and min_bytes from each
+    line on and up to each line. Whatever run of lines repeats is the union of the
+    windows within it, so they need no boundaries."""
+    text, offs = bytes_of(arr)
+    h, starts, ends, lo = k.lines(text, offs)
+    empty = np.zeros(0, np.int64)
+    if len(h) < 2:
+        return text, h[:0], empty, empty, empty
+    content = ends - (text[ends - 1] == 10)
+    own = np.searchsorted(lo, np.arange(len(h)), "right") - 1
+    line = np.arange(len(h))
+    # content and starts both grow with the line
+    down = np.maximum(np.searchsorted(content, starts + min_bytes), line + 1)
+    up = np.minimum(np.searchsorted(starts, content - min_bytes, "right") - 1, line - 1)
+    fits, back = down < lo[own + 1], up >= lo[own]
+    go, stop = np.concatenate([line[fits], up[back]]), np.concatenate([down[fits], line[back]])
+    pair = np.unique(go << 32 | stop)
+    go, stop = pair >> 32, pair & 0xFFFFFFFF
+    s, e, content = starts[go], ends[stop], content[stop]
+    ink = np.concatenate([[0], np.cumsum(text > 32)])
+    good = ink[content] > ink[s]
+    s, e, content = s[good], e[good], content[good]
+    return text, k.ranges(k.prefix(text), s, content), s, e, own[go[good]]
+
+
 def line_dedup(
-    df: DataFrame, text: str = "text", order: str = "doc_id", min_bytes: int = 48, bits_per_row: int = 16, max_filter_mb: int = 64, max_broadcast_mb: int = 16, drop_emptied: bool = True,
+    df: DataFrame, text: str = "text", order: str = "doc_id", min_bytes: int = 48, bits_per_row: int = 16, max_filter_mb: int = 64, max_broadcast_mb: int = 16, drop_emptied: bool = True, whole: bool = False,
 ) -> DataFrame:
     """df without the later copies of chunks of lines that repeat anywhere in it.
 
@@ -54,6 +80,11 @@ def line_dedup(
     or of blanks only are left alone. Of the same chunk, the occurrence with the
     lowest (order, hash of text, position) stays, within a document too.
 
+    A chunk's boundaries depend on the lines around it, so that passages of few lines
+    between other lines are mostly missed. With whole, every run of at least two
+    lines and min_bytes that stands earlier is cut, whatever is around it: instead of
+    chunks, the shortest runs from and up to each line are compared.
+
     Pass 1 reads the chunks' hashes into a two-level Bloom filter (at most
     max_filter_mb, checked; beyond it more chunks move). Pass 2 sends only chunks
     that possibly repeat, with their bytes, to where equal ones meet; grouping is
@@ -67,13 +98,14 @@ def line_dedup(
     else kept as what remains. Order and all columns but text stay as they are.
     """
     spark = df.sparkSession
+    parts = windows if whole else chunks
     src = df.select(col(order).alias("d"), F.xxhash64(col(text)).alias("h"), col(text).alias("t")).where(F.instr("t", "\n") > 0)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = Kernel()
         for batch in batches:
             for part in pieces(batch, "t"):
-                yield pa.record_batch([pa.array(chunks(k, part.column(0), min_bytes)[1].view(np.int64))], ["c"])
+                yield pa.record_batch([pa.array(parts(k, part.column(0), min_bytes)[1].view(np.int64))], ["c"])
 
     all_chunks = table(src.select("t").mapInArrow(hashes, "c long"), "chunks")
     packed, bits = repeat_filter(all_chunks, "c", all_chunks.count(), bits_per_row, max_filter_mb)
@@ -83,7 +115,7 @@ def line_dedup(
         k = Kernel()
         for batch in batches:
             for part in pieces(batch, "t"):
-                b, c, s, e, doc = chunks(k, part.column(2), min_bytes)
+                b, c, s, e, doc = parts(k, part.column(2), min_bytes)
                 keep = contains(shared.value, bits, c) if len(c) else np.zeros(0, bool)
                 if not keep.any():
                     continue
@@ -104,6 +136,11 @@ def line_dedup(
     schema = T.StructType([T.StructField("d", kind), T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("raw", T.BinaryType())])
     w = Window.partitionBy("c", "raw").orderBy(F.col("d").asc_nulls_last(), "h", "s")
     later = src.mapInArrow(candidates, schema).withColumn("n", F.rank().over(w)).where("n > 1")
+    # runs may overlap or hold one another: what touches is one cut
+    by = Window.partitionBy("d", "h").orderBy("s", "e")
+    over = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(over.isNull() | (F.col("s") > over), 1).otherwise(0)).over(by)
+    later = later.select("d", "h", "s", "e", island.alias("i")).groupBy("d", "h", "i").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     cuts = table(later.groupBy("d", "h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("cuts")), "cuts")
 
     names = [col(c) for c in df.columns]

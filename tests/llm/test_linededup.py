@@ -1,10 +1,13 @@
 """Against a plain loop over chunks; shifts; first copies stay."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
 from attestry.llm.kernels import STEP, Kernel, U, mix
 from attestry.llm.linededup import chunks, line_dedup
+from attestry.llm.queries import op7_line_dedup
 
 DDL = "doc_id long, text string"
 
@@ -84,3 +87,49 @@ def test_cases(spark):
     kept = {r.doc_id: r.text for r in line_dedup(df, drop_emptied=False).collect()}
     assert kept[5] == "" and kept[None] == "" and kept[4] == two and kept[8] == "b\n" * 40000
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def brute_whole(rows, least=48):
+    """Every line of a run of two or more lines and least bytes that stands earlier."""
+    seen, out = set(), {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (t or "").split("\n")
+        feeds = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+        lines, gone, new = lines[: len(feeds)], set(), []
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines)):
+                run = "\n".join(lines[i : j + 1])
+                if len(run.encode()) >= least and run.strip():
+                    # an earlier start in the same text comes first as well
+                    if run in seen:
+                        gone |= set(range(i, j + 1))
+                    seen.add(run)
+        out[d] = "".join(x for i, x in enumerate(feeds) if i not in gone) if gone else t
+        if gone and not out[d].strip():
+            del out[d]
+    return out
+
+
+def test_short_passages_between_other_lines(spark, tmp_path):
+    rows = []
+    for n in range(2, 7):
+        passage = "\n".join(f"line {j} of the passage é of {n} lines, which goes on" for j in range(n))
+        rows += [(100 * n + i, f"before {n} {i}\n{passage}\nafter {n} {i}\n") for i in range(12)]
+    df = spark.createDataFrame(rows, DDL)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: t if d % 100 == 0 else f"before {d // 100} {d % 100}\nafter {d // 100} {d % 100}\n" for d, t in rows}
+    assert got == brute_whole(rows)
+
+
+def test_whole_against_brute_force(spark):
+    rng = random.Random(4)
+    lines = ["a", "", "é" * 11, "b" * 20, "c" * 24, "d" * 60, "  ", "e" * 7, "f" * 47]
+    rows = [(d, "\n".join(rng.choices(lines, k=rng.randrange(0, 12))) + rng.choice(["", "\n"])) for d in range(60)]
+    rows += [(None, rows[3][1]), (70, None), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, DDL)
+    want = brute_whole(rows)
+    assert sum(want.get(d) != t for d, t in rows) > 20
+    for mb in (16, -1):
+        got = [tuple(r) for r in line_dedup(df, whole=True, max_broadcast_mb=mb).collect()]
+        assert dict(got) == want and len(got) == len(want) + (5 in want)
