@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.kernels import bytes_of
-from attestry.llm.shared import col, fresh
+from attestry.llm.shared import col, fresh, table
 
 BINS = 64
 #: Host names that stand for bad URLs where no labelled URLs are given.
@@ -50,7 +50,7 @@ def entropy(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.bincount(v[new] >> 8, -p * np.log2(p), len(n))
 
 
-def features(url: pa.Array, host: pa.Array, path: pa.Array, query: pa.Array, fragment: pa.Array, scheme: pa.Array, suffix: pa.Array, suffixes: dict[str, tuple[float, float]], pairs: np.ndarray) -> np.ndarray:
+def features(url: pa.Array, host: pa.Array, path: pa.Array, query: pa.Array, fragment: pa.Array, scheme: pa.Array, suffix: pa.Array, suffixes: dict[str, tuple[float, float]], pairs: np.ndarray, unnamed: np.ndarray | None = None) -> np.ndarray:
     (u, uo), (h, ho), (p, po), (q, qo) = map(bytes_of, (url, host, path, query))
     one = lambda x: np.maximum(x, 1)
     digit = lambda b: (b >= 48) & (b <= 57)
@@ -63,7 +63,8 @@ def features(url: pa.Array, host: pa.Array, path: pa.Array, query: pa.Array, fra
     inside[ho[:-1][nh > 0]] = False
     rare = np.where(inside, pairs[code], 0.0)
     c = np.concatenate([[0], np.cumsum(rare)])
-    stat = [suffixes.get(s, (0.0, 0.5)) for s in suffix.to_pylist()]
+    # unnamed: the log share of suffixes that are not among suffixes; none of them has a label
+    stat = [suffixes.get(s) or (0.0 if unnamed is None else float(unnamed[i]), 0.5) for i, s in enumerate(suffix.to_pylist())]
     del dots
     return np.stack(
         [
@@ -143,6 +144,8 @@ class Model(NamedTuple):
     trees: Trees
     suffixes: dict[str, tuple[float, float]]
     pairs: np.ndarray
+    total: int
+    counts: DataFrame | None
 
 
 COLUMNS = ("url", "host", "path", "query", "fragment", "scheme", "suffix")
@@ -162,8 +165,9 @@ def seed_labels(df: DataFrame, url: str = "url", seeds: tuple[str, ...] = SEEDS)
 def train(df: DataFrame, labels: DataFrame, url: str = "url", max_labels: int = 20_000, max_suffixes: int = 4096) -> Model | None:
     """A model from labelled URLs (url, bad 0 or 1), at most about max_labels of either
     class, taken by the hash of the URL. How often a suffix of hosts and a pair of
-    letters occur in df is counted over all its URLs; the max_suffixes most frequent
-    suffixes are kept. None without URLs of both classes."""
+    letters occur in df is counted over all its URLs; the model holds
+    the max_suffixes most frequent suffixes and those with labels, and a table of all
+    counts if there are more. None without URLs of both classes."""
     known = labels.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select("url", (F.col("bad") != 0).cast("int").alias("bad")).distinct()
     sizes = {r["bad"]: r["n"] for r in known.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(sizes) != {0, 1}:
@@ -174,8 +178,13 @@ def train(df: DataFrame, labels: DataFrame, url: str = "url", max_labels: int =
     sample = sample.take(pa.array(np.argsort(np.array(sample["url"].to_pylist(), dtype=object), kind="stable")))
     p = parts(col(url))
     every = df.where(col(url).isNotNull())
-    often = every.groupBy(p["suffix"].alias("s")).count().orderBy(F.desc("count"), "s").limit(max_suffixes).collect()
-    total = max(1, sum(r["count"] for r in often))
+    counts = table(every.groupBy(p["suffix"].alias("s")).agg(F.count(F.lit(1)).alias("count")), "suffixes")
+    distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).collect()[0]
+    often = counts.orderBy(F.desc("count"), "s").limit(max_suffixes).collect()
+    if distinct > max_suffixes:
+        named = df.sparkSession.createDataFrame([(s,) for s in sorted(set(sample["suffix"].to_pylist()))], "s string")
+        often = list({r["s"]: r for r in [*often, *counts.join(named, "s", "left_semi").collect()]}.values())
+    total = max(1, total)
     letters = every.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p["host"]) - 1, F.lit(1))), lambda i: F.substring(p["host"], i, F.lit(2)))).alias("x"))
     pairs = np.full(65536, 12.0)
     found = letters.where("octet_length(x) = 2").groupBy("x").count().collect()
@@ -189,34 +198,42 @@ def train(df: DataFrame, labels: DataFrame, url: str = "url", max_labels: int =
         bad.setdefault(s, []).append(v)
     suffixes = {r["s"]: (float(np.log(r["count"] / total)), (sum(bad.get(r["s"], [])) + 1) / (len(bad.get(r["s"], [])) + 2)) for r in often}
     x = features(*(sample[c] for c in COLUMNS), suffixes, pairs)
-    return Model(boost(x, y), suffixes, pairs)
+    return Model(boost(x, y), suffixes, pairs, total, counts if distinct > len(suffixes) else None)
 
 
-def url_filter(df: DataFrame, labels: DataFrame | None = None, url: str = "url", max_labels: int = 20_000, threshold: float = 0.5, score_as: str = "bad_url") -> DataFrame:
+def url_filter(df: DataFrame, labels: DataFrame | None = None, url: str = "url", max_labels: int = 20_000, threshold: float = 0.5, score_as: str = "bad_url", max_suffixes: int = 4096) -> DataFrame:
     """df with the probability that each URL is bad, and keep_url, which is false from
     threshold on; new names if df has such columns.
 
     Gradient-boosted trees on lexical features only: lengths, depth, digit shares,
     entropies, counts of parameters, and statistics of suffixes and letter pairs over
     all of df. They are fitted on labelled URLs, by default those that seed_labels
-    derives from host names. Every URL is scored; nothing shuffles but statistics.
+    derives from host names. Every URL is scored; nothing shuffles but statistics,
+    unless there are more suffixes than the model holds: then their counts are joined.
 
     A null URL has a null score and is kept; an empty one is scored like any other.
     Repeated rows are scored alike. Without labels of both classes, scores are null and
     all rows are kept. An empty table gives no rows.
     """
-    model = train(df, seed_labels(df, url) if labels is None else labels, url, max_labels)
+    model = train(df, seed_labels(df, url) if labels is None else labels, url, max_labels, max_suffixes)
     name = fresh(df, score_as)
     if model is None:
         out = df.withColumn(name, F.lit(None).cast("double"))
     else:
-        shared = df.sparkSession.sparkContext.broadcast(model)
+        shared = df.sparkSession.sparkContext.broadcast(model._replace(counts=None))
 
         @F.arrow_udf("double")
         def rate(*arrays: pa.Array) -> pa.Array:
-            m = shared.value
-            return pa.array(predict(m.trees, features(*arrays, m.suffixes, m.pairs)))
+            m, (*arrays, count) = shared.value, arrays
+            rare = np.log(np.maximum(count.to_numpy(zero_copy_only=False), 1) / m.total)
+            return pa.array(predict(m.trees, features(*arrays, m.suffixes, m.pairs, rare)))
 
         p = parts(col(url))
-        out = df.withColumn(name, F.when(col(url).isNotNull(), rate(F.coalesce(col(url), F.lit("")), *(p[c] for c in COLUMNS[1:]))))
+        count, suffix, joined = F.lit(1).cast("long"), fresh(df, "__suffix"), df
+        if model.counts is not None:
+            n = fresh(df, "__count")
+            joined = df.join(model.counts.select(F.col("s").alias(suffix), F.col("count").alias(n)), p["suffix"] == F.col(suffix), "left")
+            count = F.coalesce(F.col(n), F.lit(1))
+        score = F.when(col(url).isNotNull(), rate(F.coalesce(col(url), F.lit("")), *(p[c] for c in COLUMNS[1:]), count))
+        out = joined.select(*[col(c) for c in df.columns], score.alias(name))
     return out.withColumn(fresh(out, "keep_url"), F.coalesce(F.col(name) < threshold, F.lit(True)))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from attestry.llm.urlfilter import SEEDS, boost, entropy, predict, seed_labels, url_filter
+from attestry.llm.urlfilter import SEEDS, boost, entropy, predict, seed_labels, train, url_filter
 
 
 def test_held_out_family_of_hosts(spark):
@@ -42,3 +42,14 @@ def test_cases(spark):
     assert url_filter(df.limit(0)).count() == 0
     none = spark.createDataFrame([], "url string, bad int")
     assert url_filter(df, none).where("keep_url").count() == len(urls)
+
+
+def test_every_suffix_counts(spark):
+    urls = [f"http://h{i}.{'com' if i % 3 else f's{i % 40}'}/p/{i}" for i in range(600)] + [f"http://junk{i}/" for i in range(50)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    labels = spark.createDataFrame([(u, int(i % 3 == 0)) for i, u in enumerate(urls[:300])], "url string, bad int")
+    few, all_ = train(df, labels, max_suffixes=2), train(df, labels)
+    assert all_.counts is None and few.counts is not None and few.total == all_.total == 650
+    assert few.suffixes.items() <= all_.suffixes.items()
+    scores = [sorted(map(tuple, url_filter(df, labels, max_suffixes=n).collect())) for n in (2, 4096)]
+    assert scores[0] == scores[1] and len(scores[0]) == 650
