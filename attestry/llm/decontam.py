@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import combinations
+from math import comb
 from typing import NamedTuple
 
 import numpy as np
@@ -15,9 +18,10 @@ from pyspark.sql import functions as F
 from attestry.llm.kernels import STEP, Kernel, U, bytes_of, mix, owners, pieces, word_lut
 from attestry.llm.shared import col, fresh
 
-#: Fixed masks of eight read positions; a 0 ignores the token there. They serve
-#: items longer than a window; shorter ones have blocks.
-MASKS = ("1101100110101", "1011010011011", "1110010101011", "11111111")
+#: Fixed masks of eight read positions; a 0 ignores the token there. They serve items
+#: longer than a window; shorter ones have blocks. Of all ways to differ in four of twenty
+#: words, each leaves one of the masks whole somewhere (enumerated in the tests).
+MASKS = ("1110110111", "11100010010111", "11110001000001011", "110100110111", "110010101111", "1110100001100011", "1011111011")
 HITS = 1 << 20  # hits worked on at once
 
 
@@ -61,11 +65,27 @@ def blocks(n: int, share: float) -> list[tuple[int, int]]:
     return [(x, y - x) for x, y in zip(cuts, cuts[1:])]
 
 
+@cache
+def complete(masks: tuple[str, ...], window: int, share: float) -> tuple[str, ...]:
+    """masks, and one of as many ones as a run that whatever matches leaves equal, unless
+    the masks are seen to leave out no way of differing in a window."""
+    most = window - int(np.ceil(share * window - 1e-9))
+    fits = [m for m in masks if len(m) <= window]
+    if comb(window, most) <= 1 << 16:
+        read = [sum(1 << (s + i) for i, c in enumerate(m) if c == "1") for m in fits for s in range(window - len(m) + 1)]
+        left = np.array([sum(1 << i for i in c) for c in combinations(range(window), most)], np.int64 if window < 63 else object)
+        for r in read:
+            left = left[(left & r) != 0]
+        if not len(left):
+            return masks
+    return tuple(dict.fromkeys((*masks, "1" * max(1, window // (most + 1)))))
+
+
 def build_index(ids: list, texts: list[str | None], masks: tuple[str, ...], floor: int, window: int = 20, share: float = 0.8) -> Index:
     """Items of fewer than floor tokens are in no seed. Items of at most window
     tokens, which match as one window, have a seed for each of their blocks, by which
     none is missed; longer items have one wherever a mask fits."""
-    k = Kernel()
+    k, masks = Kernel(), complete(tuple(masks), window, share)
     text, offs = bytes_of(pc.utf8_lower(pa.array(texts, pa.large_string())))
     h, _, _, wo = k.words(text, offs, word_lut())
     lengths = np.diff(wo)
@@ -175,8 +195,9 @@ def find_contamination(
     Seeds under fixed masks of both sides are joined: the benchmark's seeds are
     broadcast in parts of at most max_index_mb (checked), one pass a part; around
     each hit, the whole diagonal is compared word by word. Items of at most window
-    words are parted into blocks of which one must be equal, so none is missed; of
-    longer ones, a lone window with all the differences allowed may be.
+    words are parted into blocks of which one must be equal; for longer ones, masks that
+    do not leave some mask whole whatever differs get a run of ones beside them that
+    does (complete). So no window is missed. A sign of U+3000 to U+DFFF is a word.
     Several windows of one pair give the best one, the earliest of equals.
 
     Null and empty texts on either side match nothing, nor do items of fewer than

@@ -77,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op6_jaccard_join": r"""
-        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents WHERE text IS NOT NULL),
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\x{3000}-\x{D7FF}]|[a-z0-9\x{80}-\x{2FFF}\x{E000}-\x{10FFFF}]+') AS ws FROM documents WHERE text IS NOT NULL),
         g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS gs FROM w WHERE len(ws) > 0),
         s AS (SELECT doc_id, gs, len(gs)::INT AS n, min(doc_id) OVER (PARTITION BY gs) AS rep FROM g),
         r AS (SELECT rep, unnest(gs) AS x, n FROM s WHERE doc_id = rep),
@@ -88,8 +88,8 @@ ORACLE: dict[str, str] = {
         SELECT * FROM documents
         WHERE text IS NULL OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)""",
     "op9_decontaminate": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents),
-        b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\x{3000}-\x{D7FF}]|[a-z0-9\x{80}-\x{2FFF}\x{E000}-\x{10FFFF}]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(lower(text), '[\x{3000}-\x{D7FF}]|[a-z0-9\x{80}-\x{2FFF}\x{E000}-\x{10FFFF}]+') AS ws FROM benchmark),
         dw AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
         bw AS (SELECT item_id, len(ws) AS m, least(20, len(ws)) AS k, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS q FROM b WHERE len(ws) >= 5),
         c AS (SELECT doc_id, item_id, p - q AS diag, n, m, k, list(q) AS qs FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) >= 0.8 * k),

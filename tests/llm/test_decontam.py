@@ -18,7 +18,7 @@ DDL = "doc_id long, text string"
 
 
 def words(t):
-    return re.findall(r"[a-z0-9\u0080-￿]+", (t or "").lower())
+    return re.findall(r"[\u3000-\ud7ff]|[a-z0-9\u0080-\u2fff\ue000-\U0010ffff]+", (t or "").lower())
 
 
 def brute(docs, items, window=20, share=0.8, floor=5):
@@ -30,7 +30,7 @@ def brute(docs, items, window=20, share=0.8, floor=5):
             if len(v) < floor:
                 continue
             n = min(window, len(v))
-            need = n if len(v) < 8 else share * n
+            need = share * n
             best = 0
             for diag in range(-len(v) + 1, len(w)):
                 same = [0 <= diag + j < len(w) and w[diag + j] == v[j] for j in range(len(v))]
@@ -135,3 +135,38 @@ def test_short_items_of_few_words_against_sql(monkeypatch, hits):
     ix = decontam.build_index(*zip(*items), decontam.MASKS, 5)
     got = decontam.find(ix, Kernel(), pa.array([t for _, t in docs]), 20, 0.8)
     assert len(want) > 100 and got == want
+
+
+def whole_somewhere(masks, window, gone):
+    return any(all(s + i not in gone for i, c in enumerate(m) if c == "1") for m in masks for s in range(window - len(m) + 1))
+
+
+def test_masks_leave_out_no_way_to_differ():
+    assert decontam.complete(decontam.MASKS, 20, 0.8) == decontam.MASKS
+    assert all(whole_somewhere(decontam.MASKS, 20, set(c)) for c in itertools.combinations(range(20), 4))
+    for masks, window, share in (((), 20, 0.8), (("11111111",), 20, 0.8), (decontam.MASKS, 13, 0.7), (decontam.MASKS, 200, 0.9)):
+        got = decontam.complete(masks, window, share)
+        assert set(masks) < set(got) and len(got[-1]) == window // (window - int(-(-share * window // 1)) + 1)
+
+
+def test_long_items_with_every_way_to_differ_in_one_window():
+    rng = random.Random(8)
+    item = [f"i{j}" for j in range(33)]
+    docs = []
+    for gone in itertools.combinations(range(20), 4):
+        at = rng.randrange(14)
+        # all but one window differs throughout
+        docs.append(" ".join(["x"] + [f"z{j}" if not at <= j < at + 20 or j - at in gone else w for j, w in enumerate(item)] + ["y"]))
+    ix = decontam.build_index([1], [" ".join(item)], decontam.MASKS, 5)
+    got = [r for lo in range(0, len(docs), 500) for r in decontam.find(ix, Kernel(), pa.array(docs[lo : lo + 500]), 20, 0.8)]
+    assert len(got) == len(docs) == 4845 and {m for *_, m in got} == {16}
+
+
+def test_ties_and_signs_of_their_own(spark):
+    item = "alpha beta gamma delta epsilon zeta"
+    han = "\u6570\u636e\u96c6\u7684\u8d28\u91cf"
+    docs = [(1, f"x {item} y {item}"), (2, f"q{han}"), (3, f"a {han[:3]}x{han[3:]} {han[:5]}z"), (4, f"{item.replace('beta', 'other')} {item.replace('zeta', 'o')}")]
+    items = [(1, item), (2, han)]
+    got = sorted(map(tuple, find_contamination(spark.createDataFrame(docs, DDL), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == oracle(docs, items)
+    assert [(r[0], r[2]) for r in got] == [(1, 1), (2, 1), (3, 8), (4, 0)]
