@@ -1,8 +1,8 @@
-"""Two-level Bloom filter over 64-bit hashes: which hashes possibly occur twice.
+"""Bloom filters over 64-bit hashes: which hashes possibly occur twice.
 
-Each partition sets bits for its hashes and remembers bits that two rows set;
-merging moves bits that two partitions set to the second level. A hash all of
-whose bits are on the second level possibly repeats, every other hash is unique.
+Hashes, never rows, shuffle to where equal ones meet; each range of them has a filter
+of its own, of a few megabytes, and a hash that finds all its bits set possibly
+repeats. What possibly repeats goes into one filter that is sent to the rows.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.shared import table
+
 U = np.uint64
 SEGMENT = 1 << 19
 PROBES = 4
-SCHEMA = "seg long, sparse boolean, once binary, twice binary"
+RANGE = 1 << 20  # hashes of a range, about
+HELD = 1 << 20  # hashes that a task looks through for copies before it sends them
 
 
 def bits_for(rows: int, bits_per_row: int, max_mb: int) -> int:
@@ -29,85 +32,80 @@ def bits_for(rows: int, bits_per_row: int, max_mb: int) -> int:
 
 
 def probes(h: np.ndarray, bits: int) -> np.ndarray:
-    """(n, PROBES) bit positions by double hashing."""
+    """(n, PROBES) bit positions by double hashing, all in one segment."""
     h = h.view(U) if h.dtype == np.int64 else h.astype(U)
-    a, b = h, (h * U(0x9E3779B97F4A7C15) >> U(17)) | U(1)
-    return ((a[:, None] + np.arange(PROBES, dtype=U)[None, :] * b[:, None]) & U(bits - 1)).astype(np.int64)
+    step = (h * U(0x9E3779B97F4A7C15) >> U(17)) | U(1)
+    at = (h[:, None] + np.arange(PROBES, dtype=U)[None, :] * step[:, None]) & U(SEGMENT - 1)
+    return (at + ((h >> U(40)) & U(bits // SEGMENT - 1))[:, None] * U(SEGMENT)).astype(np.int64)
 
 
-def _pack(pos: np.ndarray) -> tuple[bool, bytes]:
-    if len(pos) * 4 < SEGMENT // 8:
-        return True, pos.astype(np.uint32).tobytes()
-    dense = np.zeros(SEGMENT, bool)
-    dense[pos] = True
-    return False, np.packbits(dense).tobytes()
+def repeated(df: DataFrame, column: str, rows: int, bits_per_row: int = 16) -> DataFrame:
+    """(k): hashes of a bigint column that possibly occur more than once, each once. All
+    that do are among them; of the others, one in a few hundred. Nulls are left out."""
 
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A hash that a task has many times is sent twice."""
+        held, count = [], 0
 
-def _unpack(sparse: bool, data: bytes) -> np.ndarray:
-    if sparse:
-        dense = np.zeros(SEGMENT, bool)
-        dense[np.frombuffer(data, np.uint32)] = True
-        return dense
-    return np.unpackbits(np.frombuffer(data, np.uint8)).view(bool)
+        def flush() -> pa.RecordBatch:
+            v, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(np.concatenate([v, v[c > 1]]))], ["k"])
+
+        for batch in batches:
+            h = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            held.append(h)
+            count += len(h)
+            if count >= HELD:
+                yield flush()
+                held, count = [], 0
+        if held:
+            yield flush()
+
+    ranges = max(1, -(-rows // RANGE))
+    bits = bits_for(min(rows, 2 * RANGE), bits_per_row, 64)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, out = np.zeros(bits, bool), []  # at most 64 MB, whatever the table's size
+        for batch in batches:
+            v, c = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            p = probes(v, bits)
+            out.append(v[once[p].all(axis=1) | (c > 1)])
+            once[p] = True
+        if out:
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(out)))], ["k"])
 
+    return df.select(column).mapInArrow(thin, "k long").repartition(ranges, "k").mapInArrow(find, "k long")
 
-def repeat_filter(df: DataFrame, column: str, rows: int, bits_per_row: int = 16, max_mb: int = 64) -> tuple[np.ndarray, int]:
-    """The packed second level over a bigint column, and its number of bits."""
+
+def plain_filter(df: DataFrame, column: str, rows: int, bits_per_row: int = 16, max_mb: int = 64) -> tuple[np.ndarray, int]:
+    """The packed filter of all hashes of a bigint column, and its number of bits."""
     bits = bits_for(rows, bits_per_row, max_mb)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        some = False
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            if not len(h):
-                continue
-            some = True
-            p = probes(h, bits)
-            p.sort(axis=1)
-            p = p[np.concatenate([np.ones((len(p), 1), bool), p[:, 1:] != p[:, :-1]], axis=1)]  # a row counts once a bit
-            p.sort()
-            again = p[1:][p[1:] == p[:-1]]
-            twice[again] = True
-            twice[p[once[p]]] = True
-            once[p] = True
-        if not some:
-            return
-        for seg in range(bits // SEGMENT):
-            o = np.flatnonzero(once[seg * SEGMENT : (seg + 1) * SEGMENT])
-            if len(o):
-                so, do = _pack(o)
-                t = np.flatnonzero(twice[seg * SEGMENT : (seg + 1) * SEGMENT])
-                dt = t.astype(np.uint32).tobytes() if so else _pack_dense(t)
-                yield pa.record_batch([pa.array([seg]), pa.array([so]), pa.array([do], pa.binary()), pa.array([dt], pa.binary())], ["seg", "sparse", "once", "twice"])
+            p = np.unique(probes(h, bits).ravel())
+            ends = np.searchsorted(p, np.arange(bits // SEGMENT + 1) * SEGMENT)
+            for seg in np.flatnonzero(np.diff(ends)).tolist():
+                yield pa.record_batch([pa.array([seg]), pa.array([(p[ends[seg] : ends[seg + 1]] & (SEGMENT - 1)).astype(np.uint32).tobytes()], pa.binary())], ["seg", "at"])
 
     def merge(t: pa.Table) -> pa.Table:
-        once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-        for so, o, w in zip(t["sparse"].to_pylist(), t["once"].to_pylist(), t["twice"].to_pylist()):
-            o, w = _unpack(so, o), _unpack(so, w)
-            twice |= w | (once & o)
-            once |= o
-        return pa.table({"seg": t["seg"].slice(0, 1), "twice": pa.array([np.packbits(twice).tobytes()], pa.binary())})
-
-    parts = df.select(column).mapInArrow(build, SCHEMA).groupBy("seg").applyInArrow(merge, "seg long, twice binary")
+        dense = np.zeros(SEGMENT, bool)
+        for at in t["at"].to_pylist():
+            dense[np.frombuffer(at, np.uint32)] = True
+        return pa.table({"seg": t["seg"].slice(0, 1), "bits": pa.array([np.packbits(dense).tobytes()], pa.binary())})
+
+    parts = df.select(column).mapInArrow(place, "seg long, at binary").groupBy("seg").applyInArrow(merge, "seg long, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     for seg, data in parts.collect():  # no more than bits / 8 bytes, at most max_mb
         out[seg * SEGMENT // 8 : (seg + 1) * SEGMENT // 8] = np.frombuffer(data, np.uint8)
     return out, bits
 
 
-def _pack_dense(pos: np.ndarray) -> bytes:
-    dense = np.zeros(SEGMENT, bool)
-    dense[pos] = True
-    return np.packbits(dense).tobytes()
-
-
-def build_filter(values: np.ndarray, bits_per_row: int = 16, max_mb: int = 64) -> tuple[np.ndarray, int]:
-    """A plain filter of the given hashes."""
-    bits = bits_for(len(values), bits_per_row, max_mb)
-    dense = np.zeros(bits, bool)
-    dense[probes(values, bits).ravel()] = True
-    return np.packbits(dense), bits
+def repeat_filter(df: DataFrame, column: str, rows: int, bits_per_row: int = 16, max_mb: int = 64) -> tuple[np.ndarray, int]:
+    """The filter of the hashes that possibly repeat, sized by how many these are."""
+    some = table(repeated(df, column, rows, bits_per_row), "repeated")
+    return plain_filter(some, "k", some.count(), bits_per_row, max_mb)
 
 
 def contains(packed: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:

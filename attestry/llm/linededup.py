@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.llm.bloom import contains, might_contain, repeat_filter
+from attestry.llm.bloom import contains, might_contain, plain_filter, repeat_filter
 from attestry.llm.kernels import STEP, Kernel, U, bytes_of, mix, pieces
 from attestry.llm.shared import col, fresh, table
 
 
+MEMORY = 64 << 20  # bytes of chunks that a task remembers
+
+
 def chunks(k: Kernel, arr: pa.Array, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the texts, and of each chunk of at least two lines and min_bytes:
     hash, first byte, byte after its last line feed, document.
@@ -85,10 +88,10 @@ def line_dedup(
     lines and min_bytes that stands earlier is cut, whatever is around it: instead of
     chunks, the shortest runs from and up to each line are compared.
 
-    Pass 1 reads the chunks' hashes into a two-level Bloom filter (at most
-    max_filter_mb, checked; beyond it more chunks move). Pass 2 sends only chunks
-    that possibly repeat, with their bytes, to where equal ones meet; grouping is
-    by the bytes themselves. What is to be cut is broadcast if it is measured to be
+    Pass 1 sends the chunks' hashes to Bloom filters by range, and what possibly repeats
+    becomes one filter (at most max_filter_mb, checked; beyond it more chunks move).
+    Pass 2 sends only chunks that possibly repeat to where equal ones meet, with their
+    bytes once a task; grouping is by the bytes themselves. What is to be cut is broadcast if it is measured to be
     below max_broadcast_mb, else joined: then rows without a cut, by a Bloom filter
     of the ids, do not shuffle.
 
@@ -112,7 +115,9 @@ def line_dedup(
     shared = spark.sparkContext.broadcast(packed)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = Kernel()
+        """A task sends the bytes of a chunk for its earliest occurrence only; whatever
+        comes later is a copy of that for certain, and is sent without."""
+        k, seen, held = Kernel(), {}, 0
         for batch in batches:
             for part in pieces(batch, "t"):
                 b, c, s, e, doc = parts(k, part.column(2), min_bytes)
@@ -122,10 +127,23 @@ def line_dedup(
                 c, s, e, doc = c[keep], s[keep], e[keep], doc[keep]
                 chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
                 offs = bytes_of(part.column(2))[1]
-                base = chars[offs[doc]]
                 content = e - (b[e - 1] == 10)
                 data = b.tobytes()
                 raw = [data[x:y] for x, y in zip(s.tolist(), content.tolist())]
+                d, h = part.column(0).to_pylist(), part.column(1).to_pylist()
+                sent = np.ones(len(raw), bool)
+                for i, (x, y, z) in enumerate(zip(raw, doc.tolist(), s.tolist())):
+                    place = (d[y] is None, d[y], h[y], z - int(offs[y]))
+                    first = seen.get(x)
+                    if first is None or place < first:
+                        seen[x] = place
+                        held += len(x) + 256
+                    else:
+                        raw[i], sent[i] = None, place > first
+                if held > MEMORY:
+                    seen, held = {}, 0
+                c, s, e, doc, raw = c[sent], s[sent], e[sent], doc[sent], [x for x, y in zip(raw, sent) if y]
+                base = chars[offs[doc]]
                 take = pa.array(doc)
                 yield pa.record_batch(
                     [part.column(0).take(take), part.column(1).take(take), pa.array(c.view(np.int64)), pa.array((chars[s] - base).astype(np.int32)), pa.array((chars[e] - base).astype(np.int32)), pa.array(raw, pa.binary())],
@@ -134,8 +152,9 @@ def line_dedup(
 
     kind = df.schema[order].dataType
     schema = T.StructType([T.StructField("d", kind), T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("raw", T.BinaryType())])
-    w = Window.partitionBy("c", "raw").orderBy(F.col("d").asc_nulls_last(), "h", "s")
-    later = src.mapInArrow(candidates, schema).withColumn("n", F.rank().over(w)).where("n > 1")
+    own = F.when(F.col("raw").isNull(), F.xxhash64("d", "h", "s"))
+    w = Window.partitionBy("c", "raw", own).orderBy(F.col("d").asc_nulls_last(), "h", "s")
+    later = src.mapInArrow(candidates, schema).withColumn("n", F.rank().over(w)).where("n > 1 or raw is null")
     # runs may overlap or hold one another: what touches is one cut
     by = Window.partitionBy("d", "h").orderBy("s", "e")
     over = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -155,8 +174,7 @@ def line_dedup(
     else:
         both = F.xxhash64(F.col("d"), F.col("h"))
         ids = cuts.select(both.alias("k"))
-        # each id twice, so that it counts as repeated: the plain filter of all ids
-        packed2, bits2 = repeat_filter(ids.unionAll(ids), "k", ids.count(), bits_per_row, max_filter_mb)
+        packed2, bits2 = plain_filter(ids, "k", ids.count(), bits_per_row, max_filter_mb)
         flag = fresh(keyed, "__flag")
         flagged = keyed.withColumn(flag, might_contain(df, packed2, bits2, F.xxhash64(col(order), F.col(key))))
         through = flagged.where(~F.col(flag)).select(*names)
