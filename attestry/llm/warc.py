@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from attestry.llm.shared import col, new_path
 
 CHUNK = 1 << 18
-VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-SCHEMA = "path string, kind string, start long, end long, type string, record_id string, uri string, date string, payload binary, reason string"
+HEADERS = 16 << 20  # bytes of a record's headers at most
+VERSION = re.compile(rb"WARC/\d\.\d{1,4}\r\n")
+SCHEMA = "path string, kind string, start long, end long, offset long, type string, record_id string, uri string, date string, payload binary, reason string"
 FIELDS = [x.split()[0] for x in SCHEMA.split(", ")]
-ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), *((c, pa.string()) for c in ("type", "record_id", "uri", "date")), ("payload", pa.binary()), ("reason", pa.string())])
+ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("offset", pa.int64()), *((c, pa.string()) for c in ("type", "record_id", "uri", "date")), ("payload", pa.binary()), ("reason", pa.string())])
 
 
 def record(uri: str, payload: bytes, ident: str, date: str = "2024-01-01T00:00:00Z", kind: str = "resource") -> bytes:
@@ -43,18 +44,23 @@ class Bad(Exception):
 
 
 def parse(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Headers of a record at the start of data, where its block begins and ends."""
+    """Headers of a record at the start of data, where its block begins and ends. A line
+    that begins with a blank goes on with the header before it."""
     if not VERSION.match(data):
         raise Bad("no version line")
-    stop = data.find(b"\r\n\r\n", 0, 1 << 20)
+    stop = data.find(b"\r\n\r\n")
     if stop < 0:
         raise Bad("headers do not end")
-    heads = {}
+    heads, name = {}, None
     for line in data[:stop].split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and name is not None:
+            heads[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise Bad("header without a colon")
-        heads[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("latin-1")
+        heads[name] = value.strip().decode("utf-8", "replace")
     n = heads.get("content-length", "")
     if not (n.isascii() and n.isdigit()):
         raise Bad("no content length")
@@ -64,63 +70,114 @@ def parse(data: bytes) -> tuple[dict[str, str], int, int]:
 
 
 def check(heads: dict[str, str], block: bytes, end: int) -> None:
+    """The digest, in base 32 or 16, of any case; one of an unknown kind is not checked."""
     algorithm, _, want = heads.get("warc-block-digest", "").partition(":")
-    if algorithm == "sha1":
-        got = hashlib.sha1(block).digest()
-        if want not in (base64.b32encode(got).decode(), got.hex()):
+    kind = algorithm.strip().lower().replace("-", "")
+    if kind in ("sha1", "sha256", "sha512", "md5"):
+        got = hashlib.new(kind, block).digest()
+        if want.strip().upper().rstrip("=") not in (base64.b32encode(got).decode().rstrip("="), got.hex().upper()):
             raise Bad("digest differs", end)
 
 
+class Inflated:
+    """What a member holds, read on as it is needed; going back begins anew."""
+
+    def __init__(self, file: File, pos: int) -> None:
+        self.file, self.pos = file, pos
+        self.begin()
+
+    def begin(self) -> None:
+        self.stream, self.base, self.held = self.file.inflate(self.pos), 0, bytearray()
+
+    def read_at(self, pos: int, n: int) -> bytes:
+        if pos < self.base:
+            self.begin()
+        while self.base + len(self.held) < pos + n:
+            piece, _ = next(self.stream, (b"", 0))
+            if not piece:
+                break
+            self.held += piece
+            past = min(pos - self.base, len(self.held))
+            if past > CHUNK:
+                del self.held[:past]
+                self.base += past
+        return bytes(self.held[pos - self.base : pos - self.base + n])
+
+
 class File:
     """A window on a file of any size."""
 
-    def __init__(self, read_at: Callable[[int, int], bytes], size: int) -> None:
-        self.read_at, self.size = read_at, size
+    def __init__(self, read_at: Callable[[int, int], bytes], size: int, most: int = 1 << 30) -> None:
+        self.read_at, self.size, self.most = read_at, size, most
 
     def at(self, pos: int, n: int) -> bytes:
         return self.read_at(pos, min(n, self.size - pos)) if pos < self.size else b""
 
     def plain(self, pos: int) -> tuple[dict[str, str], bytes, int]:
-        head = self.at(pos, CHUNK)
-        try:
-            heads, a, b = parse(head)
-        except Bad as e:
-            if e.reason != "headers do not end" or len(head) < CHUNK:
-                raise
-            heads, a, b = parse(self.at(pos, 1 << 20))
+        head, n = self.at(pos, CHUNK), CHUNK
+        while True:
+            try:
+                heads, a, b = parse(head)
+                break
+            except Bad as e:
+                if e.reason != "headers do not end" or len(head) < n or n >= HEADERS:
+                    raise
+                n *= 4
+                head = self.at(pos, n)
         if pos + b + 4 > self.size:
             raise Bad("file ends within the record")
+        if b - a > self.most:
+            raise Bad("record is larger than a row can be")
         block = head[a:b] if b <= len(head) else self.at(pos + a, b - a)
         if self.at(pos + b, 4) != b"\r\n\r\n":
             raise Bad("record does not end where its length says")
         check(heads, block, pos + b + 4)
         return heads, block, pos + b + 4
 
-    def zipped(self, pos: int) -> tuple[dict[str, str], bytes, int]:
-        if self.at(pos, 3) != b"\x1f\x8b\x08":
-            raise Bad("no member")
-        z, out, at = zlib.decompressobj(31), [], pos
+    def inflate(self, pos: int) -> Iterator[tuple[bytes, int]]:
+        """Pieces of a member, of a bounded size, and where the file is read to."""
+        z, at, data = zlib.decompressobj(31), pos, b""
         try:
             while not z.eof:
-                data = self.at(at, CHUNK)
                 if not data:
-                    raise Bad("file ends within the member")
-                out.append(z.decompress(data))
-                at += len(data)
-                if len(out) == 1 and out[0] and not out[0].startswith(b"WARC/1."[: len(out[0])]):
-                    raise Bad("member holds no record")
+                    data = self.at(at, CHUNK)
+                    at += len(data)
+                    if not data:
+                        raise Bad("file ends within the member")
+                piece = z.decompress(data, 4 * CHUNK)
+                data = z.unconsumed_tail
+                yield piece, at - len(z.unused_data)
         except zlib.error as e:
             raise Bad("member is damaged: " + str(e)[:60]) from None
-        end = at - len(z.unused_data)
-        data = b"".join(out)
-        try:
-            heads, a, b = parse(data)
-        except Bad as e:
-            raise Bad(e.reason, end) from None
-        if data[b:] != b"\r\n\r\n":
-            raise Bad("record does not end where its length says", end)
-        check(heads, data[a:b], end)
-        return heads, data[a:b], end
+
+    def zipped(self, pos: int) -> tuple[Iterator[tuple], int, bool]:
+        """What a whole member holds, as read gives it, its end, and whether it is small.
+        The member is first read through for its own checksum."""
+        if self.at(pos, 3) != b"\x1f\x8b\x08":
+            raise Bad("no member")
+        size, end, first, kept = 0, pos, b"", []
+        for piece, end in self.inflate(pos):
+            if len(first) < 5:
+                first += piece[:5]
+                if not b"WARC/".startswith(first[:5]):
+                    raise Bad("member holds no record")
+            size += len(piece)
+            kept = [*kept, piece] if size <= 32 * CHUNK and kept is not None else None
+        whole = b"".join(kept) if kept is not None else None
+        inner = File((lambda p, n: whole[p : p + n]) if whole is not None else Inflated(self, pos).read_at, size, self.most)
+        return inner.read(False), end, whole is not None
+
+    def good(self, pos: int, packed: bool) -> int:
+        """The end of what is whole at pos: a record, or a member that holds one."""
+        if not packed:
+            return self.plain(pos)[2]
+        found, end, _ = self.zipped(pos)
+        reason = "member holds no record"
+        for kind, *_, why in found:
+            if kind == "record":
+                return end
+            reason = why
+        raise Bad(reason, end)
 
     def search(self, pos: int, packed: bool) -> int:
         """The next place from pos on where a whole record passes its checks, or the end."""
@@ -135,37 +192,51 @@ class File:
                 pos += CHUNK
                 continue
             try:
-                (self.zipped if packed else self.plain)(pos + i)
+                self.good(pos + i, packed)
                 return pos + i
             except Bad:
                 pos += i + 1
         return self.size
 
     def read(self, packed: bool) -> Iterator[tuple]:
-        """(kind, start, end, headers, block, reason) of records and quarantined gaps,
-        which together cover the file."""
+        """(kind, start, end, offset, headers, block, reason) of records and quarantined
+        gaps, which together cover the file. What lies in one member has its start and
+        end, and the offset in what the member holds."""
         pos, gap, reason = 0, None, ""
         while pos < self.size:
             try:
-                heads, block, end = (self.zipped if packed else self.plain)(pos)
-                if gap is not None:
-                    yield "gap", gap, pos, {}, None, reason
-                    gap = None
-                yield "record", pos, end, heads, block, None
-                pos = end
+                if packed:
+                    inside, end, small = self.zipped(pos)
+                    if small:
+                        inside = list(inside)
+                        if all(x[0] != "record" for x in inside):
+                            raise Bad(inside[0][-1] if inside else "member holds no record", end)
+                    else:
+                        self.good(pos, True)
+                        inside = self.zipped(pos)[0]
+                    found = ((kind, pos, end, start, *rest) for kind, start, _, _, *rest in inside)
+                else:
+                    heads, block, end = self.plain(pos)
+                    found = [("record", pos, end, 0, heads, block, None)]
             except Bad as e:
                 if gap is None:
                     gap, reason = pos, e.reason
                 pos = self.search(e.at if e.at is not None else pos + 1, packed)
+                continue
+            if gap is not None:
+                yield "gap", gap, pos, 0, {}, None, reason
+                gap = None
+            yield from found
+            pos = end
         if gap is not None:
-            yield "gap", gap, self.size, {}, None, reason
+            yield "gap", gap, self.size, 0, {}, None, reason
 
 
 def rows(path: str, f: File, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
-    for kind, start, end, heads, block, reason in f.read(path.endswith(".gz")):
+    for kind, start, end, offset, heads, block, reason in f.read(path.endswith(".gz")):
         get = heads.get
-        held.append((path, kind, start, end, get("warc-type"), get("warc-record-id"), get("warc-target-uri"), get("warc-date"), block, reason))
+        held.append((path, kind, start, end, offset, get("warc-type"), get("warc-record-id"), get("warc-target-uri"), get("warc-date"), block, reason))
         size += len(block or b"")
         if size >= most or len(held) >= 4096:
             yield pa.RecordBatch.from_pydict(dict(zip(FIELDS, map(list, zip(*held)))), ARROW)
@@ -179,15 +250,19 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records and quarantined gaps of WARC files, those that end in .gz with a member
-    for each record: path, kind (record or gap), start and end in the file's bytes, type,
-    record_id, uri, date, payload, and reason of a gap.
+    """Records and quarantined gaps of WARC files, those that end in .gz in members of one
+    record or more: path, kind (record or gap), start and end in the file's bytes, offset in
+    what the member holds, type, record_id, uri, date, payload, and reason of a gap.
 
-    A record passes if its version line, headers, length, end and, where given, SHA-1
-    digest hold, and its member's checksum. After a failure the reader searches for the
-    next member or version line from which a whole record passes; the bytes between are
+    A record passes if its version line, headers (folded ones too), length, end and, where
+    given, digest hold, and its member's checksum. After a failure the reader searches for
+    the next member or version line from which a whole record passes; the bytes between are
     a gap with the reason of the first failure. Records and gaps cover each file without
-    overlap. A file is read by one task in a window, never as a whole.
+    overlap; within a whole member, those of it cover what it holds. A file is read by one
+    task in a window, and a member in pieces: memory holds one record.
+
+    Quarantined by size are only records of more than 1 GiB, which no row can hold, and
+    headers of more than 16 MiB.
 
     An empty file and an empty list give no rows; a file of other data is one gap.
     Repeated paths are read again. A missing file is an error.
@@ -255,9 +330,13 @@ def harm(number: int, data: bytes) -> bytes:
 
 def salvage_pages(pages: DataFrame) -> DataFrame:
     """pages written as compressed WARC files of which records are damaged (harm), and
-    what read_warc recovers: page_id, url and html of records, and gaps, without paths."""
+    what read_warc recovers: page_id, url and html of records, and gaps, without paths.
+
+    A null page_id stays null, a null url becomes an empty one, null and empty html an
+    empty record; equal rows are records of their own, in no set order of files; an empty
+    table gives no rows; other columns are not read."""
     got = read_warc(pages.sparkSession, write_warc(pages, damage=harm))
     return got.select(
         "kind", F.when(F.col("kind") == "record", F.expr("try_cast(regexp_extract(record_id, '^<urn:record:(-?[0-9]+)>$', 1) as bigint)")).alias("page_id"), F.col("uri").alias("url"), F.decode("payload", "UTF-8").alias("html"),
-        F.element_at(F.split("path", "/"), -1).alias("file"), "start", "end", "reason",
+        F.element_at(F.split("path", "/"), -1).alias("file"), "start", "end", "offset", "reason",
     )
