@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import unicodedata
 from bisect import bisect_right
@@ -49,7 +50,10 @@ _AT = rf"(?:\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*|\s+at\s+|\s*@\s*)"
 _DOT = rf"(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s+dot\s+|\.)"
 _NAME = r"[a-z0-9_%+\-]"
 #: local part, at, labels, each joined by a dot in some disguise; a plain address matches too.
-ADDRESS = re.compile(rf"{_NAME}+(?:{_DOT}{_NAME}+){{0,8}}?{_AT}[a-z0-9\-]+(?:{_DOT}[a-z0-9\-]+){{1,8}}", re.I)
+#: Each side has at most 64 labels, as no host name has more.
+ADDRESS = re.compile(rf"(?<!{_NAME}){_NAME}++(?:{_DOT}{_NAME}++){{0,63}}+{_AT}[a-z0-9\-]++(?:{_DOT}[a-z0-9\-]++){{1,64}}+", re.I)
+#: before a bare at these are prose: meet me at example dot com
+PROSE = frozenset("me us him her it them you i we they he she here there now be is was are were meet look see stay live work arrive this that home day time".split())
 HINT = re.compile(rf"\sdot\s|{_OPEN}\s*(?:at|dot|\.|@)\s*{_CLOSE}|\s@|@\s", re.I)
 AT, DOT, PART = re.compile(_AT, re.I), re.compile(_DOT, re.I), re.compile(rf"{_DOT}|{_AT}", re.I)
 #: at least three spelled digits in a row, mixed with figures: fewer are prose
@@ -64,7 +68,12 @@ SSN = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}\Z")
 DATE = re.compile(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}\Z|\d{1,2}[-./]\d{1,2}[-./]\d{4}\Z")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_\- ]?key|access[_\- ]?key)\b[\"']?\s*[=:]\s*[\"']?([^\s\"']{8,})")
 SECRET_HINT = re.compile(r"(?i)token|secret|passw|key")
-LOCAL = 256
+MAC = re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![\w:-])")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?:\d{1,3}(?:\.\d{1,3}){3})?(?![\w:])")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
+BOOK = re.compile(r"(?i)\b(?:isbn|issn|ean|gtin|doi)\b[\s:#\-]*(?:1[03][\s:\-]+)?$")
+#: without a plus or a bracket: groups as the numbering plans of North America or, from 0 on, of Europe have them
+PLAN = re.compile(r"(?:1[ .\-]?)?[2-9]\d{2}[ .\-]?[2-9]\d{2}[ .\-]?\d{4}\Z|0\d(?:[ .\-/()]{0,3}\d){7,13}\Z|\d{3}[ .\-]\d{4}\Z|\d{1,4}[ .\-]\d{3}[ .\-]\d{3,4}[ .\-]\d{3,4}\Z|\d{2,5}[\-/]\d{5,9}\Z")
 
 
 class Found(NamedTuple):
@@ -113,6 +122,8 @@ class Transducer:
             return []
         a = ats[0]
         bare = a.group().strip().lower() == "at"
+        if bare and s[: a.start()].lower() in PROSE:
+            return []
         dots = [d for d in DOT.finditer(s)]
         after = [d for d in dots if d.start() >= a.end()]
         if not after or (bare and not any(d.group().strip() != "." for d in after)):
@@ -162,32 +173,49 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def number(s: str) -> str | None:
-    """Kind of a run of digits with separators, or None."""
+def ean(digits: str) -> bool:
+    return sum(int(c) * (1 + 2 * (i % 2)) for i, c in enumerate(digits)) % 10 == 0
+
+
+def iban(s: str) -> bool:
+    """The check digits of an account number."""
+    x = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def number(s: str, before: str = "", spelled: bool = False) -> str | None:
+    """Kind of a run of digits with separators, or None; before: what stands before it;
+    spelled: some of its digits are words, as nobody writes counts."""
     digits = re.sub(r"\D", "", s)
     n = len(digits)
     if IP.match(s):
         return "ip" if all(int(x) < 256 for x in s.split(".")) else None
-    if DATE.match(s):
+    if DATE.match(s) or BOOK.search(before) or n == 13 and digits[:3] in ("978", "979") and ean(digits):
         return None
     if SSN.match(s):
         return "ssn"
     plain = s.isdigit()
-    groups = len(re.findall(r"\d+", s))
     if 13 <= n <= 19 and (luhn(digits) or plain):
         return "card" if luhn(digits) else "account"
     if s[0] in "+(" and 7 <= n <= 15:
         return "phone"
-    if 9 <= n <= 15 and (groups > 1 or n in (10, 11)):
-        return "phone"
-    if n == 7 and groups == 2:
+    if 7 <= n <= 15 and PLAN.match(s) or spelled and 9 <= n <= 15:
         return "phone"
     return None
 
 
+def version6(s: str) -> bool:
+    """Whether this is an IPv6 address of three groups at least, so that times and double
+    colons in prose are none."""
+    try:
+        return len(s) >= 6 and len(re.findall(r"[0-9A-Fa-f]+", s)) >= 3 and ipaddress.IPv6Address(s) is not None
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[Found]:
     """Identifiers of one text by place; of overlapping ones the first kind wins:
-    secrets, addresses, numbers."""
+    secrets, e-mail, IBAN, MAC and IPv6 addresses, numbers."""
     t = Transducer(text)
     s, spans = t.text, []
     if ("=" in s or ":" in s) and SECRET_HINT.search(s):
@@ -195,19 +223,22 @@ def detect(text: str) -> list[Found]:
     at = s.find("@")
     while at >= 0:
         lo = at
-        while lo > 0 and at - lo < LOCAL and (s[lo - 1].isalnum() and s[lo - 1].isascii() or s[lo - 1] in "_%+-."):
+        while lo > 0 and (s[lo - 1].isalnum() and s[lo - 1].isascii() or s[lo - 1] in "_%+-."):
             lo -= 1
-        m = None
-        while lo < at and not m:
-            m = EMAIL.match(s, lo)
-            lo += 1
+        lo = max(lo, s.rfind("..", lo, at) + 2 if ".." in s[lo:at] else lo)
+        m = EMAIL.match(s, lo + (s[lo] == "."))
         if m:
             spans.append(("email", m.start(), m.end()))
         at = s.find("@", max(m.end() if m else 0, at + 1))
+    if s.count(":") > 1 or s.count("-") > 4:
+        spans += [("mac", *m.span()) for m in MAC.finditer(s)]
+        spans += [("ip", *m.span()) for m in IPV6.finditer(s) if version6(m.group())]
+    spans += [("iban", *m.span()) for m in IBAN.finditer(s) if iban(m.group())]
     for m in RUN.finditer(s):
         lo, hi = m.span()
         piece = m.group()
-        kind = number(piece)
+        spelled = bool(t.maps) and any(c.isalpha() and c.isascii() for c in text[slice(*t.back(lo, hi))])
+        kind = number(piece, s[max(0, lo - 24) : lo], spelled)
         if kind:
             spans.append((kind, lo, hi))
             continue
@@ -233,7 +264,8 @@ def word_hashes(k: Kernel, words: list[str]) -> np.ndarray:
 def suspects(k: Kernel, arr: pa.Array) -> np.ndarray:
     """The texts in which detect can find anything at all. None of the others has four
     digits, an @, a sign that a transducer rewrites, three spelled digits, dot as a
-    word, a bracket with at, or a secret's name with = or a colon."""
+    word, a bracket with at, five colons or dashes, two colons in a row, or a secret's
+    name with = or a colon."""
     text, offs = bytes_of(arr)
     h, _, _, wo = k.words(text, offs, word_lut())
 
@@ -242,15 +274,18 @@ def suspects(k: Kernel, arr: pa.Array) -> np.ndarray:
         return c[at[1:]] - c[at[:-1]]
 
     table = np.zeros(256, np.uint8)
-    for bit, signs in ((1, b"0123456789"), (2, b"@"), (4, b"([{<"), (8, b"=:")):
+    for bit, signs in ((1, b"0123456789"), (2, b"@"), (4, b"([{<"), (8, b"=:"), (16, b":-")):
         table[np.frombuffer(signs, np.uint8)] |= bit
     table[0xC4:] |= 2  # other scripts and signs than Latin-1 letters
     table[0xC2] |= 2
     kind = table[text]
     has = lambda bit: per((kind & bit) > 0, offs)
+    two = np.zeros(len(text), bool)
+    two[1:] = (text[1:] == 58) & (text[:-1] == 58)
+    twice = per(two, offs)
     word = lambda *w: per(np.isin(h, word_hashes(k, list(w))), wo)
     return np.flatnonzero(
-        (has(1) >= 4) | (has(2) > 0) | (word("dot") > 0) | (has(4) > 0) & (word("at", "dot") > 0) | (word(*DIGITS) >= 3)
+        (has(1) >= 4) | (has(16) >= 5) | (twice > 0) | (has(2) > 0) | (word("dot") > 0) | (has(4) > 0) & (word("at", "dot") > 0) | (word(*DIGITS) >= 3)
         | (has(8) > 0) & (word("token", "secret", "password", "passwd", "key", "apikey", "accesskey") > 0)
     )
 
@@ -263,9 +298,12 @@ def find_identifiers(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     characters that show nothing, and read three or more spelled digits in a row and at
     and dot in disguise (in brackets, or as words where both are). Each keeps the
     places it changed, so that a span found in the normal form maps back to the source
-    exactly. Kinds: secret, email, ip, ssn, card (13 to 19 digits with a Luhn check
-    digit), account (as many without one), phone. Dates and version-like numbers are
-    none. A bare "at" in prose is none.
+    exactly. Kinds: secret, email, ip (4 and 6), mac, iban (by its check digits), ssn, card
+    (13 to 19 digits with a Luhn check digit), account (as many without one), phone (with
+    a plus or bracket, or as numbering plans group it). Dates, version-like numbers, book
+    numbers, counts and runs of more than 23 digits are none. A bare "at" is a disguise only
+    where a dot of the host is one too and no pronoun or the like (PROSE) stands before it.
+    An address has at most 64 labels on a side.
 
     Each row by itself: nothing shuffles. Null and empty texts give no rows; repeated
     rows repeat theirs; a null id is kept. An empty table gives no rows. Other columns
