@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestry.llm.bloom import repeated
 from attestry.llm.kernels import Kernel, U, blank_lut, bytes_of, mix, ngrams, owners, pieces
-from attestry.llm.shared import col
+from attestry.llm.shared import col, table
 
 K = 16
 PLACE = 28  # bits of a place in a piece of text
 LEVELS = 8  # ranks of 1, 2, 4 ... 128 words
+MEMORY = 24 << 20  # bytes of runs that a task remembers
 
 
 def sliding_min(g: np.ndarray, w: int) -> np.ndarray:
@@ -112,23 +114,24 @@ def lpf(words: np.ndarray, text: np.ndarray, at: np.ndarray, position: np.ndarra
     return out, src
 
 
-def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 50, batch_words: int = 1 << 20) -> DataFrame:
+def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 50, batch_words: int = 1 << 19) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): the spans of characters in which a
     document repeats at least min_words words that stand earlier in the corpus, in
-    the order of (doc_id, hash of text, position); first_doc_id is where the earlier
-    copy of its beginning was found. Words are what blanks separate, compared as they
+    the order of (doc_id, hash of text, position); first_doc_id is a document with an
+    earlier copy of its beginning (of several any, by how the table is split). Words are what blanks separate, compared as they
     are. Removing the spans leaves the first copy of everything.
 
     The suffix array is distributed by minimisers: windows of min_words words with the
     same least 16-gram meet in one bucket, so equal windows always do. Only those
-    windows travel whose 16-gram occurs again; that is found on hashes of the
-    windows' runs, and documents are joined to it by id. In a bucket the suffix array
+    windows travel whose 16-gram occurs again; that is found by Bloom filters over ranges
+    of hashes, and documents are joined to it by id. In a bucket the suffix array
     comes from doubled ranks, and previous and next smaller positions in suffix order
     give each suffix its longest previous factor. Runs of the same words as an earlier
-    one count as repeated without entering the suffix array.
+    one count as repeated without entering the suffix array: within a task, which sends
+    of equal runs the earliest only, and again where they meet, where none is kept.
 
-    A bucket is worked on in batches of batch_words words; the windows of one
-    minimiser are never parted.
+    A bucket is worked on in batches of batch_words words; the different runs of one
+    minimiser are never parted, and lie in one task's memory.
 
     Null, empty and shorter texts have no spans. Repeats within a document count.
     Rows equal in doc_id and text are one document. A null doc_id comes last. An empty
@@ -150,13 +153,16 @@ def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
                     n = np.diff(np.concatenate([new, [len(m)]]))
                     yield pa.record_batch([pa.array(m[new].view(np.int64)), part.column(0).take(pa.array(doc[new])), pa.array(n > 1)], ["m", "h", "within"])
 
-    found = src.select("h", "t").mapInArrow(minimisers, "m long, h long, within boolean")
-    by_m = Window.partitionBy("m")
-    again = found.withColumn("again", F.max("within").over(by_m) | (F.min("h").over(by_m) != F.max("h").over(by_m))).where("again")
-    wanted = again.groupBy("h").agg(F.collect_set("m").alias("ms")).withColumnRenamed("h", "h2")
+    found = table(src.select("h", "t").mapInArrow(minimisers, "m long, h long, within boolean"), "minimisers")
+    twice = F.explode(F.when(F.col("within"), F.array("m", "m")).otherwise(F.array("m")))
+    again = repeated(found.select(twice.alias("m")), "m", found.count())
+    # an m of many documents is a join of 16 bytes a row, which may be split
+    wanted = found.select("m", "h").join(again, F.col("m") == F.col("k"), "left_semi").groupBy("h").agg(F.collect_set("m").alias("ms")).withColumnRenamed("h", "h2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = Kernel()
+        """Runs with their bytes; without, and with the earlier document as s, those that
+        this task has sent for an earlier place."""
+        k, seen, memory = Kernel(), {}, 0
         for batch in batches:
             for part in pieces(batch, "t"):
                 b, starts, ends, wo, m, at, n, doc = super_mers(k, part.column(2), min_words)
@@ -172,20 +178,47 @@ def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
                 offs = bytes_of(part.column(2))[1]
                 data = b.tobytes()
                 raw = [data[x:y] for x, y in zip(starts[at].tolist(), ends[last].tolist())]
-                take = pa.array(doc)
+                d, h = part.column(0).to_pylist(), part.column(1).to_pylist()
+                source, sent = np.full(len(raw), -1), np.ones(len(raw), bool)
+                firsts = []
+                for i, (x, y, w) in enumerate(zip(raw, doc.tolist(), (at - wo[doc]).tolist())):
+                    place = (d[y] is None, d[y], h[y], w)
+                    first = seen.get(x)
+                    if first is None or place < first:
+                        seen[x] = place
+                        memory += len(x) + 300
+                    else:
+                        raw[i], sent[i], source[i] = None, place > first, len(firsts)
+                        firsts.append(first[1])
+                if memory > MEMORY:
+                    seen, memory = {}, 0
+                m, at, n, doc, last, source, raw = m[sent], at[sent], n[sent], doc[sent], last[sent], source[sent], [x for x, y in zip(raw, sent) if y]
+                take, base = pa.array(doc), chars[offs[doc]]
+                s = pa.array(firsts, part.column(0).type).take(pa.array([None if x < 0 else x for x in source.tolist()], pa.int64()))
                 yield pa.record_batch(
-                    [pa.array(m.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array((at - wo[doc]).astype(np.int32)), pa.array((chars[starts[at]] - chars[offs[doc]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(raw, pa.binary())],
-                    ["m", "d", "h", "w", "c", "n", "raw"],
+                    [pa.array(m.view(np.int64)), part.column(0).take(take), part.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (at - wo[doc], last + 1 - wo[doc], chars[starts[at]] - base, chars[ends[last]] - base, n)), pa.array(raw, pa.binary()), s],
+                    ["m", "d", "h", "w", "x", "c", "e", "n", "raw", "s"],
                 )
 
     ints = lambda *names: [T.StructField(x, T.IntegerType()) for x in names]
-    schema = T.StructType([T.StructField("m", T.LongType()), T.StructField("d", kind), T.StructField("h", T.LongType()), *ints("w", "c", "n"), T.StructField("raw", T.BinaryType())])
+    schema = T.StructType([T.StructField("m", T.LongType()), T.StructField("d", kind), T.StructField("h", T.LongType()), *ints("w", "x", "c", "e", "n"), T.StructField("raw", T.BinaryType()), T.StructField("s", kind)])
     hit = src.join(wanted, src.h == wanted.h2).select("d", "h", "t", "ms")
-    mers = hit.mapInArrow(cut, schema).repartition("m").sortWithinPartitions(F.col("m"), F.col("raw"), F.col("d").asc_nulls_last(), F.col("h"), F.col("w"))
+    mers = hit.mapInArrow(cut, schema).repartition(F.when(F.col("raw").isNull(), F.xxhash64("d", "h", "w")).otherwise(F.col("m"))).sortWithinPartitions(F.col("m"), F.col("raw"), F.col("d").asc_nulls_last(), F.col("h"), F.col("w"))
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, held, count = Kernel(), [], 0
+        k, held, count, last = Kernel(), [], 0, None
         for batch in batches:
+            known = batch.filter(pc.is_null(batch.column("raw")))
+            if known.num_rows:
+                yield known.select(SPAN)
+            batch = batch.filter(pc.is_valid(batch.column("raw")))
+            if not batch.num_rows:
+                continue
+            repeats, batch, last = collapse(k, batch, last)
+            if repeats.num_rows:
+                yield repeats
+            if not batch.num_rows:
+                continue
             at = 0
             m = batch.column(0).to_numpy()
             edges = np.flatnonzero(m[1:] != m[:-1]) + 1
@@ -210,28 +243,38 @@ def find_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     return merged.select(F.col("d").alias("doc_id"), "start", "end", "n_words", F.col("s").alias("first_doc_id"))
 
 
+SPAN = ["d", "h", "w", "x", "c", "e", "s"]
+
+
+def collapse(k: Kernel, b: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, pa.RecordBatch, tuple]:
+    """Of runs sorted by minimiser, bytes and place, after a run last: the repeated ones
+    as spans, the first of each, and the last run. Equal rows count once."""
+    raw, offs = bytes_of(b.column("raw"))
+    m, h, w = (b.column(c).to_numpy() for c in ("m", "h", "w"))
+    whole = k.ranges(k.prefix(raw), offs[:-1], offs[1:])
+    same = np.concatenate([[last is not None and last[0] == m[0]], (m[1:] == m[:-1]) & (whole[1:] == whole[:-1]) & (np.diff(offs)[1:] == np.diff(offs)[:-1])])
+    data = b.column("raw")
+    for i in np.flatnonzero(same).tolist():  # hashes agree; now the bytes
+        same[i] = data[i].as_py() == (data[i - 1].as_py() if i else last[1])
+    d = b.column("d")
+    again = same.copy()
+    for i in np.flatnonzero(same).tolist():  # an equal row stands beside its twin
+        again[i] = (h[i], w[i], d[i].as_py()) != ((h[i - 1], w[i - 1], d[i - 1].as_py()) if i else last[2:5])
+    lead = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
+    rows = np.flatnonzero(again)
+    heads = pa.array(np.where(lead[rows] < 0, 0, lead[rows]))
+    s = d.take(heads) if last is None or (lead[rows] >= 0).all() else pa.array([d[j].as_py() if j >= 0 else last[5] for j in lead[rows].tolist()], d.type)
+    some = b.take(pa.array(rows)).select(SPAN[:-1])
+    end = (int(m[-1]), data[-1].as_py(), h[-1], w[-1], d[-1].as_py(), d[int(lead[-1])].as_py() if lead[-1] >= 0 else last[5])
+    return pa.record_batch([*some.columns, s], SPAN), b.filter(pa.array(~same)), end
+
+
 def spans(k: Kernel, t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by minimiser, bytes and place: the repeated stretches, by words
-    (w to x) and characters (c to e) of their document, and where the first stands (s).
-    The runs of equal rows stand side by side and count once."""
-    twin = np.ones(t.num_rows, bool)
-    twin[:1] = False
-    for c in ("m", "h", "w"):
-        x = t[c].to_numpy()
-        twin[1:] &= x[1:] == x[:-1]
-    d = t["d"].combine_chunks() if t.num_rows else t["d"]
-    for i in np.flatnonzero(twin).tolist():
-        twin[i] = d[i].as_py() == d[i - 1].as_py()
-    t = (t.filter(pa.array(~twin)) if twin.any() else t).combine_chunks()
+    """Of different runs sorted by minimiser: the repeated stretches, by words (w to x) and
+    characters (c to e) of their document, and where the first stands (s)."""
+    t = t.combine_chunks()
     raw, offs = bytes_of(t["raw"])
     h, starts, ends, wo = k.words(raw, offs, blank_lut())
-    m = t["m"].to_numpy()
-    whole = k.ranges(k.prefix(raw), offs[:-1], offs[1:])
-    same = np.concatenate([[False], (m[1:] == m[:-1]) & (whole[1:] == whole[:-1]) & (np.diff(offs)[1:] == np.diff(offs)[:-1])])
-    if same.any():  # hashes agree; now the bytes
-        data = t["raw"].to_pylist()
-        for i in np.flatnonzero(same).tolist():
-            same[i] = data[i] == data[i - 1]
     w0, c0, n = t["w"].to_numpy().astype(np.int64), t["c"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64)
     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
@@ -244,14 +287,10 @@ def spans(k: Kernel, t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
         flat = lambda x: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
         return pa.record_batch(
             [flat(pick("d", take)), flat(pick("h", take)), *(pa.array(x.astype(np.int32)) for x in (w0[row] + a - first, w0[row] + b - first, base + chars[starts[a]], base + chars[ends[b - 1]])), flat(pick("d", src))],
-            ["d", "h", "w", "x", "c", "e", "s"],
+            SPAN,
         )
 
-    again = np.flatnonzero(same)
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    if len(again):
-        yield rows(again, wo[again], wo[again + 1], lead[again])
-    keep = np.flatnonzero(~same)
+    keep = np.arange(t.num_rows)
     size = np.diff(wo)[keep]
     # words of the runs that are left, and the suffixes that begin a window
     number = np.repeat(np.arange(len(keep)), size)
