@@ -13,8 +13,12 @@ from attestry.llm.kernels import bytes_of
 from attestry.llm.shared import col, fresh, table
 
 BINS = 64
-#: Host names that stand for bad URLs where no labelled URLs are given.
-SEEDS = ("casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track", "adult-x")
+#: Words of hosts and what each says of a URL for which no label is given; two are enough.
+WORDS = {
+    2: "casino bets poker slots jackpot pills pharma viagra cialis spam porn xxx adult escort sex warez crack keygen torrent payday malware phish",
+    1: "bet win winner free cheap prize bonus lottery lucky deal discount replica ads ad adserver track tracker click clicks popup banner loan loans meds drugs dating hot farm toolbar download",
+}
+WEIGHTS = {word: weight for weight, words in WORDS.items() for word in words.split()}
 NAMES = (
     "length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digit_share", "hyphens_in_host", "hyphens_in_path", "entropy", "host_entropy",
     "parameters", "query_length", "fragment", "https", "upper_share", "escapes", "suffix_length", "suffix_frequency", "suffix_bad_share", "longest_label", "vowel_share", "rare_pairs",
@@ -156,10 +160,24 @@ def spread(df: DataFrame, url: str) -> list[Column]:
     return [F.coalesce(col(url), F.lit("")).alias("url"), *(p[c].alias(c) for c in COLUMNS[1:])]
 
 
-def seed_labels(df: DataFrame, url: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """(url, bad): labelled URLs, bad where a label of the host is a seed."""
-    host = parts(col(url))["host"]
-    return df.where(col(url).isNotNull()).select(col(url).alias("url"), F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, seeds))).cast("int").alias("bad"))
+def seed_labels(df: DataFrame, url: str = "url") -> DataFrame:
+    """(url, bad, family): labels from weak signals that vote: words of the host, an IP
+    address, a user's name before it, a host in punycode, four hyphens in a host, as many
+    digits as letters. Two votes make a URL bad, none makes it good, one leaves it without
+    a label. family is the host without its first label if that is a common one, so that
+    a model can be tested on families that it has not seen."""
+    p = parts(col(url))
+    host = p["host"]
+    words = F.array_distinct(F.split(host, r"[.\-_]+"))
+    named = F.map_from_arrays(F.array(*map(F.lit, WEIGHTS)), F.array(*map(F.lit, WEIGHTS.values())))
+    digits, letters = F.regexp_count(host, F.lit("[0-9]")), F.regexp_count(host, F.lit("[a-z]"))
+    rest = F.regexp_replace(F.coalesce(col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    others = [(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), 2), (F.regexp_extract(rest, r"^([^/?#]*)", 1).contains("@"), 1), (host.contains("xn--"), 1), (F.regexp_count(host, F.lit("-")) >= 4, 1), ((digits >= letters) & (letters > 0), 1)]
+    votes = F.aggregate(words, F.lit(0), lambda s, w: s + F.coalesce(F.try_element_at(named, w), F.lit(0)))
+    for hit, weight in others:
+        votes = votes + F.when(hit, weight).otherwise(0)
+    bad = F.when(votes >= 2, 1).when(votes == 0, 0)
+    return df.where(col(url).isNotNull()).select(col(url).alias("url"), bad.alias("bad"), F.regexp_replace(host, r"^(www|m|blog|en|mail)\d*\.", "").alias("family"))
 
 
 def train(df: DataFrame, labels: DataFrame, url: str = "url", max_labels: int = 20_000, max_suffixes: int = 4096) -> Model | None:
@@ -198,6 +216,9 @@ def train(df: DataFrame, labels: DataFrame, url: str = "url", max_labels: int =
         bad.setdefault(s, []).append(v)
     suffixes = {r["s"]: (float(np.log(r["count"] / total)), (sum(bad.get(r["s"], [])) + 1) / (len(bad.get(r["s"], [])) + 2)) for r in often}
     x = features(*(sample[c] for c in COLUMNS), suffixes, pairs)
+    # of the labels of its suffix, a URL to learn from must not see its own
+    of = [(sum(bad[s]), len(bad[s])) for s in sample["suffix"].to_pylist()]
+    x[:, NAMES.index("suffix_bad_share")] = [(a - v + 1) / (n + 1) for (a, n), v in zip(of, y.tolist())]
     return Model(boost(x, y), suffixes, pairs, total, counts if distinct > len(suffixes) else None)
 
 
@@ -208,7 +229,7 @@ def url_filter(df: DataFrame, labels: DataFrame | None = None, url: str = "url",
     Gradient-boosted trees on lexical features only: lengths, depth, digit shares,
     entropies, counts of parameters, and statistics of suffixes and letter pairs over
     all of df. They are fitted on labelled URLs, by default those that seed_labels
-    derives from host names. Every URL is scored; nothing shuffles but statistics,
+    derives from weak signals. Every URL is scored; nothing shuffles but statistics,
     unless there are more suffixes than the model holds: then their counts are joined.
 
     A null URL has a null score and is kept; an empty one is scored like any other.
