@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -20,11 +21,12 @@ BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 class Capacity(NamedTuple):
-    """Of a bin: tokens, documents, and attention cost, the sum of squared lengths."""
+    """Of a bin: tokens, documents, and attention cost, the sum of squared lengths: at the
+    default, half of what one document that fills the bin would cost."""
 
     tokens: int = 4096
     documents: int = 32
-    attention: int = 4096 * 4096
+    attention: int = 4096 * 4096 // 2
 
 
 def token_counter(path: str, pattern: str):
@@ -109,11 +111,13 @@ def best_fit(lengths: np.ndarray, cap: Capacity, rule: str, weights: tuple[float
 
 def pack(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: Capacity = Capacity(), rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.3),
-    tokenizer: str | None = None, pattern: str | None = None, shard_pieces: int = 8192,
+    tokenizer: str | None = None, pattern: str | None = None, shard_pieces: int = 8192, longest: int = 2560,
 ) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, bin_id, slot): the bin of each piece of
-    each document; a document longer than a bin is cut into pieces of a bin's tokens
-    and a rest, and nothing of it is left out.
+    each document; a document of more than longest tokens is cut into pieces of so many
+    and a rest, and nothing of it is left out. longest stays below what fills a bin under
+    any capacity, so that what it leaves of the others can be filled; it never exceeds
+    the tokens of a bin or the root of its attention cost.
 
     Pieces are taken by falling length (ties by the hash of the id, then the piece) and
     put into the open bin that the rule, dot or norm, selects among those with room in
@@ -130,7 +134,9 @@ def pack(
     """
     if capacity.tokens < 1 or capacity.documents < 1 or capacity.attention < 1:
         raise ValueError("capacities must be positive")
-    longest = min(capacity.tokens, int(capacity.attention**0.5))
+    longest = min(longest, capacity.tokens, isqrt(capacity.attention))
+    if longest < 1:
+        raise ValueError("a piece has a token at least")
     path, cut = tokenizer, pattern
     if path is None:
         import public_tokenizers

@@ -31,9 +31,9 @@ def plain(lengths, cap, rule, w):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 16), max_size=60), st.sampled_from(["dot", "norm"]), st.integers(1, 5))
-def test_matches_plain_loop(lengths, rule, docs):
-    cap, w = Capacity(16, docs, 256), (1.0, 0.5, 0.25)
+@given(st.lists(st.integers(1, 11), max_size=60), st.sampled_from(["dot", "norm"]), st.integers(1, 5), st.sampled_from([128, 160, 256]))
+def test_matches_plain_loop(lengths, rule, docs, attention):
+    cap, w = Capacity(16, docs, attention), (1.0, 0.5, 0.25)
     lengths = sorted(lengths, reverse=True)
     assert best_fit(np.array(lengths, np.int64), cap, rule, w).tolist() == plain(lengths, cap, rule, w)
 
@@ -77,7 +77,21 @@ def test_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     got = pack(df).collect()
     assert sorted((r.doc_id or 0) for r in got if r.doc_id != 5) == [0, 3, 3]
-    assert sum(r.n_tokens for r in got if r.doc_id == 5) == 30001 and max(r.n_tokens for r in got) == 4096
+    assert sum(r.n_tokens for r in got if r.doc_id == 5) == 30001 and max(r.n_tokens for r in got) == 2560
+    assert max(r.n_tokens for r in pack(df, capacity=Capacity(4096, 32, 1_000_000)).collect()) == 1000
     assert pack(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pack(df, capacity=Capacity(0, 1, 1))
+
+
+def test_each_capacity_binds_at_the_default(spark):
+    rows = [(i, "w " * n) for i, n in enumerate([2500] * 20 + [1500] * 30 + [400] * 60 + [3] * 400)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    cap, bins = Capacity(), {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.n_tokens)
+    assert all(sum(b) <= cap.tokens and len(b) <= cap.documents and sum(n * n for n in b) <= cap.attention for b in bins.values())
+    assert any(len(b) == cap.documents for b in bins.values())
+    assert any(sum(b) + 401 > cap.tokens and len(b) < cap.documents and sum(n * n for n in b) + 401**2 <= cap.attention for b in bins.values())
+    # without the attention cost another document would have gone in
+    assert any(sum(n * n for n in b) + 1500**2 > cap.attention and sum(b) + 1500 <= cap.tokens for b in bins.values())
