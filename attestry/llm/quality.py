@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.kernels import Kernel, U, blank_lut, bytes_of, owners, pieces, word_lut
-from attestry.llm.shared import col, fresh
+from attestry.llm.shared import col, fresh, table
 
 BUCKETS = 1 << 18
 STATS = 10
@@ -80,23 +80,18 @@ def score(m: Model, f: Features) -> np.ndarray:
     return c[f.at[1:]] - c[f.at[:-1]] + expand(f.stats, m.mean, m.scale) @ m.dense + m.bias
 
 
-def take(f: Features, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their row and the figures of the given documents."""
-    n = np.diff(f.at)[rows]
-    start = np.repeat(f.at[rows] - np.cumsum(n) + n, n)
-    return f.words[start + np.arange(n.sum())], np.repeat(np.arange(len(rows)), n), f.stats[rows]
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def ratios(p: Features, u: Features, least: int = 40) -> np.ndarray:
-    """Logarithm of each word's share of positive by its share of unlabelled
-    documents; 0 for words in fewer than least documents of both."""
-    cp, cu = np.bincount(p.words, minlength=BUCKETS), np.bincount(u.words, minlength=BUCKETS)
-    r = np.log((cp + 1) / (len(p.stats) + 2)) - np.log((cu + 1) / (len(u.stats) + 2))
-    return np.where(cp + cu >= least, r, 0.0)
+def ratios(cp: np.ndarray, positives: int, cu: np.ndarray, documents: int) -> np.ndarray:
+    """Of each word, the logarithm r of how many positives hold it by how many would if they
+    were like the documents, each with one more, shrunk by its standard error: r times
+    r^2 / (r^2 + se^2). No word is cut for being rare: one that should have been in many
+    positives and is in none counts at any size of the table."""
+    expected = positives * cu / max(1, documents)
+    r = np.log((cp + 1) / (expected + 1))
+    return np.where(cu > 0, r**3 / (r**2 + 1 / (cp + 1) + 1 / (expected + 1)), 0.0)
 
 
 def only(f: Features, number: np.ndarray) -> Features:
@@ -106,59 +101,110 @@ def only(f: Features, number: np.ndarray) -> Features:
     return Features(words[words >= 0], c[f.at], f.stats)
 
 
-def fit(p: Features, u: Features, prior: float | None, epochs: int = 6, batch: int = 512, rate: float = 0.1, decay: float = 3e-4, seed: int = 7) -> Model:
-    """Linear model by Adam. With a prior, it minimises the non-negative unbiased risk
-    prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss: where the
-    bracket is negative in a batch, the step goes against it. Without, it tells
-    positive from unlabelled, for the estimate of the prior."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([p.stats, u.stats])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    full = ratios(p, u)
-    # words without a ratio never get a weight: only the others take part
-    active = np.flatnonzero(full)
+class Space(NamedTuple):
+    """What a parameter vector means: words with a ratio by number, then figures, then bias."""
+
+    number: np.ndarray
+    ratio: np.ndarray
+    mean: np.ndarray
+    scale: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.ratio) + 3 * STATS + 1
+
+
+def space(full: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> Space:
+    active = np.flatnonzero(np.abs(full) > 0.01)
     number = np.full(BUCKETS, -1, np.int32)
     number[active] = np.arange(len(active), dtype=np.int32)
-    p, u, ratio, size = only(p, number), only(u, number), full[active], len(active)
-    theta = np.zeros(size + 3 * STATS + 1)
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    step = 0
-    np_, nu = len(p.stats), len(u.stats)
-    rounds = max(1, nu // batch)
-    for _ in range(max(epochs, -(-400 // rounds))):
-        pp, uu = rng.permutation(np_), rng.permutation(nu)
-        for b in range(rounds):
-            rp = pp[np.arange(b * batch, (b + 1) * batch) % np_]
-            ru = uu[b * batch : (b + 1) * batch]
-            parts = []
-            for f, rows in ((p, rp), (u, ru)):
-                w, own, stats = take(f, rows)
-                x = expand(stats, mean, scale)
-                s = np.bincount(own, theta[w] * ratio[w], len(rows)) + x @ theta[size:-1] + theta[-1]
-                parts.append((w, own, x, s))
-            sp, su = parts[0][3], parts[1][3]
-            if prior is None:
-                dp, du = -sigmoid(-sp) / len(sp), sigmoid(su) / len(su)
-            else:
-                negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-                if negative >= 0:
-                    dp = (-prior * sigmoid(-sp) - prior * sigmoid(sp)) / len(sp)
-                    du = sigmoid(su) / len(su)
-                else:
-                    dp = prior * sigmoid(sp) / len(sp)
-                    du = -sigmoid(su) / len(su)
-            g = decay * theta
-            for (w, own, x, _), d in zip(parts, (dp, du)):
-                g[:size] += np.bincount(w, d[own] * ratio[w], size)
-                g[size:-1] += d @ x
-                g[-1] += d.sum()
-            step += 1
-            m1 += 0.1 * (g - m1)
-            m2 += 0.001 * (g * g - m2)
-            theta -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    return Space(number, full[active], mean, scale)
+
+
+def side(sp: Space, f: Features):
+    """Of documents: their scores under a parameter vector, and the sum of their features
+    weighted by a vector of one number each."""
+    f, n = only(f, sp.number), len(sp.ratio)
+    own, x = owners(f.at), expand(f.stats, sp.mean, sp.scale)
+
+    def scores(theta: np.ndarray) -> np.ndarray:
+        return np.bincount(own, (theta[:n] * sp.ratio)[f.words], len(x)) + x @ theta[n:-1] + theta[-1]
+
+    def weighted(d: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(f.words, d[own], n) * sp.ratio, d @ x, [d.sum()]])
+
+    return scores, weighted
+
+
+def unlabelled_sums(sp: Space, f: Features, theta: np.ndarray) -> np.ndarray:
+    """Sum of the loss of taking documents for negative, of its gradient, and their number."""
+    scores, weighted = side(sp, f)
+    s = scores(theta)
+    return np.concatenate([[np.logaddexp(0, s).sum()], weighted(sigmoid(s)), [len(s)]])
+
+
+def risk(sp: Space, p: Features, u: Callable[[np.ndarray], np.ndarray], prior: float | None, decay: float):
+    """The risk of a parameter vector and its gradient; u gives unlabelled_sums. With a
+    prior, the non-negative unbiased risk prior * R+(P) + max(0, R-(U) - prior * R-(P)) of
+    the logistic loss; without, that of telling positive from unlabelled, for the estimate
+    of the prior. decay counts once by the number of positives."""
+    scores, weighted = side(sp, p)
+    n = max(1, len(p.stats))
+    penalty = np.full(sp.size, decay / n)
+    penalty[-1] = 0
+
+    def of(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        s, sums = scores(theta), u(theta)
+        loss, g = sums[0] / max(1, sums[-1]), sums[1:-1] / max(1, sums[-1])
+        plus, dp = np.logaddexp(0, -s).sum() / n, -sigmoid(-s) / n
+        if prior is None:
+            value, grad = plus + loss, weighted(dp) + g
+        else:
+            rest = loss - prior * np.logaddexp(0, s).sum() / n
+            value, grad = prior * plus + max(0.0, rest), weighted(prior * dp)
+            if rest > 0:
+                grad = grad + g - weighted(prior * sigmoid(s) / n)
+        return value + (penalty * theta * theta).sum() / 2, grad + penalty * theta
+
+    return of
+
+
+def minimise(of, theta: np.ndarray, most: int, tolerance: float = 1e-3, memory: int = 8) -> np.ndarray:
+    """L-BFGS with halved steps, of at most so many evaluations."""
+    value, g = of(theta)
+    most, pairs, first = most - 1, [], max(1.0, float(np.linalg.norm(g)))
+    while most > 0 and np.linalg.norm(g) > tolerance * first:
+        q, rates = g.copy(), []
+        for s, y in reversed(pairs):
+            rates.append((s @ q) / (s @ y))
+            q -= rates[-1] * y
+        q = q * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])) if pairs else q / first
+        for (s, y), a in zip(pairs, reversed(rates)):
+            q += s * (a - (y @ q) / (s @ y))
+        step, moved = 1.0, False
+        while most > 0 and not moved:
+            new = of(theta - step * q)
+            most -= 1
+            moved = new[0] <= value - 1e-4 * step * (g @ q)
+            step = step if moved else step / 2
+        if not moved:
+            break
+        s, y = -step * q, new[1] - g
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        theta, value, g = theta + s, *new
+    return theta
+
+
+def model_of(sp: Space, theta: np.ndarray) -> Model:
+    n = len(sp.ratio)
     weights = np.zeros(BUCKETS, np.float32)
-    weights[active] = theta[:size] * ratio
-    return Model(weights, theta[size:-1], mean, scale, float(theta[-1]))
+    weights[np.flatnonzero(sp.number >= 0)] = theta[:n] * sp.ratio
+    return Model(weights, theta[n:-1], sp.mean, sp.scale, float(theta[-1]))
+
+
+def counts(f: Features) -> np.ndarray:
+    return np.bincount(f.words, minlength=BUCKETS)
 
 
 def best_bin(positive: np.ndarray, unlabelled: np.ndarray, total: int, delta: float = 0.1) -> float:
@@ -176,14 +222,6 @@ def best_bin(positive: np.ndarray, unlabelled: np.ndarray, total: int, delta: fl
     return float(np.clip(u[at] / p[at], 0.05, 0.99))
 
 
-def join(parts: list[Features]) -> Features:
-    if not parts:
-        return Features(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, STATS), np.float32))
-    base = np.cumsum([0] + [len(f.words) for f in parts])
-    at = np.concatenate([[0], *(f.at[1:] + b for f, b in zip(parts, base))])
-    return Features(np.concatenate([f.words for f in parts]), at, np.concatenate([f.stats for f in parts]))
-
-
 def pick(f: Features, rows: np.ndarray) -> Features:
     n = np.diff(f.at)[rows]
     at = np.concatenate([[0], np.cumsum(n)])
@@ -205,18 +243,30 @@ class Classifier(NamedTuple):
     threshold: float
 
 
+def packed(words: pa.Array, stats: pa.Array) -> Features:
+    """Features back from two columns of bytes."""
+    data, offs = bytes_of(words)
+    return Features(data.view(np.int32), offs // 4, bytes_of(stats)[0].view(np.float32).reshape(-1, STATS))
+
+
+GRAIN = float(1 << 20)  # sums travel as whole numbers of this fineness, so that their order does not matter
+
+
 def train(
-    df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_positive: int = 16_000, max_unlabelled: int = 32_000, keep: float = 0.995,
+    df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_positive: int = 16_000, first_unlabelled: int = 8_000, evaluations: int = 10, decay: float = 3.0, keep: float = 0.995,
 ) -> Classifier:
     """A classifier from trusted positives, those labels with quality 1 that are not
-    toxic, and unlabelled documents of df.
-
-    max_positive and max_unlabelled bound the samples the model is fitted on, taken by
-    the hash of the id; the class prior comes from the scores of all documents: two
-    models, each fitted without one half of the sample, score the halves they have
-    not seen. The threshold is the score that the share keep of held-out positives
-    reaches. No negative label is read. Without a trusted positive or
-    a document there is no model.
+    toxic, and unlabelled documents of df, which are all of df.
+
+    max_positive bounds the labelled documents that it is fitted on, taken by the hash of
+    the id. Word counts, the class prior and the risk are those of all documents of df: the
+    prior is estimated from the scores that two models, each fitted without one half of the
+    positives, give to all documents of the halves they have not seen; the risk of
+    unlabelled documents and its gradient are sums over all of them, taken by tasks at each
+    of at most so many evaluations. About first_unlabelled documents only serve to find
+    where these begin, and to fit the two models for the prior. The threshold is the score
+    that the share keep of held-out positives reaches. No negative label is read. Without a
+    trusted positive or a document there is no model.
     """
     trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     some, total = trusted.count(), df.count()
@@ -224,60 +274,102 @@ def train(
         return Classifier(None, 0.0, 0.0)
     share = lambda c, n, most, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1 << 20)) < min(1 << 20, most * (1 << 20) // n)
     ids = trusted.where(share(F.col("doc_id"), some, max_positive, 1)).select(F.col("doc_id").alias("pid"))
-    d = df.select(col(doc_id).alias("d"), col(text).alias("t"), F.xxhash64(col(doc_id), F.lit(3)).alias("f"))
-    drawn = d.join(F.broadcast(ids), d.d == ids.pid, "left").withColumn("u", share(F.col("d"), total, max_unlabelled, 2)).where("u or pid is not null")  # ids: at most max_positive, about
-    drawn = drawn.select("t", (F.col("f") % 10).alias("f"), F.col("pid").isNotNull().alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
+    d = df.select(col(doc_id).alias("d"), col(text).alias("t"))
+    marked = d.join(F.broadcast(ids), d.d == ids.pid, "left").select("t", F.pmod(F.xxhash64("d", F.lit(3)), F.lit(10)).cast("int").alias("f"), F.col("pid").isNotNull().alias("p"), F.coalesce(share(F.col("d"), total, first_unlabelled, 2), F.lit(False)).alias("u"))  # ids: at most max_positive, about
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = Kernel()
+        """The features of each document, and in how many of the task's each word is."""
+        k, sums, figures = Kernel(), np.zeros(BUCKETS, np.int64), np.zeros(2 * STATS)
+        names = ["f", "p", "u", "words", "stats", "word", "n"]
         for batch in batches:
             for part in pieces(batch, "t"):
                 f = features(k, part.column(0))
-                data = [f.words[a:b].tobytes() for a, b in zip(f.at[:-1], f.at[1:])]
-                yield pa.record_batch([*part.columns[1:], pa.array(data, pa.binary()), pa.array([x.tobytes() for x in f.stats], pa.binary())], ["f", "p", "u", "words", "stats"])
-
-    got = drawn.mapInArrow(extract, "f long, p boolean, u boolean, words binary, stats binary").toArrow()
-    words = [np.frombuffer(x, np.int32) for x in got["words"].to_pylist()]
-    if not words:
+                sums += counts(f)
+                x = f.stats.astype(np.float64)
+                figures += np.concatenate([x.sum(0), (x * x).sum(0)])
+                data, n = f.words.tobytes(), part.num_rows
+                words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((f.at * 4).astype(np.int32).tobytes()), pa.py_buffer(data)])
+                stats = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 4 * STATS).astype(np.int32).tobytes()), pa.py_buffer(f.stats.tobytes())])
+                yield pa.record_batch([*part.columns[1:], words, stats, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+        sums = np.concatenate([sums, np.rint(figures * GRAIN).astype(np.int64)])
+        at = np.flatnonzero(sums)
+        none = lambda kind: pa.nulls(len(at), kind)
+        yield pa.record_batch([none(pa.int32()), none(pa.bool_()), none(pa.bool_()), none(pa.binary()), none(pa.binary()), pa.array(at.astype(np.int32)), pa.array(sums[at])], names)
+
+    kinds = "f int, p boolean, u boolean, words binary, stats binary, word int, n long"
+    found = table(marked.mapInArrow(extract, kinds), "features")
+    every = found.where("words is not null")
+    cu = np.zeros(BUCKETS + 2 * STATS, np.int64)
+    got = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # no more than BUCKETS rows
+    cu[got["word"].to_numpy()] = got["n"].to_numpy()
+    cu, figures = cu[:BUCKETS], cu[BUCKETS:].reshape(2, STATS) / GRAIN / total
+    mean, scale = figures[0], np.sqrt(np.maximum(figures[1] - figures[0] ** 2, 0)) + 1e-3
+    got = every.where("p or u").select("f", "p", "u", "words", "stats").toArrow()
+    if not got.num_rows:
         return Classifier(None, 0.0, 0.0)
-    # rows come in the order in which tasks end; sums and batches need a fixed one
-    tag = np.array([hash((int(x[:8].sum()), len(x))) & 0x7FFFFFFF for x in words])
-    everything = Features(np.concatenate(words), np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64), np.stack([np.frombuffer(x, np.float32) for x in got["stats"].to_pylist()]))
+    sample = packed(got["words"], got["stats"])
     fold, p, u = (got[c].to_numpy() for c in ("f", "p", "u"))
-    del got, words
-    by = np.lexsort((tag, everything.stats[:, 7], everything.stats[:, 6], fold))
-    everything = pick(everything, by)
-    fold, p, u = fold[by], p[by], u[by]
-    fold = np.abs(fold)
+    del got
+    # rows come in the order in which tasks end; sums need a fixed one
+    c = np.concatenate([[0], np.cumsum(sample.words, dtype=np.int64)])
+    by = np.lexsort((c[sample.at[1:]] - c[sample.at[:-1]], sample.stats[:, 7], sample.stats[:, 6], fold))
+    sample, fold, p, u = pick(sample, by), fold[by], p[by], u[by]
     if not p.any() or not u.any():
         return Classifier(None, 0.0, 0.0)
+    rows = lambda mask: pick(sample, np.flatnonzero(mask))
+    local = lambda sp, f: lambda theta: unlabelled_sums(sp, f, theta)
+
+    def fitted(mask: np.ndarray, others: np.ndarray, prior: float | None) -> tuple[Space, np.ndarray, Features]:
+        mine = rows(p & mask) if (p & mask).any() else rows(p)
+        sp = space(ratios(counts(mine), len(mine.stats), cu, total), mean, scale)
+        unlabelled = rows(u & others) if (u & others).any() else rows(u)
+        return sp, minimise(risk(sp, mine, local(sp, unlabelled), prior, decay), np.zeros(sp.size), 40), mine
+
     half = fold % 2
-    rows = lambda mask: pick(everything, np.flatnonzero(mask))
-    halves = [fit(rows(p & (half != i)) if (p & (half != i)).any() else rows(p), rows(u & (half != i)) if (u & (half != i)).any() else rows(u), None) for i in (0, 1)]
+    halves = [model_of(*fitted(half != i, half != i, None)[:2]) for i in (0, 1)]
     seen = sum(histogram(score(halves[i], rows(p & (half == i)))) for i in (0, 1))
     shared = df.sparkSession.sparkContext.broadcast(halves)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, sums = Kernel(), np.zeros(len(EDGES) - 1, np.int64)
+        sums = np.zeros(len(EDGES) - 1, np.int64)
         for batch in batches:
-            for part in pieces(batch, "t"):
-                f, odd = features(k, part.column(0)), np.abs(part.column(1).to_numpy()) % 2
-                sums += histogram(np.where(odd == 0, score(shared.value[0], f), score(shared.value[1], f)))
+            f, odd = packed(batch.column(1), batch.column(2)), batch.column(0).to_numpy() % 2
+            sums += histogram(np.where(odd == 0, score(shared.value[0], f), score(shared.value[1], f)))
         bins = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(bins), pa.array(sums[bins])], ["bin", "n"])
 
     corpus = np.zeros(len(EDGES) - 1, np.int64)
-    for b, n in d.select("t", (F.col("f") % 10).alias("f")).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+    for b, n in every.select("f", "words", "stats").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
         corpus[b] = n
     prior = best_bin(seen, corpus, total)
     held = fold >= 8
-    model = fit(rows(p & ~held) if (p & ~held).any() else rows(p), rows(u), prior)
+    sp, theta, mine = fitted(~held, np.ones(len(fold), bool), prior)
+    meaning = df.sparkSession.sparkContext.broadcast(sp)
+
+    def everywhere(theta: np.ndarray) -> np.ndarray:
+        now = df.sparkSession.sparkContext.broadcast(theta)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(meaning.value.size + 2)
+            for batch in batches:
+                sums += unlabelled_sums(meaning.value, packed(batch.column(0), batch.column(1)), now.value)
+            v = np.rint(sums * GRAIN).astype(np.int64)
+            at = np.flatnonzero(v)
+            yield pa.record_batch([pa.array(at), pa.array(v[at])], ["i", "v"])
+
+        got = every.select("words", "stats").mapInArrow(add, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a parameter
+        out = np.zeros(len(theta) + 2)
+        out[got["i"].to_numpy()] = got["v"].to_numpy() / GRAIN
+        now.unpersist()
+        return out
+
+    model = model_of(sp, minimise(risk(sp, mine, everywhere, prior, decay), theta, evaluations, 0.01))
     out = score(model, rows(p & held) if (p & held).any() else rows(p))
     return Classifier(model, prior, float(np.quantile(out, 1 - keep)))
 
 
 def quality_filter(
-    df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_positive: int = 16_000, max_unlabelled: int = 32_000, keep: float = 0.995, score_as: str | None = None,
+    df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_positive: int = 16_000, keep: float = 0.995, score_as: str | None = None,
 ) -> DataFrame:
     """The rows of df that the classifier trained by train keeps, in all columns, and
     their score if score_as names a column for it (another name if df has it).
@@ -287,7 +379,7 @@ def quality_filter(
     Repeated rows stay or go together. Without a model (no trusted positive or no
     document) every row stays, with a null score.
     """
-    c = train(df, labels, text, doc_id, max_positive, max_unlabelled, keep)
+    c = train(df, labels, text, doc_id, max_positive, keep=keep)
     name = fresh(df, score_as or "__score")
     names = [col(x) for x in df.columns]
     if c.model is None:
