@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.functions.text import WS, c, strip_thinking, text, trim
+from attestry.functions.text import BLANKS, WS, c, strip_thinking, text, trim
 
 
 def strip_fences(x: Column | str) -> Column:
@@ -20,7 +21,7 @@ def strip_fences(x: Column | str) -> Column:
 def repair(x: Column | str) -> Column:
     """Without commas before a closing bracket; backslashes that escape nothing doubled."""
     y = F.regexp_replace(c(x), rf",{WS}*([}}\]])", "$1")
-    return F.regexp_replace(y, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(y, r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 BRACES = re.compile(r'["{}\\]')
@@ -55,6 +56,41 @@ def balanced_objects(arr: pa.Array) -> pa.Array:
     return pa.array([None if s is None else _balanced(s) for s in arr.to_pylist()], pa.list_(pa.string()))
 
 
+COMMA, LONE = re.compile(rf",{WS}*([}}\]])"), re.compile(r'\\(?!["\\/bfnrtu])')
+OPEN, CLOSE = re.compile(rf"^(?i:```(?:json)?){WS}*"), re.compile(rf"{WS}*```\Z")
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _is_object(s: str) -> bool:
+    try:
+        return isinstance(json.loads(s, parse_constant=_no_constant), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+def _object(s: str) -> str | None:
+    """The first candidate that is a JSON object; each is tried once."""
+    y = CLOSE.sub("", OPEN.sub("", s.strip(BLANKS))).strip(BLANKS)
+    if y.startswith("{") and _is_object(y):
+        return y
+    a, b = y.find("{"), y.rfind("}")
+    if a < 0:
+        return None
+    for c in dict.fromkeys([y, *_balanced(y), *([y[a : b + 1]] if b > a else [])]):
+        for t in dict.fromkeys((c, LONE.sub(r"\\\\", COMMA.sub(r"\1", c)))):
+            if _is_object(t):
+                return t
+    return None
+
+
+@F.arrow_udf(T.StringType())
+def _objects(arr: pa.Array) -> pa.Array:
+    return pa.array([None if s is None else _object(s) for s in arr.to_pylist()], pa.string())
+
+
 def outer(x: Column, left: str, right: str) -> Column:
     """From the first left to the last right, or null."""
     a = F.instr(x, left)
@@ -64,14 +100,9 @@ def outer(x: Column, left: str, right: str) -> Column:
 
 def extract_object(x: Column | str) -> Column:
     """The first candidate that is a JSON object, as its text, or null: the whole, each
-    balanced object, the span from first to last brace; each as it is, then repaired.
-    Only texts that are not JSON as a whole are scanned in Python."""
-    y = strip_fences(x)
-    whole = F.array(y, repair(y))
-    scanned = F.coalesce(balanced_objects(F.when(~is_object(y), y)), F.array().cast("array<string>"))
-    rest = F.filter(F.concat(scanned, F.array(outer(y, "{", "}"))), lambda s: s.isNotNull())
-    tries = F.concat(whole, F.flatten(F.transform(rest, lambda s: F.array(s, repair(s)))))
-    return F.get(F.filter(tries, is_object), F.lit(0))
+    balanced object, the span from first to last brace; each as it is, then repaired. One
+    pass over each text, which ends with the first that holds."""
+    return _objects(text(x))
 
 
 def is_object(s: Column) -> Column:
@@ -82,9 +113,9 @@ def is_array(s: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(s)).startswith("ARRAY"), F.lit(False))
 
 
-def field(json: Column, *names: str) -> Column:
+def field(x: Column, *names: str) -> Column:
     """The first of the named members that is an array, as text."""
-    v = F.try_parse_json(json)
+    v = F.try_parse_json(x)
     return F.coalesce(*(F.when(is_array(F.to_json(F.try_variant_get(v, f"$.{n}", "variant"))), F.to_json(F.try_variant_get(v, f"$.{n}", "variant"))) for n in names))
 
 
@@ -97,9 +128,9 @@ def extract_array(x: Column | str) -> Column:
     return F.coalesce(F.when(is_array(y), y), field(y, "items", "questions"), field(inner, "items", "questions", "qa"), F.when(is_array(span), span))
 
 
-def message_text(json: Column | str) -> Column:
+def message_text(x: Column | str) -> Column:
     """Content, or reasoning, of the first choice of a chat response."""
-    v = F.try_parse_json(c(json))
+    v = F.try_parse_json(c(x))
     get = lambda p: F.try_variant_get(v, p, "string")
     return trim(F.coalesce(get("$.choices[0].message.content"), get("$.choices[0].message.reasoning_content"), F.lit("")))
 

@@ -1,5 +1,5 @@
-"""Chunks of documents: character windows as a fold of Columns, Markdown by headings,
-token budgets and atomic spans as one pass of Python over each document."""
+"""Chunks of documents: character windows, Markdown by headings, token budgets and atomic
+spans, each as one pass of Python over each document."""
 
 from __future__ import annotations
 
@@ -7,17 +7,18 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.text import WS, compact_whitespace, split_paragraphs
+from attestry.functions.text import BLANKS, WS, text
 
 EMBEDDING_LIMIT = 24_000
 BUDGET, LEAST = 1000, 55
 SPACE = WS[1:-1]
-STRIP = "\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+STRIP = BLANKS
 HEADING = re.compile(rf"^#{{1,6}}{WS}+[^\n\r\u2028\u2029]+$", re.M)
 SECTION = re.compile(rf"^#{{1,6}}{WS}+[^{SPACE}][^\n\r\u2028\u2029]*$", re.M)
 BLANK_LINE = re.compile(rf"\n{WS}*\n")
@@ -25,34 +26,59 @@ IMAGE = r"(?:!\[[^\]\r\n]*\]\([^)]+\)|<img\b[\s\S]*?>)"
 IMAGE_BEFORE = re.compile(rf"(?:^|\r?\n)[ \t]*{IMAGE}[ \t]*(?:\r?\n[ \t]*)*\Z", re.I)
 IMAGE_AFTER = re.compile(rf"(?:\r?\n[ \t]*)+{IMAGE}[ \t]*(?:\r?\n[ \t]*)*\Z", re.I)
 CJK, WORD, NUMBER = re.compile("[\u4e00-\u9fff]"), re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)?"), re.compile(r"[0-9]+(?:[.,:/_-][0-9]+)*")
-ALNUM, PLAIN, OTHER = re.compile("[A-Za-z0-9]"), re.compile(rf"[^{SPACE}A-Za-z0-9\u0080-\U0010ffff]"), re.compile(rf"[^{SPACE}\x00-\x7f\u4e00-\u9fff]")
+OTHER = re.compile(rf"[^{SPACE}\x00-\x7f\u4e00-\u9fff]")
+
+
+def filled(s: str, max_chars: int, overlap: int) -> list[str]:
+    flat = re.sub("[ \t]+", " ", s.replace("\r\n", "\n"))
+    out, now = [], ""
+    for p in kept(BLANK_LINE.split(re.sub("\n{3,}", "\n\n", flat).strip(STRIP))):
+        if not now:
+            now = p
+        elif len(now) + len(p) + 2 <= max_chars:
+            now = f"{now}\n\n{p}"
+        else:
+            out.append(now)
+            now = f"{now[max(0, len(now) - overlap):]}\n\n{p}"
+    return [*out, now] if now else out
 
 
 def split_corpus(x: Column | str, max_chars: int = 1800, overlap: int = 180) -> Column:
     """Paragraphs filled into chunks of up to max_chars; the next chunk begins with the
-    last overlap characters of the one before. A paragraph is never cut."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    last overlap characters of the one before. A paragraph is never cut. One pass over each
+    text: a fold of Columns would copy the chunks made so far for each paragraph."""
 
-    def add(s: Column, p: Column) -> Column:
-        fits = F.length(s["now"]) + F.length(p) + 2 <= max_chars
-        tail = F.right(s["now"], F.lit(overlap))
-        glue = lambda a: F.concat(a, F.lit("\n\n"), p)
-        done = F.when((s["now"] == "") | fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"])))
-        return F.struct(done.alias("done"), F.when(s["now"] == "", p).when(fits, glue(s["now"])).otherwise(glue(tail)).alias("now"))
+    @F.arrow_udf("array<string>")
+    def split(arr: pa.Array) -> pa.Array:
+        return pa.array([filled(t, max_chars, overlap) for t in arr.to_pylist()], pa.list_(pa.string()))
 
-    return F.aggregate(split_paragraphs(compact_whitespace(x)), start, add, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    return split(text(x))
 
 
-def tokens(text: str) -> int:
-    """Same estimate as the Column estimate_tokens, in hundredths."""
-    if not text:
-        return 0
-    cjk = len(CJK.findall(text))
-    words = 150 * cjk + 130 * len(WORD.findall(text)) + 100 * len(NUMBER.findall(text))
-    dense = 150 * cjk + 45 * len(ALNUM.findall(text)) + 80 * len(PLAIN.findall(text)) + 100 * len(OTHER.findall(text))
+NOT_ALNUM = bytes(i for i in range(128) if not chr(i).isalnum())
+NOT_PLAIN = bytes(i for i in range(128) if chr(i).isalnum() or i in (9, 10, 11, 12, 13, 32))
+
+
+@lru_cache(256)
+def weights(s: str) -> tuple[int, int]:
+    """The two sums of token_weights for one text. Both add up over texts that white space
+    parts, and white space has none."""
+    ascii_ = s.encode("ascii", "ignore")
+    cjk = other = 0
+    if len(ascii_) < len(s):
+        cjk, other = len(CJK.findall(s)), len(OTHER.findall(s))
+    return 150 * cjk + 130 * len(WORD.findall(s)) + 100 * len(NUMBER.findall(s)), 150 * cjk + 45 * len(ascii_.translate(None, NOT_ALNUM)) + 80 * len(ascii_.translate(None, NOT_PLAIN)) + 100 * other
+
+
+def whole(words: int, dense: int) -> int:
     return max(-(-words // 100), -(-dense // 100))
 
 
+def tokens(s: str) -> int:
+    """Same estimate as the Column estimate_tokens."""
+    return whole(*weights(s))
+
+
 def kept(parts: Iterable[str]) -> list[str]:
     return [p for p in (x.strip(STRIP) for x in parts) if p]
 
@@ -108,17 +134,21 @@ def fit(text: str, budget: int, level: int = 0, whole_tables: bool = True) -> li
         level += 1
     if level == len(LADDER):
         return list(windows(text, budget))
-    glue, out, now = LADDER[level][1], [], ""
+    glue, out, now, sums = LADDER[level][1], [], [], (0, 0)
     for s in kept(segments):
-        if tokens(s) > budget:
-            out += kept([now]) + fit(s, budget, level + 1, whole_tables)
-            now = ""
-        elif now and tokens(now + glue + s) > budget:
-            out += kept([now])
-            now = s
+        own = weights(s)
+        # with white space between, sums are exact; single characters join into words
+        both = (sums[0] + own[0], sums[1] + own[1]) if glue else weights("".join(now) + s)
+        if whole(*own) > budget:
+            out += kept([glue.join(now)]) + fit(s, budget, level + 1, whole_tables)
+            now, sums = [], (0, 0)
+        elif now and whole(*both) > budget:
+            out += kept([glue.join(now)])
+            now, sums = [s], own
         else:
-            now = now + glue + s if now else s
-    return out + kept([now])
+            now.append(s)
+            sums = both
+    return out + kept([glue.join(now)])
 
 
 def gather(parts: Iterable[str], budget: int, glue: str) -> Iterator[tuple[str, int]]:

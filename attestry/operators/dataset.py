@@ -10,13 +10,14 @@ from attestry.functions.text import normalize_text, trim
 QA = "id bigint, query string, answer array<string>, quotes array<string>, evidence array<struct<source_file:string,page:string,quote:string>>"
 
 
-def flat_strings(v: Column, depth: int = 4) -> Column:
+def flat_strings(v: Column, depth: int = 16) -> Column:
     """A variant that is a scalar or an array nested up to depth, as trimmed strings
-    that are not empty."""
-    items = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
-    for _ in range(depth):
-        items = F.flatten(F.transform(items, lambda s: F.coalesce(F.when(s.startswith("["), F.from_json(s, "array<string>")), F.array(s))))
-    return F.filter(F.transform(items, lambda s: trim(F.coalesce(s, F.lit("")))), lambda s: s != "")
+    that are not empty. Only arrays unfold, never a string that looks like one."""
+    unfold = lambda i: F.coalesce(F.try_variant_get(i, "$", "array<variant>"), F.array(i))
+    items = unfold(v)
+    for _ in range(depth - 1):
+        items = F.flatten(F.transform(items, unfold))
+    return F.filter(F.transform(items, lambda i: trim(F.coalesce(F.try_variant_get(i, "$", "string"), F.lit("")))), lambda s: s != "")
 
 
 def canonical(lines: DataFrame, value: str = "value", ordinal: str = "ord") -> DataFrame:
@@ -89,9 +90,17 @@ def selected_corpus(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def number_rows(rows: DataFrame, *order: str, limit: int | None = None) -> DataFrame:
-    """Dense ids from 0 in order, the first limit rows."""
-    kept = rows.orderBy(*order).limit(limit) if limit else rows
-    return kept.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """Dense ids from 0 in order, the first limit rows. Without a limit rows are sorted by
+    range, and numbered within each range from where those before it end: no task holds
+    them all."""
+    if limit:
+        kept = rows.orderBy(*order).limit(limit)
+        return kept.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    at = rows.sparkSession.sparkContext.defaultParallelism
+    ranged = rows.repartitionByRange(max(at, 2), *order).withColumn("__part", F.spark_partition_id())
+    sizes = ranged.groupBy("__part").count().withColumn("__base", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__base")
+    n = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn("__n", n).join(F.broadcast(sizes), "__part").withColumn("id", F.col("__n") + F.col("__base")).drop("__part", "__n", "__base")  # a row a range
 
 
 def reject_reasons(rows: DataFrame, chunk: str = "chunk", quote: str = "quote", answers: str = "answer") -> DataFrame:

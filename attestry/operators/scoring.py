@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+from uuid import uuid4
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attestry.functions.text import answer_correct, bound, c, hit_matches, normalize_text
+from attestry.functions.text import answer_correct, bound, c, hit_matches, normalize_text, spread
 
 MARK = "\u0001"
 
@@ -38,23 +45,80 @@ def measures(matched: Column, first: Column, quotes: Column, hits: Column) -> Co
     )
 
 
+#: Of this worker's last task, the patterns of one part of the quotes.
+_LAST: dict[str, tuple] = {}
+
+
+def _patterns(key: str, quotes: list[str]) -> tuple:
+    """An automaton of what a hit must hold for a quote, its first 24 characters or all of
+    a shorter one; all quotes as one text, and where each begins."""
+    if key not in _LAST:
+        import ahocorasick
+
+        of: dict[str, list[int]] = {}
+        for i, q in enumerate(quotes):
+            of.setdefault(q[:24], []).append(i)
+        a = ahocorasick.Automaton()
+        for p, ids in of.items():
+            a.add_word(p, ids)
+        if of:
+            a.make_automaton()
+        starts = list(accumulate((len(q) + 1 for q in quotes), initial=0))
+        _LAST.clear()
+        _LAST[key] = (a if of else None, MARK.join(quotes), starts, max(map(len, quotes), default=0))
+    return _LAST[key]
+
+
+def _matches(h: str, a, every: str, starts: list[int], longest: int) -> list[int]:
+    """Numbers of the quotes that match one hit, as hit_matches says."""
+    found = set()
+    if a is not None:
+        for _, ids in a.iter(h):
+            found.update(ids)
+    at = every.find(h) if len(h) <= longest else -1
+    while at >= 0:
+        i = bisect_right(starts, at) - 1
+        found.add(i)
+        at = every.find(h, starts[i + 1])
+    return sorted(found)
+
+
 def match_pairs(hits: DataFrame, quotes: DataFrame, hit_text: str = "text", quote_text: str = "text", max_broadcast_mb: int = 64) -> DataFrame:
     """All columns of both sides, those of quotes first, for pairs where a hit matches a
-    quote. Quotes are broadcast in parts that are measured to be below
-    max_broadcast_mb; hits are read once a part and never shuffle."""
-    h = hits.withColumn("__h", normalize_text(hit_text)).where("__h <> ''")
+    quote. Quotes are broadcast in parts that are measured to be below max_broadcast_mb;
+    hits are read once a part and never shuffle. Each hit is read once for all quotes of
+    the part, by an Aho-Corasick automaton, instead of once for each."""
+    h = spread(hits).withColumn("__h", normalize_text(hit_text)).where("__h <> ''")
     q = quotes.withColumn("__q", normalize_text(quote_text)).where("__q <> ''")
     size = quotes.agg(F.coalesce(F.sum(F.octet_length(F.col(quote_text))), F.lit(0))).collect()[0][0]
     parts = max(1, -(-int(size) * 2 // (max_broadcast_mb << 20)))
+    names = [*quotes.columns, *hits.columns]
+    schema = T.StructType([*quotes.schema.fields, *hits.schema.fields])
     out = None
     for i in range(parts):
         part = q if parts == 1 else q.where(F.pmod(F.xxhash64("__q"), F.lit(parts)) == i)
-        pairs = h.join(F.broadcast(part), hit_matches(F.col("__h"), F.col("__q"))).select(*[part[x] for x in quotes.columns], *[h[x] for x in hits.columns])
+        shared, key = hits.sparkSession.sparkContext.broadcast(part.toArrow()), uuid4().hex
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            t = shared.value.combine_chunks()
+            for batch in batches:
+                pairs = [(i, j) for i, h in enumerate(batch.column("__h").to_pylist()) for j in _matches(h, *_patterns(key, t["__q"].to_pylist() if key not in _LAST else []))]
+                if pairs:
+                    rows, ids = (pa.array(x, pa.int64()) for x in zip(*pairs))
+                    left = t.select(quotes_names).take(ids).combine_chunks()
+                    yield pa.record_batch([*(c.chunk(0) for c in left.columns), *(batch.column(c).take(rows) for c in hits_names)], names)
+
+        quotes_names, hits_names = list(quotes.columns), list(hits.columns)
+        pairs = h.mapInArrow(find, schema)
         out = pairs if out is None else out.unionAll(pairs)
     return out
 
 
-def summarize(results: DataFrame, *by: str, flat: bool = False) -> DataFrame:
+#: How an answer that was not given is marked.
+ANSWER_ERROR, QUOTA_ERROR = "answer_error", "api_quota_exhausted"
+
+
+def summarize(results: DataFrame, *by: str, flat: bool = False, answer_error: str = ANSWER_ERROR) -> DataFrame:
     """Summary of result rows (retrieval struct, answer_correct, answer_judge_method)
     for all of them or by columns. Means are over all rows, a missing measure counts
     as 0; answers count where answer_correct is there, with flat everywhere. No rows
@@ -66,7 +130,7 @@ def summarize(results: DataFrame, *by: str, flat: bool = False) -> DataFrame:
     out = [
         n.alias("total"), r("evidence_hit").alias("evidence_hit_rate"), r("evidence_recall").alias("evidence_recall"), r("mrr").alias("mrr"),
         F.coalesce(correct / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("qa_accuracy"), correct.alias("qa_correct"), total.alias("qa_total"),
-        *([] if flat else [method("mimo_answer_error").alias("qa_answer_errors"), method("api_quota_exhausted").alias("qa_quota_errors")]),
+        *([] if flat else [method(answer_error).alias("qa_answer_errors"), method(QUOTA_ERROR).alias("qa_quota_errors")]),
         r("retrieved_count").alias("avg_retrieved_count"),
     ]
     return results.groupBy(*by).agg(*out)

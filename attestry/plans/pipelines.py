@@ -11,6 +11,7 @@ from attestry.operators import scoring
 from attestry.operators.chunking import split_corpus
 from attestry.operators.dataset import number_rows, reject_reasons
 from attestry.sources.connectors import Answerer, Judge, Retriever, answer_prompt
+from attestry.sources.tables import once
 
 
 def chunk_corpus(inputs: DataFrame, max_chars: int = 1800, overlap: int = 180) -> DataFrame:
@@ -35,32 +36,42 @@ def evaluate(qa: DataFrame, retriever: Retriever, answerer: Answerer | None, jud
 
     The rule decides first; only what it rejects is judged. Failed answers are rows: with
     stop_at_quota, none follow the first used-up quota, which is marked, and other
-    failures count as wrong answers; without, failures have no verdict."""
-    hits = retriever.search(qa.select("id", "query"))
+    failures count as wrong answers; without, failures have no verdict. A search that
+    failed is an error of its question, which has no hits.
+
+    What a service says is written once to a table in the shared folder, so that each
+    question is searched, answered and judged once, whatever is done with the result, and
+    what is judged is what was answered. The result is such a table too."""
+    said = once(retriever.search(qa.select("id", "query")), "hits")
+    lost = said.where("error is not null").groupBy("id").agg(F.min("error").alias("search_error")) if "error" in said.columns else None
+    hits = said.where("error is null").drop("error") if lost is not None else said
     lists = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "content"))).alias("hits"))
     ready = qa.join(lists, "id", "left")
+    ready = ready.join(lost, "id", "left") if lost is not None else ready.withColumn("search_error", F.lit(None).cast("string"))
     texts = F.coalesce(F.transform("hits", lambda h: h["content"]), F.array().cast("array<string>"))
-    rows = ready.withColumn("retrieval", scoring.retrieval(texts, "quotes", "answers"))
+    rows = once(ready.withColumn("retrieval", scoring.retrieval(texts, "quotes", "answers")), "retrieved")
     if answerer is None:
         return rows.withColumn("platform", F.lit(platform))
     prompts = rows.select("id", answer_prompt("query", "hits").alias("prompt"))
-    got = rows.join(answerer.answer(prompts), "id", "left").join(prompts.select("id", F.length("prompt").alias("prompt_chars")), "id")
+    answers = once(answerer.answer(prompts), "answers")
+    got = rows.join(answers, "id", "left").join(prompts.select("id", F.length("prompt").alias("prompt_chars")), "id")
     if stop_at_quota:
         first = got.where("error_kind = 'quota'").agg(F.min("id").alias("stop"))
         got = got.join(F.broadcast(first), F.col("stop").isNull() | (F.col("id") <= F.col("stop"))).drop("stop")  # one row
     failed = F.col("error").isNotNull()
     fine = got.where(~failed)
-    verdicts = judge.judge(fine.where(~scoring.answer_correct("prediction", "answers")).select("id", "query", "answers", "quotes", "prediction")) if judge else None
+    asked = fine.where(~scoring.answer_correct("prediction", "answers")).select("id", "query", "answers", "quotes", "prediction")
+    verdicts = once(judge.judge(asked), "verdicts") if judge else None
     scored = scoring.score_answers(fine, verdicts)
     kind = "struct<correct:boolean,reason:string>"
     quota = F.col("error_kind") == "quota"
-    marked = got.where(failed).withColumn("answer_correct", F.lit(False if stop_at_quota else None).cast("boolean")).withColumn("answer_judge_method", F.when(quota & F.lit(stop_at_quota), "api_quota_exhausted").otherwise("mimo_answer_error" if stop_at_quota else "error")).withColumn("answer_judge", F.lit(None).cast(kind))
-    return scored.unionByName(marked).withColumn("platform", F.lit(platform))
+    marked = got.where(failed).withColumn("answer_correct", F.lit(False if stop_at_quota else None).cast("boolean")).withColumn("answer_judge_method", F.when(quota & F.lit(stop_at_quota), scoring.QUOTA_ERROR).otherwise(scoring.ANSWER_ERROR if stop_at_quota else "error")).withColumn("answer_judge", F.lit(None).cast(kind))
+    return once(scored.unionByName(marked).withColumn("platform", F.lit(platform)), "results")
 
 
 def compare(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The comparison of two platforms' result rows, and the winner."""
-    both = a.unionByName(b, allowMissingColumns=True)
-    order = F.when(F.col("platform") == a.select("platform").limit(1).collect()[0][0], 0).otherwise(1) if a.take(1) else F.lit(1)
-    table = scoring.compare(scoring.summarize(both, "platform").withColumn("ord", order))
+    """The comparison of two platforms' result rows, and the winner: of equals, the one of
+    the first table."""
+    both = a.withColumn("ord", F.lit(0)).unionByName(b.withColumn("ord", F.lit(1)), allowMissingColumns=True)
+    table = scoring.compare(scoring.summarize(both, "platform", "ord"))
     return table, scoring.winner(table)

@@ -41,7 +41,7 @@ def covered(p: str, a: str) -> str:
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return text.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,7 +128,7 @@ def results(spark: SparkSession, sf: str, platform: str = "a") -> DataFrame:
     m = scoring.measures(F.when(F.col("first").isNotNull(), 1).otherwise(0), F.col("first"), F.lit(1), F.coalesce("n", F.lit(0)))
     label = read(spark, sf, "labels").select(F.col("doc_id").alias("doc"), (F.col("quality") == 1).alias("answer_correct"))
     doc = F.when(F.col("first").isNotNull(), F.col("doc"))
-    return all_.select("item_id", m.alias("retrieval"), doc.alias("doc")).join(label, "doc", "left").withColumn("answer_judge_method", F.when(F.col("answer_correct"), "rule").otherwise("mimo_answer_error"))
+    return all_.select("item_id", m.alias("retrieval"), doc.alias("doc")).join(label, "doc", "left").withColumn("answer_judge_method", F.when(F.col("answer_correct"), "rule").otherwise(scoring.ANSWER_ERROR))
 
 
 def results_sql(name: str, h: str) -> str:

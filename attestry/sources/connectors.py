@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.text import c, split_list, text, trim
+from attestry.functions.text import QUOTA, c, split_list, text, trim
+from attestry.sources.tables import once
 
 DELAYS = (2.0, 6.0, 12.0)
-QUOTA = ("insufficient_quota", "quota exceeded", "quota_exceeded", "insufficient balance", "exceeded your current quota")
 NO_CONTEXT = "未检索到可用资料。"
 
 
@@ -210,7 +210,8 @@ def chat(df: DataFrame, messages: Column | str, out: str, provider: Provider, bu
 
 class Retriever(Protocol):
     def search(self, questions: DataFrame) -> DataFrame:
-        """questions (id, query) to hits (id, rank, title, content)."""
+        """questions (id, query) to hits (id, rank, title, content), and, if it can fail,
+        rows with id and error alone."""
 
 
 class Answerer(Protocol):
@@ -283,7 +284,8 @@ class HttpJudge:
             F.lit("\n\nQuestion: "), text("query"), F.lit("\n\nReference: "), F.to_json("answers"), F.lit("\n\nEvidence: "), F.to_json(F.slice("quotes", 1, 3)), F.lit("\n\nAnswer: "), text("prediction"),
         )
         m = F.to_json(F.array(F.struct(F.lit("user").alias("role"), content.alias("content"))))
-        first = chat(rows.select("id", "query", "answers", "quotes", "prediction"), m, "raw", self.provider, 512, "judge", self.timeout, send=self.send).select("id", "raw", judge_verdict("raw").alias("v"))
+        first = chat(rows.select("id", "query", "answers", "quotes", "prediction"), m, "raw", self.provider, 512, "judge", self.timeout, send=self.send)
+        first = once(first.select("id", "raw", judge_verdict("raw").alias("v")), "judged")
         fix = F.concat(F.lit('Turn this into one valid JSON object {"correct": true, "reason": "..."} and return only that.\n\n'), F.substring(F.coalesce("raw", F.lit("")), 1, 4000))
         again = chat(first.where("v is null and raw is not null").select("id", "raw"), F.to_json(F.array(F.struct(F.lit("user").alias("role"), fix.alias("content")))), "raw2", self.provider, 256, "judge json repair", self.timeout, send=self.send)
         second = again.select("id", judge_verdict("raw2").alias("v"))
@@ -292,29 +294,40 @@ class HttpJudge:
 
 @dataclass
 class HttpRetriever:
-    """A search service: POST {query, documentCount} to its url, hits under results."""
+    """A search service: POST {query, documentCount} to its url, hits under results, a few
+    requests of a task at a time. A search that fails is a row with its error alone."""
 
     url: str
     headers: dict = field(default_factory=dict)
     k: int = 5
     timeout: float = 60
     send: Transport = http
+    parallel: int = 4
+    delays: tuple[float, ...] = DELAYS
 
     def search(self, questions: DataFrame) -> DataFrame:
         url, headers, k, timeout, send = self.url, self.headers | {"Content-Type": "application/json"}, max(1, min(20, self.k)), self.timeout, self.send
+        parallel, delays = self.parallel, self.delays
+
+        def ask(i: int, q: str) -> list[tuple]:
+            try:
+                found = call(url, headers, {"query": q, "documentCount": k}, timeout, send, delays)
+            except Exception as e:
+                return [(i, None, None, None, str(e))]
+            out = []
+            for rank, h in enumerate((found.get("results") or found.get("hits") or [])[:k], 1):
+                meta = h.get("metadata") or {}
+                out.append((i, rank, h.get("title") or meta.get("source") or meta.get("file") or meta.get("path") or "", h.get("content") or h.get("pageContent") or "", None))
+            return out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                for i, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    found = call(url, headers, {"query": q, "documentCount": k}, timeout, send)
-                    for rank, h in enumerate((found.get("results") or found.get("hits") or [])[:k], 1):
-                        meta = h.get("metadata") or {}
-                        rows.append((i, rank, h.get("title") or meta.get("source") or meta.get("file") or meta.get("path") or "", h.get("content") or h.get("pageContent") or ""))
-                if rows:
-                    yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["id", "rank", "title", "content"])
-
-        return questions.select("id", "query").mapInArrow(run, "id long, rank int, title string, content string")
+            with ThreadPoolExecutor(parallel) as pool:
+                for b in batches:
+                    rows = [r for got in pool.map(ask, b.column(0).to_pylist(), b.column(1).to_pylist()) for r in got]
+                    if rows:
+                        yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["id", "rank", "title", "content", "error"])
+
+        return questions.select("id", "query").mapInArrow(run, "id long, rank int, title string, content string, error string")
 
 
 @dataclass

@@ -47,7 +47,7 @@ def test_normal_forms(spark):
     assert one(spark, text.html_to_text("x"), x="<p>a&amp;lt;b</p><script>x</script>\r\n\n\n\n c") == "a<b \n\n c"
     assert one(spark, text.parse_ids("x"), x="1, 12abc,, x,-3") == [1, 12, None, -3]
     assert one(spark, text.sanitize_filename("x"), x="a/b:c  d") == "a_b_c d"
-    assert one(spark, text.sanitize_dataset_name("x"), x=" . ") == "custom_rag_eval"
+    assert one(spark, text.sanitize_dataset_name("x"), x=" . ") == "dataset"
     assert [one(spark, text.json_bool("x"), x=v) for v in ("true", "0", "2", "对", "no", None)] == [True, False, True, True, False, False]
 
 
