@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions import llmjson, text
 from attestry.operators import chunking, dataset, parsing, scoring
+from attestry.sources import files
+from attestry.streaming import jobs
 
 #: White space of attestry.functions.text as RE2 writes it.
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -235,9 +237,10 @@ def fallback_corpus_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.distinct_quotes(read(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.split("text", "\n").alias("quotes"))).select("ord", "pos", "quote")
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 7 = 3 AND doc_id < 200")
 def id_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "text").join(read(spark, sf, "labels"), "doc_id", "left_semi")
+    """Ids as a user lists them; each of them is in the smallest tables."""
+    return dataset.filter_by_ids(read(spark, sf, "documents").select("doc_id", "text"), list(range(3, 200, 7)), "doc_id")
 
 
 @query("SELECT item_id AS id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)")
@@ -267,13 +270,14 @@ def section_asof(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", b.alias("b")).select("doc_id", "b.*")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
+@query(r"SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value, 'C:\dir\q\\n' || event_id AS place FROM events")
 def json_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """props wrapped in fences and prose, with a comma too many."""
-    broken = F.concat(F.lit("```json\nHere it is: {not it} "), F.regexp_replace("props", r"\}\s*$", ",}"), F.lit(" and more\n```"))
+    """props wrapped in fences and prose, with a comma too many and lone backslashes."""
+    place = F.concat(F.lit(r', "place": "C:\dir\q\\\\n'), F.col("event_id").cast("string"), F.lit('",}'))
+    broken = F.concat(F.lit("```json\nHere it is: {not it} "), F.regexp_replace("props", r"\}\s*$", ""), place, F.lit(" and more\n```"))
     o = llmjson.extract_object(broken)
     key = F.get(F.json_object_keys("props"), F.lit(0))
-    return read(spark, sf, "events").select("event_id", "props", o.alias("o")).select("event_id", F.element_at(F.from_json("o", "map<string,string>"), key).alias("value"))
+    return read(spark, sf, "events").select("event_id", "props", o.alias("o")).select("event_id", F.element_at(F.from_json("o", "map<string,string>"), key).alias("value"), F.get_json_object("o", "$.place").alias("place"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
@@ -311,25 +315,34 @@ def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.markdown_chunks(docs, "corpus")
 
 
-@query("""SELECT user_id, event_type AS state, n FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id) AS n,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+@query("""WITH e AS (SELECT user_id AS job_id, row_number() OVER (ORDER BY ts, event_id) AS seq, CASE user_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'compare' ELSE 'other' END AS kind,
+    CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'completed' WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'failed' ELSE 'log' END AS event FROM events),
+  live AS (SELECT * FROM (SELECT *, coalesce(max((event <> 'log')::INT) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM e) WHERE over = 0),
+  s AS (SELECT job_id, any_value(kind) AS kind, coalesce(max(event) FILTER (event <> 'log'), 'running') AS status, count(*) FILTER (event = 'log') AS lines FROM live GROUP BY 1)
+  SELECT job_id, status, lines, CASE WHEN status = 'completed' THEN 100 WHEN lines = 0 THEN 0 ELSE least(95, 5 + lines * CASE kind WHEN 'build' THEN 4 WHEN 'compare' THEN 2 ELSE 3 END) END AS progress, least(lines, 400)::INT AS logs FROM s""")
 def latest_job_state(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("n"))
+    """Events as the log of a job for each user."""
+    e = read(spark, sf, "events").withColumn("seq", F.row_number().over(Window.orderBy("ts", "event_id")))
+    buys, i = F.col("event_type") == "purchase", F.col("event_id")
+    event = F.when(buys & (i % 2 == 0), "completed").when(buys & (i % 5 == 0), "failed").otherwise("log")
+    kind = F.when(F.col("user_id") % 3 == 0, "build").when(F.col("user_id") % 3 == 1, "compare").otherwise("other")
+    states = jobs.latest_states(e.select(F.col("user_id").alias("job_id"), kind.alias("kind"), "seq", event.alias("event"), i.cast("string").alias("line")))
+    return states.select("job_id", "status", "lines", F.col("progress").cast("long").alias("progress"), F.size("logs").alias("logs"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 80")
+@query("SELECT o_orderkey::VARCHAR AS name, o_orderdate AS updated_at, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 80")
 def report_top80(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(80)
+    return files.newest(read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderdate").alias("updated_at"), "o_totalprice"))
 
 
-@query("""SELECT item_id AS id, 'Q ' || item_id AS query, CASE item_id % 3 WHEN 0 THEN ['a ' || item_id] WHEN 1 THEN ['x', 'y', 'z'] ELSE [item_id::VARCHAR] END AS answer,
+@query("""SELECT item_id AS id, 'Q ' || item_id AS query, CASE item_id % 3 WHEN 0 THEN ['a ' || item_id] WHEN 1 THEN ['x', 'y', 'z'] ELSE [CASE WHEN item_id % 2 = 1 THEN '[' || item_id || ']' ELSE item_id::VARCHAR END] END AS answer,
     CASE WHEN item_id % 2 = 0 THEN [""" + trim("text") + """] ELSE ['p' || item_id] END AS quotes FROM benchmark""")
 def qa_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of JSON in the shapes that datasets have: scalar, nested and number answers;
+    """Lines of JSON in the shapes that datasets have: scalar, nested and number answers, and
+    strings that look like arrays;
     evidence as objects, or only positive."""
     i = F.col("item_id")
-    answer = F.when(i % 3 == 0, F.concat(F.lit('" a '), i.cast("string"), F.lit(' "'))).when(i % 3 == 1, F.lit('["x", ["y", ["", "z"]]]')).otherwise(i.cast("string"))
+    answer = F.when(i % 3 == 0, F.concat(F.lit('" a '), i.cast("string"), F.lit(' "'))).when(i % 3 == 1, F.lit('["x", ["y", ["", [[[[[["z"]]]]]]]]]')).when(i % 2 == 1, F.concat(F.lit('"['), i.cast("string"), F.lit(']"'))).otherwise(i.cast("string"))
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
     gold = F.when(i % 2 == 0, F.concat(F.lit('"evidence": [{"source_file": "s", "page": "1", "quote": '), quoted, F.lit("}]"))).otherwise(F.concat(F.lit('"evidence": [{"quote": " "}], "positive": ["p'), i.cast("string"), F.lit('"]')))
     line = F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "query": "Q '), i.cast("string"), F.lit('", "answer": '), answer, F.lit(", "), gold, F.lit("}"))
@@ -344,3 +357,55 @@ def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
     made = d.select(i, "quality", t.alias("chunk"), F.concat(F.when(i % 3 == 0, "Q").otherwise(""), F.left(t, F.lit(60))).alias("quote"), F.array(F.when(i % 2 == 0, F.left(t, F.lit(9))).otherwise("nowhere")).alias("answer"))
     return dataset.reject_reasons(made).select("doc_id", "quality", "reject")
+
+
+RANKED = f"""d AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+  h AS (SELECT item_id, rn, left(d.text, 300) AS hit, {norm('left(d.text, 300)')} AS hn FROM benchmark b JOIN d ON d.source = 'src' || (b.item_id % 20) AND rn <= 5),
+  n AS (SELECT item_id, count(*) AS hits FROM h GROUP BY 1),
+  q AS (SELECT item_id, {norm('quote')} AS qn, pos FROM (
+    SELECT item_id, substr(hit, 12, 40) AS quote, 1 AS pos FROM h WHERE rn = 2 UNION ALL SELECT item_id, substr(hit, 3, 9), 2 FROM h WHERE rn = 3 UNION ALL SELECT item_id, text, 3 FROM benchmark
+    UNION ALL SELECT item_id, hit || ' and more', 4 FROM h WHERE rn = 5)),
+  a AS (SELECT item_id, {norm('left(hit, 6)')} AS an FROM h WHERE rn = 4),
+  r AS (SELECT q.item_id, q.pos, min(h.rn) FILTER (hn <> '' AND qn <> '' AND (contains(hn, CASE WHEN length(qn) >= 24 THEN left(qn, 24) ELSE qn END) OR contains(qn, hn) OR (an IS NOT NULL AND contains(hn, an)))) AS rank
+    FROM q LEFT JOIN h USING (item_id) LEFT JOIN a USING (item_id) GROUP BY 1, 2),
+  m AS (SELECT item_id, count(*) AS quotes, count(rank) AS found, min(rank) AS first FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {RANKED} SELECT item_id, found > 0 AS evidence_hit, round(least(found / greatest(quotes, 1), 1.0), 9) AS evidence_recall, round(CASE WHEN coalesce(hits, 0) > 0 THEN found / hits ELSE 0 END, 9) AS evidence_precision,
+    round(coalesce(1.0 / first, 0), 9) AS mrr, first::INT AS first_evidence_rank, coalesce(hits, 0)::INT AS retrieved_count FROM m LEFT JOIN n USING (item_id)""")
+def retrieval_of_several_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item with up to four quotes, of which some are in its hits, one holds a hit, and
+    an answer that is in one of them."""
+    docs = read(spark, sf, "documents").withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 5")
+    items = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("own"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
+    each = docs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.left("text", F.lit(300)).alias("t")))), lambda x: x["t"]).alias("hits"))
+    some = items.join(each, "source", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    hit = lambda i: F.get("hits", F.lit(i - 1))
+    given = lambda *x: F.filter(F.array(*x), lambda y: y.isNotNull())
+    quotes = given(F.substring(hit(2), 12, 40), F.substring(hit(3), 3, 9), F.col("own"), F.concat(hit(5), F.lit(" and more")))
+    r = some.select("item_id", scoring.retrieval("hits", quotes, given(F.left(hit(4), F.lit(6)))).alias("r")).select("item_id", "r.*")
+    return rounded(r)
+
+
+TOKENS = "greatest(-((-(150 * {cjk} + 130 * {words} + 100 * {numbers})) // 100), -((-(150 * {cjk} + 45 * {alnum} + 80 * ({asc_} - {asc_ws} - {alnum}) + 100 * (length(s) - {asc_} - {cjk} - ({ws} - {asc_ws})))) // 100))".format(
+    **{n: removed("s", f"[^{k[1:-1]}]") for n, k in (("cjk", r"[\x{4E00}-\x{9FFF}]"), ("alnum", "[A-Za-z0-9]"), ("asc_", r"[\x00-\x7F]"), ("asc_ws", r"[\t\n\x0B\f\r ]"), ("ws", WS))},
+    words="len(regexp_extract_all(s, '[A-Za-z]+(?:''[A-Za-z]+)?'))", numbers="len(regexp_extract_all(s, '[0-9]+(?:[.,:/_-][0-9]+)*'))",
+)
+
+
+@query(f"""WITH p AS (SELECT doc_id, k, substr(text, k * 400 + 1, 400) AS t FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 399) // 400)) AS k FROM documents)),
+  sec AS (SELECT doc_id, k, {trim("'## Part ' || k || chr(10) || chr(10) || t")} AS s FROM p WHERE regexp_matches(t, '[^{WS[1:-1]}]')),
+  w AS (SELECT doc_id, string_agg(s, chr(10) || chr(10) ORDER BY k) AS s FROM (SELECT doc_id, k, '## Part ' || k || chr(10) || chr(10) || t AS s FROM p WHERE regexp_matches(t, '[^{WS[1:-1]}]')) GROUP BY 1),
+  least_ AS (SELECT doc_id, CASE WHEN n >= 55 THEN 55 ELSE least(10, greatest(1, n / 2))::INT END AS least_n FROM (SELECT doc_id, {TOKENS} AS n FROM (SELECT doc_id, {trim('s')} AS s FROM w))),
+  kept AS (SELECT doc_id, k, s FROM (SELECT doc_id, k, s, {TOKENS} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rn FROM sec) JOIN least_ USING (doc_id) WHERE n >= least_n OR rn = 1)
+  SELECT 'd' || doc_id AS doc, sha1('l::d' || doc_id || '::' || row_number() OVER (PARTITION BY doc_id ORDER BY k)) AS id, row_number() OVER (PARTITION BY doc_id ORDER BY k)::DOUBLE AS number, s AS content, '7' AS page FROM kept""")
+def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document with a heading before every 400 characters: sections that fit, of which
+    too short ones go."""
+    part = lambda k: F.substring(F.col("text"), (k * 400 + 1).cast("int"), F.lit(400))
+    ks = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.floor((F.length("text") + 399) / 400).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    filled = F.filter(ks, lambda k: part(k).rlike(f"[^{text.WS[1:-1]}]"))
+    md = F.array_join(F.transform(filled, lambda k: F.concat(F.lit("## Part "), k.cast("string"), F.lit("\n\n"), part(k))), "\n\n")
+    spans = "array<struct<page:int,start:int,end:int>>"
+    docs = read(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), md.alias("text"), F.array(F.struct(F.lit(7).alias("page"), F.lit(0).alias("start"), F.length(md).alias("end"))).cast(spans).alias("page_spans"), F.lit(None).cast("array<struct<type:string,start:int,end:int,page:int,title:string>>").alias("semantic_spans"))
+    return chunking.markdown_chunks(docs, "l").select("doc", "id", F.col("doc_index2").cast("double").alias("number"), "content", "page")

@@ -104,7 +104,12 @@ def reports(spark: SparkSession, folder: str, most: int = 80) -> DataFrame:
     return d.select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.coalesce(get("$.dataset_name"), get("$.dataset"), F.lit("")).alias("dataset"), F.coalesce(get("$.schema"), F.lit("")).alias("schema"),
         get("$.summary.qa_accuracy", "double").alias("qa_accuracy"), get("$.summary.qa_correct", "bigint").alias("qa_correct"), F.coalesce(get("$.summary.qa_total", "bigint"), get("$.summary.total", "bigint")).alias("qa_total"), "updated_at",
-    ).orderBy(F.desc("updated_at"), "name").limit(most)
+    ).transform(newest, most)
+
+
+def newest(rows: DataFrame, most: int = 80) -> DataFrame:
+    """The latest rows by updated_at, then by name."""
+    return rows.orderBy(F.desc("updated_at"), "name").limit(most)
 
 
 def asset_documents(spark: SparkSession, manifest: str, files: DataFrame) -> DataFrame:
