@@ -7,14 +7,17 @@ few requests at a time, and turn failures into rows.
 
 from __future__ import annotations
 
+import io
 import json
+import os
 import re
 import time
 import urllib.error
 import urllib.request
+import zipfile
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from typing import Protocol
 
 import pyarrow as pa
@@ -56,6 +59,7 @@ class Provider:
     context: int = 8192
     token_field: str = "max_tokens"
     extra: dict = field(default_factory=dict)
+    fallback: str = ""
 
     def masked(self) -> Provider:
         k = self.api_key
@@ -77,6 +81,60 @@ class Provider:
         return body | {"temperature": self.temperature, "top_p": self.top_p, self.token_field: budget} | self.extra
 
 
+#: name: (url, variable of the key, models); more by save_provider.
+PRESETS = {
+    "deepseek": ("https://api.deepseek.com/v1", "DEEPSEEK_API_KEY", ("deepseek-chat", "deepseek-reasoner")),
+    "dashscope": ("https://dashscope.aliyuncs.com/compatible-mode/v1", "DASHSCOPE_API_KEY", ("qwen-plus", "qwen-turbo", "qwen-max")),
+    "siliconflow": ("https://api.siliconflow.cn/v1", "SILICONFLOW_API_KEY", ("Qwen/Qwen3-8B",)),
+    "local": ("http://localhost:11434/v1", "", ("qwen3:8b", "llama3.2")),
+    "custom": ("https://api.example.com/v1", "CUSTOM_API_KEY", ("custom-model",)),
+}
+
+
+def preset(name: str) -> Provider:
+    """A provider by name, with the key that its variable holds."""
+    url, variable, models = PRESETS[name]
+    return Provider(name, url, models[0], models, os.environ.get(variable, "") if variable else "", kind="local" if name == "local" else "chat")
+
+
+def save_provider(provider: Provider, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(asdict(provider), f, ensure_ascii=False, indent=2)
+
+
+def load_provider(path: str, default: Provider) -> Provider:
+    """The saved provider, or the default where none can be read."""
+    try:
+        with open(path, encoding="utf-8-sig") as f:
+            return provider_from(json.load(f), default)
+    except (OSError, ValueError):
+        return default
+
+
+def list_models(provider: Provider, timeout: float = 20, send: Callable | None = None) -> list[str]:
+    """Names of the models that a service offers, each once, in its order; none is an error."""
+    url = local_url(provider.url, "tags") if provider.kind == "local" else models_url(provider.url)
+    status, body = (send or http)(url, provider.headers(), None, timeout)
+    if status >= 400:
+        raise HttpError(status, body)
+    data = json.loads(body or "{}")
+    items = data if isinstance(data, list) else data.get("models" if provider.kind == "local" else "data") or []
+    names = [str((x.get("name") or x.get("model") or x.get("id") or "") if isinstance(x, dict) else x).strip() for x in items]
+    out = list(dict.fromkeys(n for n in names if n))
+    if not out:
+        raise ValueError(f"{provider.name} offers no models")
+    return out
+
+
+def usage(x: Column | str) -> Column:
+    """Struct of prompt, completion and total tokens of a chat response as JSON, of either
+    protocol; what is missing counts 0."""
+    v = F.try_parse_json(c(x))
+    get = lambda *paths: F.coalesce(*(F.try_variant_get(v, p, "bigint") for p in paths), F.lit(0).cast("bigint"))
+    p, o = get("$.usage.prompt_tokens", "$.prompt_eval_count"), get("$.usage.completion_tokens", "$.eval_count")
+    return F.struct(p.alias("prompt_tokens"), o.alias("completion_tokens"), F.coalesce(F.try_variant_get(v, "$.usage.total_tokens", "bigint"), p + o).alias("total_tokens"))
+
+
 def provider_from(options: dict, saved: Provider | None = None) -> Provider:
     """Options under either spelling (apiUrl, api_url ...); an empty or masked key leaves
     the saved one."""
@@ -178,13 +236,17 @@ def call(url: str, headers: dict, payload: dict, timeout: float, send: Transport
 
 
 def message_of(data: dict) -> str:
+    parts = data.get("content")
+    if isinstance(parts, list):  # the protocol of messages
+        return "".join(str(p.get("text") or "") for p in parts if isinstance(p, dict)).strip()
     m = ((data.get("choices") or [{}])[0] or {}).get("message") or data.get("message") or {}
     return (m.get("content") if m.get("content") is not None else m.get("reasoning_content") or "").strip()
 
 
-def chat(df: DataFrame, messages: Column | str, out: str, provider: Provider, budget: int, purpose: str, timeout: float = 300, parallel: int = 4, send: Transport = http) -> DataFrame:
+def chat(df: DataFrame, messages: Column | str, out: str, provider: Provider, budget: int, purpose: str, timeout: float = 300, parallel: int = 4, send: Transport = http, delays: tuple[float, ...] = DELAYS) -> DataFrame:
     """df with out (the answer), error and error_kind (quota or error) of a request for
-    each row; messages is JSON. parallel bounds the requests of a task at a time."""
+    each row; messages is JSON. parallel bounds the requests of a task at a time. Where a
+    provider names an error as its fallback, that one is tried under /messages."""
     from pyspark.sql import types as T
 
     ready, names = df.withColumn("__messages", c(messages)), df.columns
@@ -192,7 +254,14 @@ def chat(df: DataFrame, messages: Column | str, out: str, provider: Provider, bu
 
     def ask(m: str | None) -> tuple[str | None, str | None, str | None]:
         try:
-            return message_of(call(provider.endpoint(), provider.headers(), provider.payload(json.loads(m or "[]"), budget, purpose), timeout, send)), None, None
+            body = provider.payload(json.loads(m or "[]"), budget, purpose)
+            try:
+                return message_of(call(provider.endpoint(), provider.headers(), body, timeout, send, delays)), None, None
+            except HttpError as e:
+                if not provider.fallback or provider.fallback not in str(e):
+                    raise
+                other = provider.endpoint().replace("/chat/completions", "/messages")
+                return message_of(call(other, provider.headers(), body, timeout, send, delays)), None, None
         except QuotaExhausted as e:
             return None, str(e), "quota"
         except Exception as e:
@@ -214,6 +283,11 @@ class Retriever(Protocol):
         rows with id and error alone."""
 
 
+class Generator(Protocol):
+    def generate(self, chunks: DataFrame) -> DataFrame:
+        """chunks (source, chunk_no, chunk) to (source, chunk_no, raw)."""
+
+
 class Answerer(Protocol):
     def answer(self, prompts: DataFrame) -> DataFrame:
         """prompts (id, prompt) to (id, prediction, error, error_kind)."""
@@ -231,12 +305,17 @@ class Parser(Protocol):
 
 @dataclass
 class Recorded:
-    """What services said before, by id or path."""
+    """What services said before, by id, number of chunk or name of file."""
 
     hits: DataFrame | None = None
     predictions: DataFrame | None = None
     judgements: DataFrame | None = None
     parsed: DataFrame | None = None
+    generated: DataFrame | None = None
+
+    def generate(self, chunks: DataFrame) -> DataFrame:
+        """By chunk_no, whatever the source."""
+        return chunks.select("source", "chunk_no").join(self.generated.select("chunk_no", "raw"), "chunk_no", "left").select("source", "chunk_no", "raw")
 
     def search(self, questions: DataFrame) -> DataFrame:
         return self.hits.join(questions.select("id"), "id", "left_semi")
@@ -251,7 +330,169 @@ class Recorded:
         return self.judgements.join(rows.select("id"), "id", "left_semi")
 
     def parse(self, files: DataFrame) -> DataFrame:
-        return files.select("path").join(self.parsed, "path", "left")
+        base = F.element_at(F.split("path", "/"), -1)
+        return files.select("path", base.alias("name")).join(self.parsed, "name", "left").drop("name")
+
+
+@dataclass
+class HttpGenerator:
+    """Questions for chunks: a model that answers with a JSON array of query, answer and
+    evidence_quote for each."""
+
+    provider: Provider
+    per_chunk: int = 3
+    timeout: float = 300
+    send: Transport = http
+
+    def generate(self, chunks: DataFrame) -> DataFrame:
+        """chunks (source, chunk_no, chunk) to (source, chunk_no, raw, error)."""
+        ask = F.concat(
+            F.lit(f"Write {self.per_chunk} questions that the text below answers by itself, in its language. Keep answers short: names, numbers, dates, places, items. evidence_quote is copied from the text word for word and proves the answer. Invent nothing."),
+            F.lit(' Return a JSON array only: [{"query": "...", "answer": ["..."], "evidence_quote": "..."}]\n\nText:\n'), F.col("chunk"),
+        )
+        m = F.to_json(F.array(F.struct(F.lit("system").alias("role"), F.lit("You write exact, traceable test questions, as JSON only.").alias("content")), F.struct(F.lit("user").alias("role"), ask.alias("content"))))
+        got = chat(chunks.select("source", "chunk_no", "chunk"), m, "raw", self.provider, 1800, "dataset generation", self.timeout, send=self.send)
+        return got.select("source", "chunk_no", "raw", "error")
+
+
+@dataclass
+class HttpPlatform:
+    """What a retrieval platform offers beside search, asked by the driver."""
+
+    url: str
+    headers: dict = field(default_factory=dict)
+    timeout: float = 60
+    send: Transport = http
+
+    def get(self, path: str) -> dict | list:
+        status, body = self.send(self.url.rstrip("/") + path, self.headers, None, self.timeout)
+        if status >= 400:
+            raise HttpError(status, body)
+        return json.loads(body or "{}")
+
+    def healthy(self, path: str = "/health") -> bool:
+        try:
+            return self.get(path) is not None
+        except (OSError, ValueError, HttpError):
+            return False
+
+    def _rows(self, path: str, spark) -> DataFrame:
+        data = self.get(path)
+        items = data if isinstance(data, list) else next((data[k] for k in ("knowledge_bases", "data", "items", "results") if isinstance(data.get(k), list)), [])
+        rows = [(i, str(x.get("id") or ""), str(x.get("name") or x.get("id") or "")) for i, x in enumerate(items) if isinstance(x, dict)]
+        return spark.createDataFrame(rows, "pos int, id string, name string")
+
+    def knowledge_bases(self, spark, path: str = "/v1/knowledge-bases") -> DataFrame:
+        return self._rows(path, spark)
+
+    def models(self, spark, path: str = "/v1/models") -> DataFrame:
+        return self._rows(path, spark)
+
+    def upload(self, title: str, files: dict[str, str], path: str = "/api/kb") -> str:
+        """The id of a new knowledge base that holds the files (name: Markdown)."""
+        made = call(self.url.rstrip("/") + path, self.headers | {"Content-Type": "application/json"}, {"title": title}, self.timeout, self.send, ())
+        ident = str(made.get("id") or (made.get("data") or {}).get("id") or "")
+        if not ident:
+            raise ValueError("the platform gave no id")
+        for name, text_ in files.items():
+            call(f"{self.url.rstrip('/')}{path}/{ident}/documents", self.headers | {"Content-Type": "application/json"}, {"name": name, "content": text_}, self.timeout, self.send, ())
+        return ident
+
+
+def unpack(data: bytes) -> tuple[str, str | None]:
+    """Markdown and content list (JSON) of a parser's archive: full.md before any other, and
+    the file of blocks by its name."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = sorted(n for n in z.namelist() if not n.endswith("/"))
+        base = lambda n: n.rsplit("/", 1)[-1].lower()
+        md = sorted((n for n in names if n.lower().endswith(".md")), key=lambda n: (base(n) != "full.md", n))
+        blocks = [n for n in names if base(n).endswith("content_list.json")]
+        if not md:
+            raise ValueError("no Markdown in the archive")
+        read = lambda n: z.read(n).decode("utf-8-sig", "replace")
+        return read(md[0]), read(blocks[0]) if blocks else None
+
+
+@dataclass
+class HttpParser:
+    """A parsing service with batches: it gives a place to send each file to, works on them,
+    and offers an archive for each. get and put take and give bytes."""
+
+    url: str
+    headers: dict = field(default_factory=dict)
+    options: dict = field(default_factory=dict)
+    interval: float = 3
+    deadline: float = 1800
+    timeout: float = 300
+    send: Transport = http
+    transfer: Callable[[str, bytes | None, float], bytes] | None = None
+    wait: Callable[[float], None] = time.sleep
+
+    def parse(self, files: DataFrame) -> DataFrame:
+        """files (path, content) to (path, markdown, content_list, error), batch by batch."""
+        from attestry.operators.parsing import group_batches
+        from attestry.sources.options import upload_name
+
+        me, delays = self, (2.0, 6.0)
+        transfer = self.transfer or _transfer
+        json_headers = self.headers | {"Content-Type": "application/json"}
+
+        def work(names: list[str], contents: list[bytes]) -> list[tuple]:
+            sent = [f"{i:03d}_{upload_name(n.rsplit('/', 1)[-1])}" for i, n in enumerate(names)]
+            made = call(f"{me.url}/batch", json_headers, {"files": [{"name": s, "data_id": str(i)} for i, s in enumerate(sent)]} | me.options, me.timeout, me.send, delays)
+            out: dict[str, tuple] = {}
+            for i, place in enumerate(made["file_urls"]):
+                transfer(place, contents[i], me.timeout)
+            last: dict[str, dict] = {}
+
+            def status() -> dict[str, str]:
+                code, body = me.send(f"{me.url}/batch/{made['batch_id']}", me.headers, None, me.timeout)
+                if code >= 400:
+                    raise HttpError(code, body)
+                for r in json.loads(body)["results"]:
+                    last[str(r.get("data_id") or sent.index(r["file_name"]))] = r
+                return {str(i): last.get(str(i), {}).get("state", "waiting") for i in range(len(names))}
+
+            def done(i: str) -> None:
+                try:
+                    out[i] = (*unpack(transfer(last[i]["archive_url"], None, me.timeout)), None)
+                except Exception as e:
+                    out[i] = (None, None, str(e))
+
+            left = poll(status, done, lambda i: out.update({i: (None, None, str(last[i].get("error") or "failed"))}), me.interval, me.deadline, me.wait)
+            for i in left:
+                out[i] = (None, None, "not done in time")
+            return [(n, *out[str(i)]) for i, n in enumerate(names)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[int, str, bytes]] = []
+
+            def flush() -> pa.RecordBatch:
+                names, contents = [h[1] for h in held], [h[2] for h in held]
+                try:
+                    rows = work(names, contents)
+                except Exception as e:  # a batch that fails is rows, as a file that fails is
+                    rows = [(n, None, None, str(e)) for n in names]
+                return pa.record_batch([pa.array(list(x), pa.string()) for x in zip(*rows)], ["path", "markdown", "content_list", "error"])
+
+            for b in batches:
+                for row in zip(*(b.column(x).to_pylist() for x in ("batch", "path", "content"))):
+                    if held and held[0][0] != row[0]:
+                        yield flush()
+                        held.clear()
+                    held.append(row)
+            if held:
+                yield flush()
+
+        sized = files.select("path", "content", F.length("content").alias("size"), F.pmod(F.xxhash64("path"), F.lit(files.sparkSession.sparkContext.defaultParallelism)).alias("lane"))
+        ready = group_batches(sized, "lane", "path", "size")
+        return ready.mapInArrow(run, "path string, markdown string, content_list string, error string")
+
+
+def _transfer(url: str, data: bytes | None, timeout: float) -> bytes:
+    request = urllib.request.Request(url, data, method="PUT" if data is not None else "GET")
+    with urllib.request.urlopen(request, timeout=timeout) as r:
+        return r.read()
 
 
 @dataclass

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import compact_whitespace, html_to_text, trim
 from attestry.operators.dataset import canonical
+from attestry.operators.parsing import normalize_spans
 
 TEXT_EXTENSIONS = ("txt", "md", "markdown", "html", "htm", "csv", "tsv", "json", "jsonl", "xml", "yaml", "yml", "log", "rst", "tex", "ini", "cfg", "toml")
 PARSER_EXTENSIONS = ("pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "png", "jpg", "jpeg", "jp2", "webp", "gif", "bmp", "html", "htm")
@@ -44,8 +45,18 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 
 def read_json(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, json) with a null where a file holds no JSON."""
-    return read_text(spark, *paths).select("path", F.try_parse_json("text").alias("json"))
+    """(path, json) with a null where a file holds no JSON, and no row for one that is not
+    there."""
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, json variant")
+    return read_text(spark, *there).select("path", F.try_parse_json("text").alias("json"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def extension(path: Column) -> Column:
@@ -87,7 +98,7 @@ def datasets(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
     base = F.element_at(F.split("path", "/"), -1)
     named = files.select("path", "modificationTime", base.alias("base"))
-    found = named.where(F.col("base").endswith(".json") & ~F.col("base").endswith(".report.json") & ~F.contains(F.col("path"), F.lit("/assets/"))).withColumn("name", F.regexp_replace("base", r"\.json$", ""))
+    found = named.where(F.col("base").endswith(".json") & ~F.col("base").endswith(".report.json") & ~F.col("path").rlike("/(assets|reports)/")).withColumn("name", F.regexp_replace("base", r"\.json$", ""))
     have = named.where(F.col("base").rlike(r"\.corpus\.(md|txt)$")).select(F.regexp_replace("base", r"\.corpus\.(md|txt)$", "").alias("name")).distinct().withColumn("has_corpus", F.lit(True))
     assets = named.select(F.regexp_extract("path", r"/assets/([^/]+)/", 1).alias("name")).where("name <> ''").distinct().withColumn("has_assets", F.lit(True))
     lines = spark.read.text(folder, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("p"), trim("value").alias("v")).where("v <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("rows"))
@@ -97,12 +108,13 @@ def datasets(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("name", "path", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("has_corpus", no).alias("has_corpus"), F.coalesce("has_assets", no).alias("has_assets"), F.col("modificationTime").alias("updated_at")).orderBy(F.collate("name", "UNICODE"))
 
 
-def reports(spark: SparkSession, folder: str, most: int = 80) -> DataFrame:
-    """Index of the newest reports of a folder, with the totals of their summaries."""
+def reports(spark: SparkSession, folder: str, most: int = 80, rename: tuple[str, str] = ("", "")) -> DataFrame:
+    """Index of the newest reports of a folder, with the totals of their summaries; rename
+    (prefix, new prefix) changes the names shown."""
     d = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("updated_at"), F.try_parse_json("value").alias("v"))
     get = lambda p, t="string": F.try_variant_get("v", p, t)
     return d.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.coalesce(get("$.dataset_name"), get("$.dataset"), F.lit("")).alias("dataset"), F.coalesce(get("$.schema"), F.lit("")).alias("schema"),
+        F.regexp_replace(F.element_at(F.split("path", "/"), -1), f"^{rename[0]}" if rename[0] else "^(?!)", rename[1]).alias("name"), "path", F.coalesce(get("$.dataset_name"), get("$.dataset"), F.lit("")).alias("dataset"), F.coalesce(get("$.schema"), F.lit("")).alias("schema"),
         get("$.summary.qa_accuracy", "double").alias("qa_accuracy"), get("$.summary.qa_correct", "bigint").alias("qa_correct"), F.coalesce(get("$.summary.qa_total", "bigint"), get("$.summary.total", "bigint")).alias("qa_total"), "updated_at",
     ).transform(newest, most)
 
@@ -112,11 +124,38 @@ def newest(rows: DataFrame, most: int = 80) -> DataFrame:
     return rows.orderBy(F.desc("updated_at"), "name").limit(most)
 
 
-def asset_documents(spark: SparkSession, manifest: str, files: DataFrame) -> DataFrame:
-    """Markdown paths of a manifest for which the file and its layout file are there."""
-    listed = read_json(spark, manifest).select(F.explode(F.try_variant_get("json", "$.markdown_files", "array<string>")).alias("path"))
-    layout = files.where(F.col("path").endswith(".layout.json")).select(F.regexp_replace("path", r"\.layout\.json$", "").alias("path"))
-    return listed.join(files.select("path"), "path", "left_semi").join(layout, "path", "left_semi")
+def asset_documents(spark: SparkSession, manifest: str, files: DataFrame, key: str = "markdown_files", layout: str = ".layout.json") -> DataFrame:
+    """Markdown paths that a manifest lists under key for which the file and its layout file,
+    of the same path and that ending, are there."""
+    listed = read_json(spark, manifest).select(F.explode(F.try_variant_get("json", f"$.{key}", "array<string>")).alias("path"))
+    with_layout = files.where(F.col("path").endswith(layout)).select(F.left("path", F.length("path") - len(layout)).alias("path"))
+    return listed.join(files.select("path"), "path", "left_semi").join(with_layout, "path", "left_semi")
+
+
+def sidecar_path(path: Column | str, ending: str = ".chunks.json") -> Column:
+    return F.concat(path if isinstance(path, Column) else F.col(path), F.lit(ending))
+
+
+def sidecar_summary(documents: DataFrame, files: DataFrame, ending: str = ".chunks.json") -> DataFrame:
+    """One row: how many documents (path) there are, how many have a sidecar, and both lists."""
+    have = documents.select("path", sidecar_path("path", ending).alias("s")).join(files.select(F.col("path").alias("s"), F.lit(True).alias("there")), "s", "left")
+    return have.agg(F.count(F.lit(1)).alias("markdown_count"), F.count("there").alias("sidecar_count"), F.array_sort(F.collect_list("path")).alias("markdown_paths"), F.array_sort(F.collect_list(F.when(F.col("there"), F.col("s")))).alias("sidecar_paths"))
+
+
+SPAN = "array<struct<type:string,start:int,end:int,page:int,title:string>>"
+
+
+def read_metadata(spark: SparkSession, documents: DataFrame, *folders: str) -> DataFrame:
+    """documents (path) with page_spans and semantic_spans of the first of path.meta.json and
+    the stem's .meta.json that is JSON, under either spelling of the keys; empty if none is."""
+    found = spark.read.text([f"{f.rstrip('/')}/*.meta.json" for f in folders], wholetext=True).select(F.col("_metadata.file_path").alias("at"), F.try_parse_json(without_bom(F.col("value"))).alias("v")).where("v is not null")
+    plain = lambda x: F.regexp_replace(x, "^file:/*", "/")
+    names = documents.select("path", F.posexplode(F.array(F.concat("path", F.lit(".meta.json")), F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit(".meta.json")))).alias("pos", "at"))
+    keyed = names.withColumn("at", plain(F.col("at"))).join(found.withColumn("at", plain(F.col("at"))), "at")
+    first = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where("rn = 1").select("path", "v")
+    get = lambda *keys: F.coalesce(*(F.try_variant_get("v", f"$.{k}", SPAN) for k in keys), F.array().cast(SPAN))
+    out = documents.join(first, "path", "left")
+    return out.select(*documents.columns, normalize_spans(get("page_spans", "pageSpans"), True).alias("page_spans"), normalize_spans(get("semantic_spans", "semanticSpans"), False).alias("semantic_spans"))
 
 
 def first_existing(candidates: DataFrame, files: DataFrame) -> DataFrame:
