@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.sources.tables import remover, shared_dir
+
 
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that no column of df has (Spark compares without case)."""
@@ -24,30 +25,26 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own in local mode only."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.attestry.dir", None)
-    if path is None:
-        if not conf.get("spark.master", "").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="attestry-")
-        spark.conf.set("spark.attestry.dir", path)
-    return path
+MADE: list[str] = []  # folders of this driver in the shared one, the oldest first
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/attestry-{uuid.uuid4().hex}/{name}"
-    atexit.register(_remove, spark, path.rpartition("/")[0])
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """A new path in the shared folder, removed when the driver's Python ends, after
+    spark.stop() too, or by drop."""
+    folder = f"{shared_dir(spark).rstrip('/')}/attestry-{uuid.uuid4().hex}"
+    MADE.append(folder)
+    atexit.register(remover(spark, folder))
+    return f"{folder}/{name}"
+
+
+def drop(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Removes what was made since (a length of MADE) but the table keep: what it was made
+    from is not needed any more."""
+    kept = {x.rpartition("/")[0].rpartition("/")[0].rpartition(":")[2].lstrip("/") for x in keep.inputFiles()}
+    for folder in MADE[since:]:
+        if folder.rpartition(":")[2].lstrip("/") not in kept:
+            remover(spark, folder)()
+            MADE.remove(folder)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
