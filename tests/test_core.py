@@ -233,3 +233,85 @@ def test_sql_functions(spark):
     assert len(register(spark)) == 8
     row = spark.sql("SELECT attestry_normalize_text(' Ａ b') a, attestry_trim('　x ') b, attestry_percent(0.66666D) c, attestry_estimate_tokens('a b') d, attestry_compact_whitespace('a \t b\r\n\r\n\r\n\r\nc') e").collect()[0]
     assert tuple(row) == ("ab", "x", 66.67, 3, "a b\n\nc")
+
+
+def test_token_kernel_against_single_texts():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    parts = ["a", "Bc", "'", "1", "23", ".", ",", "_", "-", "/", ":", " ", "\n", "\t", "é", "ß", "汉", "字", "鿿", "㐀", "　", " ", " ", " ", "﻿", "😀", "!", "\x0b", "\x1c", "ü'a"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(3000)]
+    words, dense = text.token_weights(pa.array(texts))
+    for t, w, d in zip(texts, words.tolist(), dense.tolist()):
+        assert (w, d) == chunking.weights(t), repr(t)
+    assert text.token_weights(pa.array(["", None]))[0].tolist() == [0, 0] and len(text.token_weights(pa.array([], pa.string()))[0]) == 0
+
+
+def test_fit_against_counting_anew():
+    """Sums of weights are those of the joined text at every step."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choices(["word ", "x\n", "\n\n", "12.5 ", "汉字", "字。", "it's ", "long" * 9, "w?"], k=60))
+        for budget in (5, 17, 60):
+            got = chunking.fit(t, budget)
+            assert all(chunking.tokens(p) <= budget for p in got)
+            assert "".join("".join(got).split()) == "".join(t.split())
+
+
+def test_repair_and_flattening(spark):
+    assert one(spark, llmjson.repair("x"), x='{"a": "x\\d", }') == '{"a": "x\\\\d"}'
+    assert json.loads(one(spark, llmjson.extract_object("x"), x='{"a": "x\\d"}')) == {"a": "x\\d"}
+    assert one(spark, llmjson.extract_object("x"), x='{"a": NaN} {"b": 1}') == '{"b": 1}'
+    assert one(spark, llmjson.extract_object("x"), x='{"a": "{"} tail') == '{"a": "{"}'
+    for raw, want in (('"[2022]"', ["[2022]"]), ("[2022]", ["2022"]), ('["a", ["b", [["c", [[[["d"]]]]]]]]', ["a", "b", "c", "d"]), ('"{}"', ["{}"]), ("null", []), ('[" ", "x "]', ["x"])):
+        assert one(spark, dataset.flat_strings(F.parse_json("x")), x=raw) == want
+
+
+def test_match_pairs_against_every_pair(spark):
+    import random
+
+    rng = random.Random(3)
+    hits = [(i, "".join(rng.choices("ab ", k=rng.randrange(0, 60)))) for i in range(120)]
+    quotes = [(i, "".join(rng.choices("ab ", k=rng.choice([1, 3, 9, 26, 50])))) for i in range(60)] + [(99, None)]
+    quotes += [(200 + i, hits[i][1][3:40]) for i in range(20)] + [(300 + i, "x" + hits[i][1] + "y") for i in range(20)]
+    norm = lambda s: "".join((s or "").split())
+    want = set()
+    for i, h in hits:
+        for j, q in quotes:
+            a, b = norm(h), norm(q)
+            if a and b and ((b[:24] if len(b) >= 24 else b) in a or a in b):
+                want.add((j, i))
+    h, q = spark.createDataFrame(hits, "hit long, text string"), spark.createDataFrame(quotes, "item long, quote string")
+    rows = [(r.item, r.hit) for r in scoring.match_pairs(h, q, "text", "quote").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert scoring.match_pairs(h.limit(0), q, "text", "quote").count() == scoring.match_pairs(h, q.limit(0), "text", "quote").count() == 0
+
+
+def test_rows_numbered_by_range(spark):
+    d = spark.range(0, 500).select(((F.col("id") * 37) % 500).alias("x"), F.lit(1).alias("y"))
+    for limit in (None, 40):
+        got = dataset.number_rows(d, "x", limit=limit).collect()
+        assert sorted((r.id, r.x) for r in got) == [(i, i) for i in range(limit or 500)]
+    assert dataset.number_rows(d.limit(0), "x").count() == 0
+
+
+def test_what_is_computed_once(spark):
+    from attestry.sources.tables import once, remover
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = once(spark.range(10).mapInArrow(count, "id long"), "t")
+    assert t.count() == t.count() == 10 and t.agg(F.sum("id")).collect()[0][0] == 45 and seen.value == 10
+    folder = t.inputFiles()[0].rsplit("/", 2)[0]
+    remover(spark, folder)()
+    with pytest.raises(Exception):
+        t.select(F.max("id")).collect()
