@@ -369,14 +369,21 @@ def chunk_rows(doc: str, text: str | None, label: str, page_spans: list[dict] |
             yield (doc, sha(label, doc, number, "embedding", i), Decimal(number) + Decimal(i) / 10000, doc, part, page, "embedding_part", None, start, end, number, i, len(parts))
 
 
-def markdown_chunks(docs: DataFrame, label: str) -> DataFrame:
+def markdown_chunks(docs: DataFrame, label: str, skip: bool = False) -> DataFrame:
     """docs (doc, text, page_spans, semantic_spans) as rows of CHUNK. One document in,
-    its chunks out: nothing shuffles, and a batch holds a few documents."""
+    its chunks out: nothing shuffles, and a batch holds a few documents. With skip, a
+    document that fails gives one row with its number 0 and the error as content, in the
+    role "error", and the others go on."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rows = list(chunk_rows(row["doc"], row["text"], label, row["page_spans"], row["semantic_spans"]))
+                try:
+                    rows = list(chunk_rows(row["doc"], row["text"], label, row["page_spans"], row["semantic_spans"]))
+                except Exception as e:
+                    if not skip:
+                        raise
+                    rows = [(row["doc"], "", Decimal(0), row["doc"], str(e), None, "error", None, None, None, None, None, None)]
                 if rows:
                     yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows), TYPES)], FIELDS)
 

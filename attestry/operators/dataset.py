@@ -113,3 +113,11 @@ def reject_reasons(rows: DataFrame, chunk: str = "chunk", quote: str = "quote",
 def choose_model(models: DataFrame, preferred: str, blocked: str) -> DataFrame:
     """Of models (pos, id): the first that is preferred and not blocked, else the first not blocked."""
     return models.where(~F.col("id").rlike(blocked)).orderBy(~F.col("id").rlike(preferred), "pos").limit(1)
+
+
+def default_model(models: DataFrame, preferred: str, blocked: str) -> str:
+    """The id that choose_model finds; none left is an error."""
+    found = choose_model(models, preferred, blocked).collect()
+    if not found:
+        raise ValueError("no model is left to choose from")
+    return found[0]["id"]

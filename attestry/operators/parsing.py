@@ -64,6 +64,13 @@ def failures(parts: DataFrame, key: str = "doc") -> DataFrame:
     return parts.groupBy(key).agg(F.bool_or(F.col("error").isNull()).alias("success"), F.array_join(F.transform(lost, lambda p: p["error"]), "; ").alias("error"))
 
 
+def merge_results(parts: DataFrame, key: str = "doc") -> DataFrame:
+    """Of parts (part, of, pages, page_offset, markdown, content_list, error), one row a
+    document: what the good parts hold, in order, and what failures says of the others."""
+    good = parts.where("error is null")
+    return failures(parts, key).join(merge_parts(good, key), key, "left").join(merge_content_lists(good, key), key, "left")
+
+
 def split_by_cache(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files with a cached result under their digest, and those without."""
     return files.join(cache, "digest", "inner"), files.join(cache.select("digest"), "digest", "left_anti")

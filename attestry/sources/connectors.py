@@ -592,10 +592,16 @@ class OverlapRetriever:
         return top.join(self.docs, "doc").select("id", "rank", F.col("doc").cast("string").alias("title"), F.col("text").alias("content"))
 
 
-def answer_prompt(query: Column | str, hits: Column | str) -> Column:
+def answer_prompt(query: Column | str, hits: Column | str, base: str | None = None) -> Column:
     """Numbered context of ranked hits (title, content), blank ones left out without
-    renumbering the others."""
-    each = F.filter(F.transform(c(hits), lambda h, i: F.when(trim(text(h["content"])) != "", F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"), F.when(trim(text(h["title"])) != "", F.concat(F.lit(" "), trim(text(h["title"])))).otherwise(""), F.lit("\n"), trim(text(h["content"]))))), lambda x: x.isNotNull())
+    renumbering the others. base names a field of hits with the knowledge base, which comes
+    before the title."""
+
+    def head(h: Column) -> Column:
+        names = F.filter(F.array(*[trim(text(h[x])) for x in ([base] if base else []) + ["title"]]), lambda x: x != "")
+        return F.when(F.size(names) > 0, F.concat(F.lit(" "), F.array_join(names, " / "))).otherwise("")
+
+    each = F.filter(F.transform(c(hits), lambda h, i: F.when(trim(text(h["content"])) != "", F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"), head(h), F.lit("\n"), trim(text(h["content"]))))), lambda x: x.isNotNull())
     context = F.when(F.size(each) > 0, F.array_join(each, "\n\n")).otherwise(NO_CONTEXT)
     return F.concat(F.lit("Answer from the material below only, as briefly as possible. If it does not suffice, say so.\n\nMaterial:\n"), context, F.lit("\n\nQuestion: "), text(query))
 

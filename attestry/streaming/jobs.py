@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOGS = 400
@@ -26,6 +26,13 @@ def advance(status: str, lines: int, progress: int, logs: list[str], kind: str,
     return "running", lines, min(95, max(progress, 5 + lines * STEPS.get(kind, 3))), [*logs, line][-LOGS:]
 
 
+def cancel(spark: SparkSession, job: str, seq: int) -> DataFrame:
+    """Stops what runs under the job's group (setJobGroup) and gives the event that ends the
+    job; one that has ended stays as it is."""
+    spark.sparkContext.cancelJobGroup(job)
+    return spark.createDataFrame([(job, "", seq, "cancelled", "")], "job_id string, kind string, seq long, event string, line string")
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """States of jobs from a stream (job_id, kind, seq, event, line), an updated row a job
     and batch; within a batch events go by seq. State is one row of at most LOGS lines

@@ -315,3 +315,21 @@ def test_what_is_computed_once(spark):
     remover(spark, folder)()
     with pytest.raises(Exception):
         t.select(F.max("id")).collect()
+
+
+def test_small_operators(spark):
+    models = spark.createDataFrame([(0, "x-embed"), (1, "b"), (2, "good")], "pos int, id string")
+    assert dataset.default_model(models, "good", "embed") == "good" and dataset.default_model(models, "none", "embed") == "b"
+    with pytest.raises(ValueError):
+        dataset.default_model(models, "good", ".")
+    parts = spark.createDataFrame([("d", 1, 2, "1-2", 0, "one", None), ("d", 2, 2, "3-4", 2, None, "lost"), ("e", 1, 1, "1", 0, None, "gone")], "doc string, part int, of int, pages string, page_offset int, markdown string, error string")
+    got = {r.doc: r for r in parsing.merge_results(parts.withColumn("content_list", F.array(F.struct(F.lit(1).alias("page_idx"))))).collect()}
+    assert got["d"].success and got["d"].error == "lost" and got["d"].markdown.endswith("part: 1/2 -->\n\none") and [b.page_idx for b in got["d"].content_list] == [1]
+    assert not got["e"].success and got["e"].markdown is None
+    hits = F.array(*[F.struct(F.lit(a).alias("title"), F.lit(b).alias("content"), F.lit(k).alias("kb")) for a, b, k in (("t", "c1", "K"), ("", " ", "K"), ("", "c3", ""))])
+    assert "[1] K / t\nc1\n\n[3]\nc3\n" in one(spark, connectors.answer_prompt(F.lit("q"), hits, "kb")) and "[1] t\nc1" in one(spark, connectors.answer_prompt(F.lit("q"), hits))
+    events = spark.createDataFrame([("j", "build", 0, "log", "a")], "job_id string, kind string, seq long, event string, line string")
+    assert [r.status for r in jobs.latest_states(events.unionAll(jobs.cancel(spark, "j", 1))).collect()] == ["cancelled"]
+    none = "array<struct<type:string,start:int,end:int,page:int,title:string>>"
+    docs = spark.createDataFrame([("a", "# T\n\nbody"), ("b", "x")], "doc string, text string").withColumn("page_spans", F.array().cast(none)).withColumn("semantic_spans", F.when(F.col("doc") == "b", F.array(F.struct(F.lit("table").alias("type"), F.lit(None).cast("int").alias("start"), F.lit(2).alias("end"), F.lit(1).alias("page"), F.lit("").alias("title")))).otherwise(F.array().cast(none)))
+    assert sorted((r.doc, r.fragmentRole) for r in chunking.markdown_chunks(docs, "l", skip=True).collect()) == [("a", None), ("b", "error")]
