@@ -249,6 +249,14 @@ def packed(words: pa.Array, stats: pa.Array) -> Features:
     return Features(data.view(np.int32), offs // 4, bytes_of(stats)[0].view(np.float32).reshape(-1, STATS))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows, so that a worker needs the memory of one."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        pa.default_memory_pool().release_unused()
+
+
 GRAIN = float(1 << 20)  # sums travel as whole numbers of this fineness, so that their order does not matter
 
 
@@ -299,6 +307,8 @@ def train(
     kinds = "f int, p boolean, u boolean, words binary, stats binary, word int, n long"
     found = table(marked.mapInArrow(extract, kinds), "features")
     every = found.where("words is not null")
+    # a task sends a number for each parameter: fewer and longer tasks send less
+    every = every.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, every.rdd.getNumPartitions() // 4))
     cu = np.zeros(BUCKETS + 2 * STATS, np.int64)
     got = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # no more than BUCKETS rows
     cu[got["word"].to_numpy()] = got["n"].to_numpy()
@@ -332,7 +342,7 @@ def train(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(EDGES) - 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             f, odd = packed(batch.column(1), batch.column(2)), batch.column(0).to_numpy() % 2
             sums += histogram(np.where(odd == 0, score(shared.value[0], f), score(shared.value[1], f)))
         bins = np.flatnonzero(sums)
@@ -351,13 +361,13 @@ def train(
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(meaning.value.size + 2)
-            for batch in batches:
+            for batch in slices(batches):
                 sums += unlabelled_sums(meaning.value, packed(batch.column(0), batch.column(1)), now.value)
             v = np.rint(sums * GRAIN).astype(np.int64)
             at = np.flatnonzero(v)
-            yield pa.record_batch([pa.array(at), pa.array(v[at])], ["i", "v"])
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(v[at])], ["i", "v"])
 
-        got = every.select("words", "stats").mapInArrow(add, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a parameter
+        got = every.select("words", "stats").mapInArrow(add, "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row a parameter
         out = np.zeros(len(theta) + 2)
         out[got["i"].to_numpy()] = got["v"].to_numpy() / GRAIN
         now.unpersist()
