@@ -211,7 +211,7 @@ def removed(x: str, keep: str) -> str:
     return f"length(regexp_replace({x}, '{keep}', '', 'g'))"
 
 
-@query(r"""SELECT doc_id, dense AS dense_tokens, greatest(dense, -((-(150 * cjk + 130 * words + 100 * numbers)) // 100))::INT AS tokens FROM (
+@query(r"""SELECT doc_id, dense AS dense_tokens, greatest(dense, ceil((150 * cjk + 130 * words + 100 * numbers) / 100.0))::INT AS tokens FROM (
     SELECT doc_id, cjk, words, numbers, ceil((150 * cjk + 45 * alnum + 80 * (asc_ - asc_ws - alnum) + 100 * (length(text) - asc_ - cjk - (ws - asc_ws))) / 100.0)::INT AS dense FROM (
     SELECT doc_id, text, """ + ", ".join(f"{removed('text', f'[^{k[1:-1]}]')} AS {n}" for n, k in (("cjk", r"[\x{4E00}-\x{9FFF}]"), ("alnum", "[A-Za-z0-9]"), ("asc_", r"[\x00-\x7F]"), ("asc_ws", r"[\t\n\x0B\f\r ]"), ("ws", WS))) + r""",
       len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS words, len(regexp_extract_all(text, '\d+(?:[.,:/_-]\d+)*')) AS numbers FROM documents))""")
@@ -387,13 +387,13 @@ def retrieval_of_several_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(r)
 
 
-TOKENS = "greatest(-((-(150 * {cjk} + 130 * {words} + 100 * {numbers})) // 100), -((-(150 * {cjk} + 45 * {alnum} + 80 * ({asc_} - {asc_ws} - {alnum}) + 100 * (length(s) - {asc_} - {cjk} - ({ws} - {asc_ws})))) // 100))".format(
+TOKENS = "greatest(ceil((150 * {cjk} + 130 * {words} + 100 * {numbers}) / 100.0), ceil((150 * {cjk} + 45 * {alnum} + 80 * ({asc_} - {asc_ws} - {alnum}) + 100 * (length(s) - {asc_} - {cjk} - ({ws} - {asc_ws}))) / 100.0))::INT".format(
     **{n: removed("s", f"[^{k[1:-1]}]") for n, k in (("cjk", r"[\x{4E00}-\x{9FFF}]"), ("alnum", "[A-Za-z0-9]"), ("asc_", r"[\x00-\x7F]"), ("asc_ws", r"[\t\n\x0B\f\r ]"), ("ws", WS))},
     words="len(regexp_extract_all(s, '[A-Za-z]+(?:''[A-Za-z]+)?'))", numbers="len(regexp_extract_all(s, '[0-9]+(?:[.,:/_-][0-9]+)*'))",
 )
 
 
-@query(f"""WITH p AS (SELECT doc_id, k, substr(text, k * 400 + 1, 400) AS t FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 399) // 400)) AS k FROM documents)),
+@query(f"""WITH p AS (SELECT doc_id, k, substr(replace(text, '#', '*'), k * 400 + 1, 400) AS t FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 399) // 400)) AS k FROM documents)),
   sec AS (SELECT doc_id, k, {trim("'## Part ' || k || chr(10) || chr(10) || t")} AS s FROM p WHERE regexp_matches(t, '[^{WS[1:-1]}]')),
   w AS (SELECT doc_id, string_agg(s, chr(10) || chr(10) ORDER BY k) AS s FROM (SELECT doc_id, k, '## Part ' || k || chr(10) || chr(10) || t AS s FROM p WHERE regexp_matches(t, '[^{WS[1:-1]}]')) GROUP BY 1),
   least_ AS (SELECT doc_id, CASE WHEN n >= 55 THEN 55 ELSE least(10, greatest(1, n / 2))::INT END AS least_n FROM (SELECT doc_id, {TOKENS} AS n FROM (SELECT doc_id, {trim('s')} AS s FROM w))),
@@ -402,7 +402,7 @@ TOKENS = "greatest(-((-(150 * {cjk} + 130 * {words} + 100 * {numbers})) // 100),
 def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with a heading before every 400 characters: sections that fit, of which
     too short ones go."""
-    part = lambda k: F.substring(F.col("text"), (k * 400 + 1).cast("int"), F.lit(400))
+    part = lambda k: F.substring(F.translate("text", "#", "*"), (k * 400 + 1).cast("int"), F.lit(400))
     ks = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.floor((F.length("text") + 399) / 400).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     filled = F.filter(ks, lambda k: part(k).rlike(f"[^{text.WS[1:-1]}]"))
     md = F.array_join(F.transform(filled, lambda k: F.concat(F.lit("## Part "), k.cast("string"), F.lit("\n\n"), part(k))), "\n\n")
