@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestry.functions.text import spread
 from attestry.llm.decontam import find_contamination
 from attestry.llm.exactdedup import exact_dedup
 from attestry.llm.jaccard import jaccard_join
@@ -19,7 +20,7 @@ from attestry.llm.warc import salvage_pages
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
