@@ -62,6 +62,16 @@ def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Else a worker, which serves many tasks, keeps what its largest batch took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, target: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about target bytes of text each, and at most so many
     rows; a document is never cut."""
@@ -73,7 +83,7 @@ def pieces(batch: pa.RecordBatch, column: str, target: int = 1 << 20, rows: int
         hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
         yield batch.slice(lo, hi - lo)
         lo = hi
-    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
+    give_back()
 
 
 class Kernel:

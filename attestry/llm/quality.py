@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.kernels import Kernel, U, blank_lut, bytes_of, owners, pieces, word_lut
+from attestry.llm.kernels import Kernel, U, blank_lut, bytes_of, give_back, owners, pieces, word_lut
 from attestry.llm.shared import col, fresh, table
 
 BUCKETS = 1 << 18
@@ -254,7 +254,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 GRAIN = float(1 << 20)  # sums travel as whole numbers of this fineness, so that their order does not matter
