@@ -390,6 +390,7 @@ def quality_filter(
     document) every row stays, with a null score.
     """
     c = train(df, labels, text, doc_id, max_positive, keep=keep)
+    give_back()  # the driver goes on without the sample
     name = fresh(df, score_as or "__score")
     names = [col(x) for x in df.columns]
     if c.model is None:
