@@ -19,6 +19,7 @@ HASH = U((1 << 46) - 1)
 KEY = U((1 << 52) - 1)
 MASK32 = U((1 << 32) - 1)
 CELLS = 1 << 19  # of a segment of the table of classes
+SAMPLE = 8  # one of so many sets, by its signature, tells how frequent n-grams are
 COUNT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
 
 
@@ -80,16 +81,23 @@ def bitmaps(keys: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def possible(sig: np.ndarray, size: np.ndarray, bits: list[bytes], group: np.ndarray, side: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group, of both sides where sides are not -1, that may have a
-    similarity of t: each bit in which two bitmaps differ is an n-gram of one set only."""
+    """Pairs of rows of partners()."""
+    out = [(np.full(len(j), i), j) for i, j in partners(size, bits, group, side, t)]
+    return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *out))
+
+
+def partners(size: np.ndarray, bits: list[bytes], group: np.ndarray, side: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and others of its group, of the other side where sides are not -1, with which
+    it may have a similarity of t, each pair once: each bit in which two bitmaps differ is
+    an n-gram of one set only."""
     wide = np.array([len(x) for x in bits])
     _, group = np.unique(group, return_inverse=True)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for width in np.unique(wide).tolist():
         mine = np.flatnonzero(wide == width)
-        other = np.flatnonzero((wide == width) | (wide == 2 * width))
+        # sizes that t allows have bitmaps that are at most so many times as wide
+        other = np.flatnonzero((wide >= width) & (wide <= width * 2 ** np.ceil(np.log2(1 / t))))
         other = other[np.lexsort((other, size[other], group[other]))]
-        m = np.stack([np.frombuffer(bits[i], "<u8") if wide[i] == width else np.bitwise_or(*np.frombuffer(bits[i], "<u8").reshape(2, -1)) for i in other])
+        m = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[i], "<u8").reshape(-1, width // 8), axis=0) for i in other])
         rank = group[other] * (1 << 32) + size[other]
         top = np.floor(size[mine] / t + 1e-9).astype(np.int64)
         lo, hi = np.searchsorted(rank, group[mine] * (1 << 32) + size[mine]), np.searchsorted(rank, group[mine] * (1 << 32) + top, "right")
@@ -105,8 +113,7 @@ def possible(sig: np.ndarray, size: np.ndarray, bits: list[bytes], group: np.nda
             if side[i] >= 0:
                 good &= side[j] != side[i]
             j = j[good]
-            out.append((np.full(len(j), i), j))
-    return tuple(np.concatenate(x) for x in zip(*out))
+            yield i, j
 
 
 def signatures(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -199,60 +206,102 @@ def block_product(tiles: pa.Table, t: float, hot: int) -> Iterator[tuple[np.ndar
         yield sig[x], sig[y], size[x], size[y], counts[lo : lo + (1 << 18)]
 
 
-def exact_pairs(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(sig a, sig b, size a, size b, overlap) of all pairs of sets, of both sides where
-    sides are not -1, with a similarity of t: prefixes, rarest n-grams here first, are multiplied, sums below the bound that
-    sizes set are dropped, and the rest are counted on whole sets."""
-    by = np.argsort([len(x) for x in sets], kind="stable")
-    sig, sets, side = sig[by], [sets[i] for i in by], side[by]
+class Tile:
+    """Entries (column, row) of some rows, by column."""
+
+    def __init__(self, column: np.ndarray, size: np.ndarray) -> None:
+        order = np.argsort(column, kind="stable")
+        self.size, self.rows = size, len(size)
+        self.row = np.repeat(np.arange(len(size)), size)[order]
+        self.column, self.number = runs(column[order])
+        self.start = np.cumsum(self.number) - self.number
+
+    def dense(self, columns: np.ndarray, kind: type) -> np.ndarray:
+        out = np.zeros((len(columns), self.rows), kind)
+        n = self.number[columns]
+        out[np.repeat(np.arange(len(columns)), n), self.row[spread(self.start[columns], n)]] = 1
+        return out
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each of n places."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def overlaps(x: Tile, y: Tile) -> np.ndarray:
+    """In how many columns each row of x meets each row of y: columns of many rows are
+    multiplied as dense matrices, the pairs of the others are counted."""
+    _, i, j = np.intersect1d(x.column, y.column, assume_unique=True, return_indices=True)
+    work = x.number[i] * y.number[j]
+    many = work * 150 > x.rows * y.rows
+    kind = np.float32 if max(x.size.max(), y.size.max()) < 1 << 24 else np.float64
+    out = np.zeros((x.rows, y.rows), kind)
+    a, b = i[many], j[many]
+    step = max(1, (1 << 22) // (x.rows + y.rows))
+    for lo in range(0, len(a), step):
+        out += x.dense(a[lo : lo + step], kind).T @ y.dense(b[lo : lo + step], kind)
+    a, b, work = i[~many], j[~many], work[~many]
+    ends = np.cumsum(work)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - work[lo] + (1 << 20), "right")))
+        own, nth = np.repeat(np.arange(lo, hi), work[lo:hi]), spread(np.zeros(hi - lo, np.int64), work[lo:hi])
+        n = y.number[b[own]]
+        np.add.at(out.reshape(-1), x.row[x.start[a[own]] + nth // n] * y.rows + y.row[y.start[b[own]] + nth % n], kind(1))
+        lo = hi
+    return out
+
+
+def exact_pairs(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: float, group: np.ndarray | None = None, rows: int = 1024) -> Iterator[tuple[np.ndarray, ...]]:
+    """(sig a, sig b, size a, size b, overlap) of all pairs of sets of one group, of both
+    sides where sides are not -1, with a similarity of t, counted on whole sets: of a group,
+    so many rows by size meet so many others at a time."""
     size = np.array([len(x) for x in sets], np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat)
-    f = flat[order]
-    new = np.concatenate([[True], f[1:] != f[:-1]])
-    number = np.diff(np.concatenate([np.flatnonzero(new), [len(f)]]))
-    rarity = np.empty(len(number), np.int64)
-    rarity[np.argsort(number, kind="stable")] = np.arange(len(number))
-    column = np.empty(len(flat), np.int64)
-    column[order] = rarity[np.cumsum(new) - 1]
-    own = np.repeat(np.arange(len(sets)), size)
-    packed = np.sort((own.astype(U) << U(32)) | column.astype(U))
-    p = prefix_size(size, t)
-    packed = packed[np.arange(len(packed)) - at[own] < p[own]]
-    packed = np.sort((packed << U(32)) | (packed >> U(32)))
-    pairs, c = pair_counts(packed, size, t)
-    a, b = (pairs >> U(32)).astype(np.int64), (pairs & MASK32).astype(np.int64)
-    need = required(size[a], size[b], t)
-    hopeful = (c + np.maximum(size[a] - p[a], size[b] - p[b]) >= need) & ((side[a] < 0) | (side[a] != side[b]))
-    a, b, need = a[hopeful], b[hopeful], need[hopeful]
-    by = np.argsort(a, kind="stable")
-    a, b, need = a[by], b[by], need[by]
-    here = np.zeros(int(rarity.size), bool)
-    rows, counts_ = runs(a)
-    ends = np.cumsum(counts_)
-    for row, lo, hi in zip(rows.tolist(), (ends - counts_).tolist(), ends.tolist()):
-        mine = column[at[row] : at[row + 1]]
-        here[mine] = True
-        for x in range(lo, hi, 1024):
-            y = b[x : min(x + 1024, hi)]
-            start = np.cumsum(size[y]) - size[y]
-            place = np.repeat(at[y] - start, size[y]) + np.arange(int(size[y].sum()))
-            overlap = np.add.reduceat(here[column[place]].astype(np.int64), start)
-            good = overlap >= need[x : x + len(y)]
-            if good.any():
-                y = y[good]
-                same = np.full(len(y), row)
-                yield sig[same], sig[y], size[same], size[y], overlap[good]
-        here[mine] = False
-
-
-def _classes(found: DataFrame, max_order_kb: int) -> np.ndarray:
+    group = np.zeros(len(sets), np.int64) if group is None else group
+    by = np.lexsort((size, group))
+    edges = np.flatnonzero(np.diff(group[by])) + 1
+    for mine in np.split(by, edges):
+        parts = [mine[lo : lo + rows] for lo in range(0, len(mine), rows)]
+        _, column = np.unique(np.concatenate([sets[i] for i in mine]), return_inverse=True)
+        held = [Tile(c, size[p]) for c, p in zip(np.split(column, np.cumsum([size[p].sum() for p in parts])[:-1]), parts)]
+        for i, p in enumerate(parts):
+            for k in range(i, len(parts)):
+                q = parts[k]
+                if size[p[-1]] < t * size[q[0]] - 1e-9 or (p is not q and side[p[0]] >= 0 and len({*side[p].tolist(), *side[q].tolist()}) < 2):
+                    continue
+                c = overlaps(held[i], held[k])
+                good = c >= required(size[p][:, None], size[q][None, :], t)
+                if p is q:
+                    good = np.triu(good, 1)
+                if side[p[0]] >= 0:
+                    good &= side[p][:, None] != side[q][None, :]
+                a, b = np.nonzero(good)
+                if len(a):
+                    yield sig[p[a]], sig[q[b]], size[p[a]], size[q[b]], c[a, b].astype(np.int64)
+
+
+def _classes(found: DataFrame, entries: int, max_order_kb: int) -> np.ndarray:
     """A table of cells, found by an n-gram's hash, with a class by the logarithm of how
-    often it occurs. Of n-grams that share a cell the most frequent counts: beyond
-    max_order_kb cells are shared more, and rare n-grams pass for frequent ones, not the
-    other way round. Classes only set the order in which prefixes are taken."""
-    sums = table(found.groupBy("x").agg(F.sum("n").alias("n")).where("n >= 8").select("x", F.floor(F.log2("n")).cast("int").alias("c")), "often")
+    many sets of the sample hold it. Of n-grams that share a cell the most frequent counts:
+    beyond max_order_kb cells are shared more, and rare n-grams pass for frequent ones, not
+    the other way round. Classes only set the order in which prefixes are taken.
+
+    found: (x), sorted hashes, which meet by ranges of them of about a million."""
+    shift = U(46 - max(0, (entries // SAMPLE >> 20).bit_length()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                x = np.frombuffer(data.as_buffer(), U)
+                part, n = runs(x >> shift)
+                yield pa.record_batch([pa.array(part.view(np.int64)), pa.array([y.tobytes() for y in np.split(x, np.cumsum(n)[:-1])], pa.binary())], ["part", "x"])
+
+    def often(t: pa.Table) -> pa.Table:
+        v, c = runs(np.sort(np.concatenate([np.frombuffer(x, U) for x in t["x"].to_pylist()])))
+        give_back()
+        return pa.table({"x": v[c > 1].view(np.int64), "c": np.minimum(2 * np.log2(c[c > 1]), 63).astype(np.int32)})
+
+    sums = table(found.mapInArrow(cut, "part long, x binary").groupBy("part").applyInArrow(often, "x long, c int"), "often")
     cells = min(1 << max(10, (16 * sums.count()).bit_length()), 1 << (max_order_kb * 1024).bit_length() - 1)
     cell = F.col("x").bitwiseAND(F.lit(cells - 1).cast("long"))
     part = min(cells, CELLS)
@@ -266,7 +315,7 @@ def _classes(found: DataFrame, max_order_kb: int) -> np.ndarray:
     out = np.zeros(cells, np.uint8)
     for seg, data in top.groupBy(F.floor(F.col("cell") / part)).applyInArrow(fill, "seg long, cells binary").collect():  # no more than cells bytes
         out[seg * part : (seg + 1) * part] = np.frombuffer(data, np.uint8)
-    return np.minimum(out, 63)
+    return out
 
 
 def blocked(nodes: DataFrame, weight: Column, most: int, in_bucket: int, total: int) -> DataFrame:
@@ -284,46 +333,47 @@ def blocked(nodes: DataFrame, weight: Column, most: int, in_bucket: int, total:
 
 
 class Join:
-    """Sets of n-grams of a table (sets: d, h, sig, size) and all pairs of different
-    sets with a Jaccard similarity of at least t (pairs: a, b, sa, sb, overlap)."""
+    """Sets of n-grams of a table (sets: d, h, sig, size), rows without a word (wordless: d, h),
+    representatives of sets that may have a partner (reps) and, of each set with a Jaccard
+    similarity of at least t to a different one (linked: sig, label, links), the least sig
+    of what such pairs connect it with and how many rows have such sets."""
 
     def __init__(self, df: DataFrame, text: str, doc_id: str, n: int, t: float, max_order_kb: int, block_entries: int, hot: int, bits_per_row: int, max_filter_mb: int, bucket_entries: int, bucket_sets: int = 1 << 14) -> None:
         spark = df.sparkSession
         kind = df.schema[doc_id].dataType
-        src = df.select(col(doc_id).alias("d"), F.xxhash64(col(text)).alias("h"), col(text).alias("t")).where(col("t").isNotNull())
+        every = df.select(col(doc_id).alias("d"), F.xxhash64(col(text)).alias("h"), col(text).alias("t"))
+        src = every.where(col("t").isNotNull())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Signatures of documents, and n-grams that some thousands of documents share."""
+            """Signatures of documents, and the n-grams of the sample."""
             k, held, count = Kernel(), [], 0
-            names = ["d", "h", "sig", "size", "bits", "x", "n"]
+            names = ["d", "h", "sig", "size", "bits", "x"]
 
-            def often(held: list[np.ndarray], d: pa.Array) -> pa.RecordBatch:
-                v, c = runs(np.sort(np.concatenate(held)))
-                v, c = v[c >= 3], c[c >= 3]
-                none = pa.nulls(len(v), pa.int64())
-                return pa.record_batch([pa.nulls(len(v), d.type), none, none, none, pa.nulls(len(v), pa.binary()), pa.array(v.view(np.int64)), pa.array(c)], names)
+            def sample(held: list[np.ndarray], d: pa.Array) -> pa.RecordBatch:
+                none = pa.nulls(1, pa.int64())
+                return pa.record_batch([pa.nulls(1, d.type), none, none, none, pa.nulls(1, pa.binary()), pa.array([np.sort(np.concatenate(held)).tobytes()], pa.binary())], names)
 
             for batch in batches:
                 for part in pieces(batch, "t"):
                     keys, at = grams(k, part.column(2), n, None)
                     size = np.diff(at)
-                    some = pa.array(np.flatnonzero(size > 0))
-                    none = pa.nulls(len(some), pa.int64())
-                    sig = signatures(keys, at).view(np.int64)
-                    yield pa.record_batch([part.column(0).take(some), part.column(1).take(some), pa.array(sig).take(some), pa.array(size).take(some), pa.array(bitmaps(keys, at), pa.binary()).take(some), none, none], names)
-                    held.append(keys)
-                    count += len(keys)
-                    if count >= 3 << 20:
-                        yield often(held, part.column(0))
+                    sig = signatures(keys, at)
+                    yield pa.record_batch([part.column(0), part.column(1), pa.array(sig.view(np.int64), mask=size == 0), pa.array(size), pa.array(bitmaps(keys, at), pa.binary()), pa.nulls(len(size), pa.binary())], names)
+                    held.append(keys[np.repeat(mix(sig) % U(SAMPLE) == 0, size)])
+                    count += len(held[-1])
+                    if count >= 1 << 19:
+                        yield sample(held, part.column(0))
                         held, count = [], 0
-            if held:
-                yield often(held, part.column(0))
+            if count:
+                yield sample(held, part.column(0))
 
         long = lambda *names: [T.StructField(x, T.LongType()) for x in names]
-        found = table(src.mapInArrow(scan, T.StructType([T.StructField("d", kind), *long("h", "sig", "size"), T.StructField("bits", T.BinaryType()), *long("x", "n")])), "ngrams")
+        found = table(every.mapInArrow(scan, T.StructType([T.StructField("d", kind), *long("h", "sig", "size"), T.StructField("bits", T.BinaryType()), T.StructField("x", T.BinaryType())])), "ngrams")
         self.sets = found.where("sig is not null").select("d", "h", "sig", "size")
-        classes = spark.sparkContext.broadcast(_classes(found.where("x is not null").select("x", "n"), max_order_kb))
-        entries = self.sets.agg(F.coalesce(F.sum(F.ceil(F.col("size") * (1 - t)) + 1), F.lit(0))).collect()[0][0]
+        self.wordless = found.where("size = 0").select("d", "h")
+        entries, total = self.sets.agg(F.coalesce(F.sum(F.ceil(F.col("size") * (1 - t)) + 1), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).collect()[0]
+        classes = spark.sparkContext.broadcast(_classes(found.where("x is not null").select("x"), int(total), max_order_kb))
+        self.classes = classes
         blocks = max(1, -(-int(entries) // block_entries))
 
         def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,10 +407,6 @@ class Join:
             if held:
                 yield from flush(held)
 
-        def rows(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            for a, b, *rest in found:
-                yield pa.record_batch([a.view(np.int64), b.view(np.int64), *(x.astype(np.int32) for x in rest)], ["a", "b", "sa", "sb", "c"])
-
         def bounded(tiles: pa.Table) -> pa.Table:
             """Pairs, overlap counts and what their sum must reach; 0 asks for nothing."""
             found = [pa.table([a.view(np.int64), b.view(np.int64), c.astype(np.int32), np.where(c > 0, least(sa, sb), 0).astype(np.int32)], COUNT.names) for a, b, sa, sb, c in block_product(tiles, t, hot)]
@@ -376,16 +422,24 @@ class Join:
         links = table(sums.where(F.col("c") >= F.col("need")).select("a", "b"), "links")
         nodes = table(links.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "nodes")
         wanted, bits = plain_filter(nodes, "sig", nodes.count(), bits_per_row, max_filter_mb)
-        few = found.where("sig is not null").where(might_contain(df, wanted, bits, F.col("sig"))).join(nodes, "sig", "left_semi")
-        reps = table(few.groupBy("sig").agg(F.min(F.struct("d", "h")).alias("r"), F.first("size").alias("size"), F.first("bits").alias("bits")).select("sig", "r.d", "r.h", "size", "bits"), "reps")
+        few = found.where("sig is not null").where(might_contain(df, wanted, bits, F.col("sig"))).join(nodes, "sig", "left_semi").dropDuplicates(["d", "h", "sig"])
+        firsts = [F.min(F.struct("d", "h")).alias("r"), F.min("d").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("bits").alias("bits")]
+        self.reps = reps = table(few.groupBy("sig").agg(*firsts).select("sig", "r.d", "r.h", "least", "rows", "size", "bits"), "reps")
 
         def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Of each bucket, the forest of the pairs that the bitmaps let pass."""
             for sig, size, bits, label, side in buckets(batches):
-                a, b = possible(sig, size, bits, label, side, t)
-                node, top = contract(a, b)
-                node, top = node[node != top], top[node != top]
-                yield pa.record_batch([sig[node].view(np.int64), sig[top].view(np.int64)], ["a", "b"])
+                top, held, count = np.arange(len(sig)), [], 0
+                for i, j in partners(size, bits, label, side, t):
+                    j = j[top[j] != top[i]]
+                    held.append((np.full(len(j), i), j))
+                    count += len(j)
+                    if count >= 1 << 17:
+                        top, held, count = merged(top, *map(np.concatenate, zip(*held))), [], 0
+                if count:
+                    top = merged(top, *map(np.concatenate, zip(*held)))
+                node = np.flatnonzero(top != np.arange(len(top)))
+                yield pa.record_batch([sig[node].view(np.int64), sig[top[node]].view(np.int64)], ["a", "b"])
 
         def grouped(edges: DataFrame, of: DataFrame) -> DataFrame:
             return components(edges, of).join(reps.select("sig", "size"), "sig")
@@ -395,7 +449,7 @@ class Join:
         routed = routed.select("bucket", "sig", "size", "bits", "label", "side").repartition("bucket").sortWithinPartitions("bucket")
         edges = table(routed.mapInArrow(refine, "a long, b long"), "edges")
         left = table(edges.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "left")
-        groups = table(blocked(table(grouped(edges, left), "refined"), F.col("size"), bucket_entries, 512, left.count()).drop("label"), "buckets")
+        groups = table(blocked(table(grouped(edges, left), "refined"), F.col("size"), bucket_entries, 512, left.count()).join(reps.select("sig", "rows"), "sig"), "buckets")
 
         keys = reps.join(left, "sig", "left_semi").select(F.xxhash64("d", "h").alias("k"))
         packed, bits = plain_filter(keys, "k", left.count(), bits_per_row, max_filter_mb)
@@ -411,13 +465,22 @@ class Join:
         complete = chosen.select("t").mapInArrow(full, "sig long, keys binary").join(groups, "sig")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for sig, keys, side in buckets(batches):
+            """Of each bucket, the forest of its pairs and what each set has of partners there."""
+            for sig, keys, number, label, side in buckets(batches):
                 # a filter lets rows pass that are no representatives: equal sets come again
                 _, first = np.unique(np.stack([sig, side.astype(U)], axis=1), axis=0, return_index=True)
-                yield from rows(exact_pairs(sig[first], [np.frombuffer(keys[i], U) for i in first], side[first], t))
+                sig, number, count = sig[first], number[first], len(first)
+                top, links = np.arange(count), np.zeros(count, np.int64)
+                for a, b, *_ in exact_pairs(top, [np.frombuffer(keys[i], U) for i in first], side[first], t, label[first]):
+                    links += (np.bincount(a, number[b], count) + np.bincount(b, number[a], count)).astype(np.int64)
+                    top = merged(top, a, b)
+                some = np.flatnonzero(links)
+                yield pa.record_batch([sig[some].view(np.int64), sig[top[some]].view(np.int64), links[some]], ["a", "b", "links"])
 
-        exact = complete.select("bucket", "sig", "keys", "side").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long, sa int, sb int, c int")
-        self.pairs = exact.withColumnRenamed("c", "overlap")
+        exact = complete.select("bucket", "sig", "keys", "rows", "label", "side").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long, links long")
+        exact = table(exact, "exact")
+        sums = table(exact.groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("links")), "sums")
+        self.linked = components(exact.where("a <> b"), sums.select("sig")).join(sums, "sig")
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -462,6 +525,17 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent = up
 
 
+def merged(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """top, the least row of what each row is connected with, after the edges of a and b."""
+    a, b = top[a], top[b]
+    if (a == b).all():
+        return top
+    node, least = contract(a[a != b], b[a != b])
+    to = np.arange(len(top))
+    to[node] = least
+    return to[top]
+
+
 def components(edges: DataFrame, nodes: DataFrame, local_edges: int = 4 << 20) -> DataFrame:
     """(sig, label): the least sig of the connected component of each node.
 
@@ -504,14 +578,13 @@ def jaccard_join(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 3, threshold: float = 0.6,
     max_order_kb: int = 1 << 16, block_entries: int = 9 << 18, hot: int = 64, bits_per_row: int = 16, max_filter_mb: int = 64, bucket_entries: int = 1 << 19,
 ) -> DataFrame:
-    """(doc_a, doc_b, overlap, size_a, size_b, jaccard): documents whose sets of word
-    n-grams, without case and signs, have a Jaccard similarity of at least threshold.
+    """(doc_id, class_id, links) of each document: pairs of documents whose sets of word
+    n-grams, without case and signs, have a Jaccard similarity of at least threshold are
+    links; class_id is the least doc_id that links connect it with, links is how many
+    other documents it has a link to, copies and documents with the same set included.
 
-    Documents with the same set are one row of the incidence matrix, whose least
-    doc_id stands for all: the result has each pair of different sets once, by their
-    least doc_ids, and joins every other member of a set to its least doc_id with
-    jaccard 1. So nothing is lost and thousands of copies give thousands of rows,
-    not millions; doc_a is the lesser id.
+    Documents with the same set are one row of the incidence matrix. What it is
+    multiplied for is never listed: a class of any size gives a row a document.
 
     The matrix of documents by n-grams is cut into blocks of columns of about
     block_entries entries. Of each row only the prefix that any partner must meet
@@ -519,36 +592,35 @@ def jaccard_join(
     drop pairs below the bound that sizes set. A column of more than hot rows only links
     its rows. What links or surviving pairs connect meets as bitmaps of its sets, of which
     each pair's overlap has a bound; what pairs within that bound connect meets with its
-    whole sets, 64-bit hashes of all n-grams, whose pairs are counted. A connected group of
+    whole sets, 64-bit hashes of all n-grams, and every pair is counted. A connected group of
     more than bucket_entries n-grams is cut into blocks, and each pair of blocks is worked
     on by itself: no task holds a group as a whole, and what travels grows with the
     documents, not with the pairs. All partners are found: there is no cap on them. A
-    broadcast table of at most max_order_kb tells frequent n-grams and only sets the order.
+    broadcast table of at most max_order_kb tells frequent n-grams, counted in the sets of
+    which one in SAMPLE is taken, and only sets the order.
 
     Texts of fewer than n words have one n-gram, all their words. Null texts and
-    texts without a word are in no pair. Rows equal in doc_id and text count once;
-    different texts with one doc_id are joined like others, and doc_a may then equal
-    doc_b. A null doc_id comes first. An empty table gives no rows.
+    texts without a word are alone in their classes, without links. Rows equal in doc_id
+    and text are one document; different texts with one doc_id are documents of their own,
+    with rows of their own. A class is named by the least doc_id that is not null, by null
+    if it has none. An empty table gives no rows.
     """
     j = Join(df, text, doc_id, n, threshold, max_order_kb, block_entries, hot, bits_per_row, max_filter_mb, bucket_entries)
     members = j.sets.distinct()
-    w = Window.partitionBy("sig").orderBy("d", "h")
-    first = members.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("sig", F.struct("d", "h").alias("r"))
-    copies = members.join(first, "sig").where(~(F.col("r.d").eqNullSafe(F.col("d")) & (F.col("r.h") == F.col("h"))))
-    copies = copies.select(F.col("r.d").alias("doc_a"), F.col("d").alias("doc_b"), F.col("size").cast("int").alias("overlap"), F.col("size").cast("int").alias("size_a"), F.col("size").cast("int").alias("size_b"))
-    ra, rb = first.select(F.col("sig").alias("a"), F.col("r").alias("ra")), first.select(F.col("sig").alias("b"), F.col("r").alias("rb"))
-    p = j.pairs.join(ra, "a").join(rb, "b")
-    swap = F.col("ra") > F.col("rb")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    pairs = p.select(pick("ra.d", "rb.d").alias("doc_a"), pick("rb.d", "ra.d").alias("doc_b"), "overlap", pick("sa", "sb").alias("size_a"), pick("sb", "sa").alias("size_b"))
-    return copies.unionAll(pairs).withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
+    own = members.groupBy("sig").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("rows"))
+    linked = table(j.linked.join(j.reps.select("sig", "least"), "sig"), "linked")
+    classes = linked.groupBy("label").agg(F.min("least").alias("class_id"))
+    classes = linked.join(classes, "label").select("sig", "class_id", "links")
+    own = own.join(classes, "sig", "left").select("sig", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"))
+    out = members.join(own, "sig").select(F.col("d").alias("doc_id"), "class_id", "links")
+    return out.unionAll(j.wordless.distinct().select(F.col("d").alias("doc_id"), F.col("d").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def near_dedup(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 3, threshold: float = 0.6,
     max_order_kb: int = 1 << 16, block_entries: int = 9 << 18, hot: int = 64, bits_per_row: int = 16, max_filter_mb: int = 64, bucket_entries: int = 1 << 19, max_broadcast_mb: int = 16,
 ) -> DataFrame:
-    """df with one document of each group that the pairs of jaccard_join connect: the
+    """df with one document of each class of jaccard_join: the
     one with the least (doc_id, hash of text), nulls first.
 
     Texts that are null or without a word stay; rows equal in doc_id and text stay or
@@ -556,10 +628,7 @@ def near_dedup(
     be below max_broadcast_mb.
     """
     j = Join(df, text, doc_id, n, threshold, max_order_kb, block_entries, hot, bits_per_row, max_filter_mb, bucket_entries)
-    pairs = table(j.pairs.select("a", "b"), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    label = components(pairs, table(nodes, "nodes"))
-    members = j.sets.distinct().join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    members = j.sets.distinct().join(j.linked.select("sig", "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     w = Window.partitionBy("label").orderBy("d", "h")
     gone = table(members.withColumn("rn", F.row_number().over(w)).where("rn > 1").select("d", "h"), "gone")
     small = gone.count() * 24 <= max_broadcast_mb << 20

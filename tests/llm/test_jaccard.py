@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyspark.sql.functions as F
 
-from attestry.llm.jaccard import bitmaps, exact_pairs, jaccard_join, near_dedup, possible
+from attestry.llm.jaccard import Join, bitmaps, exact_pairs, jaccard_join, near_dedup, possible
 
 DDL = "doc_id long, text string"
 
@@ -27,18 +27,19 @@ def brute(rows, t):
     return out, {d: s for d, _, s in sets}
 
 
-def expand(result, sets):
-    """All pairs that the result stands for."""
-    members = {}
-    for d, s in sets.items():
-        members.setdefault(s, []).append(d)
-    out = set()
-    for r in result:
-        for x in members[sets[r.doc_a]]:
-            for y in members[sets[r.doc_b]]:
-                if x != y:
-                    out.add((min(x, y), max(x, y)))
-    return out
+def classes(want, docs):
+    """The row of each document: the least document that pairs connect it with, and its pairs."""
+    parent = {d: d for d in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in want:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {(d, root(d), sum(d in p for p in want)) for d in docs}
 
 
 def test_matches_brute_force(spark, sf):
@@ -52,17 +53,31 @@ def test_matches_brute_force(spark, sf):
     # the second: no order by frequency, so that all is linked, and groups in many blocks
     for sizes in ({"block_entries": 4000, "hot": 8}, {"block_entries": 4000, "hot": 2, "max_order_kb": 1, "bucket_entries": 900}):
         got = jaccard_join(spark.createDataFrame(rows, DDL), **sizes).collect()
-        assert expand(got, sets) == want
-        assert len({(r.doc_a, r.doc_b) for r in got}) == len(got)
-        for r in got:
-            assert abs(r.jaccard - len(sets[r.doc_a] & sets[r.doc_b]) / len(sets[r.doc_a] | sets[r.doc_b])) < 1e-9
+        assert len(got) == len(rows) and {tuple(r) for r in got} == classes(want, sets)
+
+
+def test_links_of_low_thresholds(spark):
+    """A threshold below a half lets bitmaps of very different widths meet."""
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + n])) for i, n in enumerate((400, 300, 250, 160, 150, 130, 125, 120))]
+    want, sets = brute(rows, 0.3)
+    assert {tuple(r) for r in jaccard_join(spark.createDataFrame(rows, DDL), threshold=0.3, hot=2).collect()} == classes(want, sets)
+
+
+def test_copies_count_in_links_and_rows_do_not_grow_with_pairs(spark):
+    """A link of a set is one of each of its copies; texts that differ in signs are copies too."""
+    base = [f"u{i}" for i in range(60)]
+    near = " ".join(base[:-1] + ["end"])
+    rows = [(i, " ".join(base)) for i in range(40)] + [(i, ", ".join(base).upper()) for i in range(40, 60)] + [(i, near) for i in range(60, 100)]
+    got = {tuple(r) for r in jaccard_join(spark.createDataFrame([*rows, (100, "alone"), (101, None)], DDL)).collect()}
+    assert got == {(i, 0, 99) for i in range(100)} | {(100, 100, 0), (101, 101, 0)}
 
 
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, " .,! "), (4, "Same Words here today"), (5, "same words, HERE today!"), (5, "same words, HERE today!"), (6, "ab"), (7, "AB."), (None, "ab"), (8, "x " * 30000)]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], DDL + ", bucket int").withColumn("sig", F.lit(1))
-    got = {(r.doc_a, r.doc_b) for r in jaccard_join(df).collect()}
-    assert got == {(4, 5), (None, 6), (None, 7)}
+    got = sorted(map(tuple, jaccard_join(df).collect()), key=str)
+    assert got == sorted([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (5, 4, 1), (6, 6, 2), (7, 6, 2), (None, 6, 2), (8, 8, 0)], key=str)
     kept = near_dedup(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 8]
@@ -113,3 +128,22 @@ def test_bitmaps_let_every_pair_pass():
         assert want <= found and len(found) == len(a) and len(found) < 0.5 * len(sets) ** 2 / 2
         exact = {(min(x), max(x)) for p, q, *_ in exact_pairs(sig, sets, side, 0.6) for x in zip(p.tolist(), q.tolist())}
         assert exact == want and len(want) > 50
+
+
+def test_pairs_of_dense_and_sparse_columns_in_tiles():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(90) < 0.85], rng.integers(0, 1 << 60, int(rng.integers(1, 20)), dtype=np.uint64)])) for _ in range(90)]
+    sets += [np.unique(rng.choice(rng.integers(0, 1 << 60, 400, dtype=np.uint64), int(rng.integers(1, 30)))) for _ in range(90)]
+    group, none = np.arange(180) % 2, np.full(180, -1)
+    want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in itertools.combinations(range(180), 2) if group[i] == group[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    for rows in (7, 1024):
+        found = [(min(x), max(x), c) for a, b, _, _, n in exact_pairs(np.arange(180), sets, none, 0.6, group, rows) for *x, c in zip(a.tolist(), b.tolist(), n.tolist())]
+        assert sorted(found) == sorted((*p, c) for p, c in want.items()) and len(found) > 500
+
+
+def test_ngrams_spread_thin_over_tasks_count_as_frequent(spark):
+    """What every task sees once or twice is frequent in the table."""
+    rows = [(i, "known to all " + " ".join(f"r{i}x{j}" for j in range(20))) for i in range(200)]
+    join = Join(spark.createDataFrame(rows, DDL).repartition(100), "text", "doc_id", 3, 0.6, 1 << 10, 1 << 20, 64, 16, 64, 1 << 19)
+    assert join.classes.value.max() >= 6 and join.linked.count() == 0
