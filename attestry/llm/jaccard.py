@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +86,10 @@ def possible(sig: np.ndarray, size: np.ndarray, bits: list[bytes], group: np.nda
     return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *out))
 
 
-def partners(size: np.ndarray, bits: list[bytes], group: np.ndarray, side: np.ndarray, t: float) -> Iterator[tuple[int, np.ndarray]]:
+def partners(size: np.ndarray, bits: list[bytes], group: np.ndarray, side: np.ndarray, t: float, known: Callable[[], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """A row and others of its group, of the other side where sides are not -1, with which
     it may have a similarity of t, each pair once: each bit in which two bitmaps differ is
-    an n-gram of one set only."""
+    an n-gram of one set only. Rows for which known gives the same are not compared."""
     wide = np.array([len(x) for x in bits])
     _, group = np.unique(group, return_inverse=True)
     for width in np.unique(wide).tolist():
@@ -106,8 +106,15 @@ def partners(size: np.ndarray, bits: list[bytes], group: np.ndarray, side: np.nd
         for i, x, y in zip(mine.tolist(), lo.tolist(), hi.tolist()):
             if y - x < 2:
                 continue
-            apart = np.bitwise_count(m[x:y] ^ m[row[i]]).sum(axis=1, dtype=np.int64)
-            j = other[x:y]
+            j, against = other[x:y], m[x:y]
+            if known:
+                top = known()
+                new = np.flatnonzero(top[j] != top[i])
+                if not len(new):
+                    continue
+                if len(new) < len(j):
+                    j, against = j[new], against[new]
+            apart = np.bitwise_count(against ^ m[row[i]]).sum(axis=1, dtype=np.int64)
             good = (size[i] + size[j] - apart) // 2 >= required(size[i], size[j], t)
             good &= (j > i) | (size[j] > size[i])
             if side[i] >= 0:
@@ -252,10 +259,11 @@ def overlaps(x: Tile, y: Tile) -> np.ndarray:
     return out
 
 
-def exact_pairs(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: float, group: np.ndarray | None = None, rows: int = 1024) -> Iterator[tuple[np.ndarray, ...]]:
+def exact_pairs(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: float, group: np.ndarray | None = None, rows: int = 1024, known: Callable[[], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """(sig a, sig b, size a, size b, overlap) of all pairs of sets of one group, of both
     sides where sides are not -1, with a similarity of t, counted on whole sets: of a group,
-    so many rows by size meet so many others at a time."""
+    so many rows by size meet so many others at a time, but not if known gives the same for
+    all of them."""
     size = np.array([len(x) for x in sets], np.int64)
     group = np.zeros(len(sets), np.int64) if group is None else group
     by = np.lexsort((size, group))
@@ -269,6 +277,8 @@ def exact_pairs(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t: fl
                 q = parts[k]
                 if size[p[-1]] < t * size[q[0]] - 1e-9 or (p is not q and side[p[0]] >= 0 and len({*side[p].tolist(), *side[q].tolist()}) < 2):
                     continue
+                if known and len(np.unique(known()[np.concatenate([p, q])])) < 2:
+                    continue
                 c = overlaps(held[i], held[k])
                 good = c >= required(size[p][:, None], size[q][None, :], t)
                 if p is q:
@@ -318,27 +328,53 @@ def _classes(found: DataFrame, entries: int, max_order_kb: int) -> np.ndarray:
     return out
 
 
-def blocked(nodes: DataFrame, weight: Column, most: int, in_bucket: int, total: int) -> DataFrame:
+def blocked(nodes: DataFrame, weight: Column, most: int, in_bucket: int, total: int, near: bool = False) -> DataFrame:
     """(sig, label, bucket, side): buckets in which all pairs of the nodes (sig, label, size)
     of one label meet. A label of more than most in weight is cut into blocks of about most,
-    by size, and each pair of its blocks is a bucket; smaller ones share buckets."""
+    by size, and each pair of its blocks is a bucket, with near only if they are the same or
+    side by side; smaller ones share buckets."""
     heavy = nodes.groupBy("label").agg(F.sum(weight).alias("sum")).where(F.col("sum") > most).select("label")
     by = Window.partitionBy("label").orderBy("size", "sig")
     large = nodes.join(heavy, "label", "left_semi").withColumn("i", F.floor(F.sum(weight).over(by.rowsBetween(Window.unboundedPreceding, 0)) / most)).withColumn("last", F.max("i").over(Window.partitionBy("label")))
-    j = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("j")
+    low, high = (F.greatest(F.col("i") - 1, F.lit(0)), F.least(F.col("i") + 1, "last")) if near else (F.lit(0), F.col("last"))
+    j = F.explode(F.sequence(low.cast("long"), high)).alias("j")
     side = F.when(F.col("i") == F.col("j"), -1).when(F.col("i") < F.col("j"), 0).otherwise(1).cast("int").alias("side")
     pairs = large.select("sig", "label", "i", j).select("sig", "label", F.xxhash64("label", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), side)
     small = nodes.join(heavy, "label", "left_anti").select("sig", "label", F.pmod(F.xxhash64("label"), F.lit(max(1, total // in_bucket))).alias("bucket"), F.lit(-1).alias("side"))
     return pairs.unionAll(small)
 
 
+def remaining(nodes: DataFrame, weight: Column, most: int) -> DataFrame:
+    """(sig, label, part, bucket, side): buckets in which all pairs of the nodes (sig, label,
+    size, part) of one label but different parts meet, of labels of more than most in weight.
+    Two of its largest part need not meet, so blocks of all others meet these and each other."""
+    parts = nodes.groupBy("label", "part").agg(F.sum(weight).alias("w"))
+    main = parts.groupBy("label").agg(F.sum("w").alias("sum"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("w", "part")).alias("m")).where((F.col("sum") > most) & (F.col("parts") > 1))
+    cut = nodes.join(main.select("label", F.col("m.part").alias("main")), "label").withColumn("own", F.col("part") != F.col("main"))
+    by = Window.partitionBy("label", "own").orderBy("size", "sig").rowsBetween(Window.unboundedPreceding, 0)
+    of = Window.partitionBy("label")
+    cut = cut.withColumn("i", F.floor(F.sum(weight).over(by) / most)).withColumn("others", F.max(F.when(F.col("own"), F.col("i"))).over(of)).withColumn("mains", F.max(F.when(~F.col("own"), F.col("i"))).over(of))
+    i, j = F.col("i"), F.col("j")
+
+    def met(own: bool, last: str, kind: int, a: Column, b: Column, side: Column) -> DataFrame:
+        each = cut.where(F.col("own") == own).select("sig", "label", "part", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(last))).alias("j"))
+        return each.select("sig", "label", "part", F.xxhash64("label", F.lit(kind), a, b).alias("bucket"), side.cast("int").alias("side"))
+
+    among = met(True, "others", 1, F.least(i, j), F.greatest(i, j), F.when(i == j, -1).when(i < j, 0).otherwise(1))
+    return among.unionAll(met(True, "mains", 2, i, j, F.lit(0))).unionAll(met(False, "others", 2, j, i, F.lit(1)))
+
+
 class Join:
     """Sets of n-grams of a table (sets: d, h, sig, size), rows without a word (wordless: d, h),
     representatives of sets that may have a partner (reps) and, of each set with a Jaccard
     similarity of at least t to a different one (linked: sig, label, links), the least sig
-    of what such pairs connect it with and how many rows have such sets."""
+    of what such pairs connect it with and how many rows have such sets.
+
+    Without count, linked has no links and may hold sets that are alone, and pairs of what
+    is connected already are left out: of a large group first blocks side by side by size
+    meet, then only what that leaves apart."""
 
-    def __init__(self, df: DataFrame, text: str, doc_id: str, n: int, t: float, max_order_kb: int, block_entries: int, hot: int, bits_per_row: int, max_filter_mb: int, bucket_entries: int, bucket_sets: int = 1 << 14) -> None:
+    def __init__(self, df: DataFrame, text: str, doc_id: str, n: int, t: float, max_order_kb: int, block_entries: int, hot: int, bits_per_row: int, max_filter_mb: int, bucket_entries: int, bucket_sets: int = 1 << 14, count: bool = True) -> None:
         spark = df.sparkSession
         kind = df.schema[doc_id].dataType
         every = df.select(col(doc_id).alias("d"), F.xxhash64(col(text)).alias("h"), col(text).alias("t"))
@@ -430,8 +466,7 @@ class Join:
             """Of each bucket, the forest of the pairs that the bitmaps let pass."""
             for sig, size, bits, label, side in buckets(batches):
                 top, held, count = np.arange(len(sig)), [], 0
-                for i, j in partners(size, bits, label, side, t):
-                    j = j[top[j] != top[i]]
+                for i, j in partners(size, bits, label, side, t, lambda: top):
                     held.append((np.full(len(j), i), j))
                     count += len(j)
                     if count >= 1 << 17:
@@ -449,10 +484,12 @@ class Join:
         routed = routed.select("bucket", "sig", "size", "bits", "label", "side").repartition("bucket").sortWithinPartitions("bucket")
         edges = table(routed.mapInArrow(refine, "a long, b long"), "edges")
         left = table(edges.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "left")
-        groups = table(blocked(table(grouped(edges, left), "refined"), F.col("size"), bucket_entries, 512, left.count()).join(reps.select("sig", "rows"), "sig"), "buckets")
+        refined, many = table(grouped(edges, left), "refined"), left.count()
+        groups = blocked(refined, F.col("size"), bucket_entries, 512, many, not count).join(reps.select("sig", "rows"), "sig")
+        groups = table(groups.withColumn("part", F.col("sig")), "buckets")
 
         keys = reps.join(left, "sig", "left_semi").select(F.xxhash64("d", "h").alias("k"))
-        packed, bits = plain_filter(keys, "k", left.count(), bits_per_row, max_filter_mb)
+        packed, bits = plain_filter(keys, "k", many, bits_per_row, max_filter_mb)
         chosen = src.where(might_contain(df, packed, bits, F.xxhash64("d", "h")))
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,25 +499,37 @@ class Join:
                     sig, sets = whole(k, part.column(0), n)
                     yield pa.record_batch([pa.array(sig.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], ["sig", "keys"])
 
-        complete = chosen.select("t").mapInArrow(full, "sig long, keys binary").join(groups, "sig")
-
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Of each bucket, the forest of its pairs and what each set has of partners there."""
-            for sig, keys, number, label, side in buckets(batches):
+            for sig, keys, number, label, side, part in buckets(batches):
                 # a filter lets rows pass that are no representatives: equal sets come again
                 _, first = np.unique(np.stack([sig, side.astype(U)], axis=1), axis=0, return_index=True)
-                sig, number, count = sig[first], number[first], len(first)
-                top, links = np.arange(count), np.zeros(count, np.int64)
-                for a, b, *_ in exact_pairs(top, [np.frombuffer(keys[i], U) for i in first], side[first], t, label[first]):
-                    links += (np.bincount(a, number[b], count) + np.bincount(b, number[a], count)).astype(np.int64)
+                sig, number, rows = sig[first], number[first], len(first)
+                _, alike, own = np.unique(part[first], return_index=True, return_inverse=True)
+                top, links = alike[own], np.zeros(rows, np.int64)
+                for a, b, *_ in exact_pairs(np.arange(rows), [np.frombuffer(keys[i], U) for i in first], side[first], t, label[first], known=None if count else lambda: top):
+                    links += (np.bincount(a, number[b], rows) + np.bincount(b, number[a], rows)).astype(np.int64)
                     top = merged(top, a, b)
-                some = np.flatnonzero(links)
+                some = np.flatnonzero(links if count else top != np.arange(rows))
                 yield pa.record_batch([sig[some].view(np.int64), sig[top[some]].view(np.int64), links[some]], ["a", "b", "links"])
 
-        exact = complete.select("bucket", "sig", "keys", "rows", "label", "side").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "a long, b long, links long")
-        exact = table(exact, "exact")
-        sums = table(exact.groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("links")), "sums")
-        self.linked = components(exact.where("a <> b"), sums.select("sig")).join(sums, "sig")
+        def verified(groups: DataFrame, name: str) -> DataFrame:
+            complete = chosen.select("t").mapInArrow(full, "sig long, keys binary").join(groups, "sig")
+            complete = complete.select("bucket", "sig", "keys", "rows", "label", "side", "part").repartition("bucket").sortWithinPartitions("bucket")
+            return table(complete.mapInArrow(verify, "a long, b long, links long"), name)
+
+        exact = verified(groups, "exact")
+        if count:
+            sums = table(exact.groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("links")), "sums")
+            self.linked = components(exact.where("a <> b"), sums.select("sig")).join(sums, "sig")
+            return
+        large = refined.groupBy("label").agg(F.sum("size").alias("sum")).where(F.col("sum") > bucket_entries)
+        if not large.isEmpty():
+            joined = components(exact, left).withColumnRenamed("label", "part")
+            apart = table(remaining(refined.join(joined, "sig"), F.col("size"), bucket_entries).withColumn("rows", F.lit(1).cast("long")), "apart")
+            if not apart.isEmpty():
+                exact = exact.unionAll(verified(apart, "rest"))
+        self.linked = components(exact, left)
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -625,9 +674,10 @@ def near_dedup(
 
     Texts that are null or without a word stay; rows equal in doc_id and text stay or
     go together. Only the ids to drop are joined, broadcast if they are measured to
-    be below max_broadcast_mb.
+    be below max_broadcast_mb. Classes need no number of links, so pairs of what is
+    connected already are not counted.
     """
-    j = Join(df, text, doc_id, n, threshold, max_order_kb, block_entries, hot, bits_per_row, max_filter_mb, bucket_entries)
+    j = Join(df, text, doc_id, n, threshold, max_order_kb, block_entries, hot, bits_per_row, max_filter_mb, bucket_entries, count=False)
     members = j.sets.distinct().join(j.linked.select("sig", "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     w = Window.partitionBy("label").orderBy("d", "h")
     gone = table(members.withColumn("rn", F.row_number().over(w)).where("rn > 1").select("d", "h"), "gone")

@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pyspark.sql.functions as F
 
-from attestry.llm.jaccard import Join, bitmaps, exact_pairs, jaccard_join, near_dedup, possible
+from attestry.llm import jaccard
+from attestry.llm.jaccard import Join, bitmaps, blocked, exact_pairs, jaccard_join, near_dedup, possible, remaining
 
 DDL = "doc_id long, text string"
 
@@ -147,3 +148,49 @@ def test_ngrams_spread_thin_over_tasks_count_as_frequent(spark):
     rows = [(i, "known to all " + " ".join(f"r{i}x{j}" for j in range(20))) for i in range(200)]
     join = Join(spark.createDataFrame(rows, DDL).repartition(100), "text", "doc_id", 3, 0.6, 1 << 10, 1 << 20, 64, 16, 64, 1 << 19)
     assert join.classes.value.max() >= 6 and join.linked.count() == 0
+
+
+def test_classes_of_large_groups_without_all_their_pairs(spark, monkeypatch):
+    """What near_dedup sends to buckets grows with the rows of a group, not with its pairs,
+    and what the blocks side by side leave apart still meets."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(200)]
+    rows += [(1000 + i, " ".join([*words[:43], *(f"z{j}" for j in range(17)), f"y{i}"])) for i in range(90)]  # similarity 0.53 to the others, which bitmaps let pass
+    rows += [(2000 + i, " ".join(words[: 54 + i % 6]) + f" v{i}") for i in range(60)]  # other sizes
+    made, table = {}, jaccard.table
+
+    def count(df, name):
+        out = table(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "table", count)
+    want, sets = brute(rows, 0.6)
+    least = {c for _, c, _ in classes(want, sets)}
+    assert {r.doc_id for r in near_dedup(spark.createDataFrame(rows, DDL), hot=8, bucket_entries=600).collect()} == least and len(least) > 1
+    assert made["buckets"] <= 3 * made["refined"] and made["refined"] == 350 and made["apart"] and made["rest"]
+
+
+def test_what_is_apart_meets(spark):
+    """Pairs of different parts of large labels meet, pairs of the largest part do not."""
+    nodes = [(i, 1, 1 + i % 7, i % 5 if i % 3 else 0) for i in range(60)] + [(100 + i, 2, 1, 9) for i in range(60)] + [(200, 3, 1, 1), (201, 3, 1, 2)]
+    df = spark.createDataFrame(nodes, "sig long, label long, size long, part long")
+    got = {}
+    for r in remaining(df, F.lit(1), 10).collect():
+        got.setdefault(r.bucket, []).append((r.sig, r.side))
+    met = {(min(a, b), max(a, b)) for x in got.values() for (a, s), (b, r) in itertools.combinations(x, 2) if s < 0 or s != r}
+    part = {n[0]: n[3] for n in nodes if n[1] == 1}
+    assert {(a, b) for a, b in itertools.combinations(part, 2) if part[a] != part[b]} <= met
+    assert not any(part.get(a, 0) == part.get(b, 0) == 0 for a, b in met) and max(map(len, got.values())) <= 22
+    assert blocked(df, F.lit(1), 10, 10, 122, True).count() < 3 * len(nodes) < blocked(df, F.lit(1), 10, 10, 122).count()
+
+
+def test_tiles_of_what_is_connected_are_not_counted(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 40, dtype=np.uint64)
+    sets, calls = [np.unique(np.append(base, np.uint64(i))) for i in range(400)], []
+    monkeypatch.setattr(jaccard, "overlaps", lambda x, y, f=jaccard.overlaps: calls.append(1) or f(x, y))
+    top = np.arange(400)
+    for a, b, *_ in exact_pairs(np.arange(400), sets, np.full(400, -1), 0.6, rows=20, known=lambda: top):
+        top = jaccard.merged(top, a, b)
+    assert not top.any() and len(calls) == 20
