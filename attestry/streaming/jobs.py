@@ -51,16 +51,21 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def latest_states(events: DataFrame) -> DataFrame:
-    """The same of a finished log, as a batch: up to the first final event of each job."""
-    w = Window.partitionBy("job_id").orderBy("seq")
+    """The same of a finished log, as a batch: up to the first final event of each job. seq
+    is anything that has an order, a struct too. The first final events are found before
+    anything is sorted; then only what comes up to them is, job by job, and of a job's lines
+    the last LOGS are gathered."""
     final = F.col("event").isin(*FINAL)
-    before = F.max(final.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    live = events.withColumn("over", F.coalesce(before, F.lit(0))).where("over = 0")
+    ends = events.where(final).groupBy(F.col("job_id").alias("__job")).agg(F.min(F.struct("seq", "event")).alias("__end"))
+    both = events.join(ends.hint("shuffle_hash"), F.col("job_id").eqNullSafe(F.col("__job")), "left")
+    live = both.where(F.col("__end").isNull() | (F.col("seq") <= F.col("__end.seq"))).withColumn("__log", F.coalesce(~final, F.lit(True)))
+    back = Window.partitionBy("job_id").orderBy(F.desc("__log"), F.desc("seq"))
+    line = F.when(F.col("__log") & (F.col("__n") <= LOGS), F.struct((-F.col("__n")).alias("n"), "line"))
+    logs = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
     step = F.coalesce(F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv])[F.first("kind")], F.lit(3))
-    n = F.count_if(~final)
-    end = F.max_by(F.when(final, F.col("event")).otherwise("running"), "seq")
-    logs = F.transform(F.array_sort(F.filter(F.collect_list(F.struct("seq", "line", final.alias("f"))), lambda x: ~x["f"])), lambda x: x["line"])
-    return live.groupBy("job_id").agg(end.alias("status"), n.alias("lines"), F.when(end == "completed", 100).when(n == 0, 0).otherwise(F.least(F.lit(95), 5 + n * step)).alias("progress"), F.slice(logs, F.greatest(F.size(logs) - LOGS + 1, F.lit(1)), LOGS).alias("logs"))
+    n, end = F.count_if("__log"), F.coalesce(F.first("__end.event"), F.lit("running"))
+    numbered = live.withColumn("__n", F.row_number().over(back))
+    return numbered.groupBy("job_id").agg(end.alias("status"), n.alias("lines"), F.when(end == "completed", 100).when(n == 0, 0).otherwise(F.least(F.lit(95), 5 + n * step)).alias("progress"), logs.alias("logs"))
 
 
 def dedupe_status(feed: DataFrame, delay: str = "30 minutes") -> DataFrame:

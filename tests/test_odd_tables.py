@@ -1,10 +1,9 @@
 """Queries against their SQL on tables of odd rows."""
 
-import datetime
-
 import duckdb
 
 from attestry.plans.queries import ORACLE, QUERIES
+from attestry.streaming import jobs
 
 
 def both(spark, folder, name, **tables):
@@ -22,3 +21,20 @@ def test_sections_of_empty_and_repeated_documents(spark, tmp_path):
     rows = "(1, 0), (2, 1), (3, -5), (4, NULL), (5, 500), (6, 450), (7, 149), (NULL, 900), (9, 90), (9, 3000), (11, NULL), (11, 460), (12, 100000)"
     got, want = both(spark, tmp_path, "section_asof", documents=f"SELECT i::BIGINT AS doc_id, n::BIGINT AS n_chars FROM (VALUES {rows}) t(i, n)")
     assert got == want
+
+
+def test_job_states_are_not_numbered_in_one_task(spark, tmp_path):
+    kinds = "CASE WHEN i % 97 = 0 THEN NULL WHEN i % 11 < 2 THEN 'purchase' ELSE 'view' END"
+    users = "CASE WHEN i % 5 < 2 THEN 1 WHEN i % 101 = 0 THEN NULL ELSE i % 60 + 2 END"
+    rows = f"SELECT i::BIGINT AS event_id, CASE WHEN i % 13 > 0 THEN TIMESTAMP '2024-01-01' + to_seconds((i * 7919 % 3000)::BIGINT) END AS ts, ({users})::BIGINT AS user_id, CASE WHEN i % 5 < 2 AND i < 2990 THEN 'view' ELSE {kinds} END AS event_type, '' AS props FROM range(3000) t(i)"
+    got, want = both(spark, tmp_path, "latest_job_state", events=rows)
+    assert got == want
+    plan = QUERIES["latest_job_state"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_last_lines_of_a_job_in_order(spark):
+    rows = [("j", "build", i, "log", str(i)) for i in range(950)] + [("j", "build", 950, "completed", "end"), ("j", "build", 951, "log", "late"), (None, "a", 3, "failed", "x"), (None, "a", 2, "log", "y")]
+    events = spark.createDataFrame(rows, "job_id string, kind string, seq long, event string, line string").repartition(5)
+    got = {r.job_id: tuple(r)[1:] for r in jobs.latest_states(events).collect()}
+    assert got == {"j": ("completed", 950, 100, [str(i) for i in range(550, 950)]), None: ("failed", 1, 8, ["y"])}
