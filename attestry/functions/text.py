@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +40,21 @@ def trim(x: Column | str) -> Column:
     return F.regexp_replace(c(x), rf"^{WS}+|{WS}+$", "")
 
 
+def portions(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Offset and length of slices of about so many bytes, of one text at least: Spark's
+    batches have up to 64 MB, and whatever is made of them is made for one slice at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to - at
+        at = to
+
+
 @F.arrow_udf(T.StringType())
 def _nfkc(arr: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in arr.to_pylist()], pa.string())
+    out = [pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in arr.slice(*p).to_pylist()], pa.string()) for p in portions(arr)]
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def nfkc(x: Column | str) -> Column:

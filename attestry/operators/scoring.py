@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestry.functions.text import answer_correct, bound, c, hit_matches, normalize_text, spread
+from attestry.functions.text import answer_correct, bound, c, hit_matches, normalize_text, portions, spread
 
 MARK = "\u0001"
 
@@ -83,17 +84,25 @@ def _matches(h: str, a, every: str, starts: list[int], longest: int) -> list[int
     return sorted(found)
 
 
-def match_pairs(hits: DataFrame, quotes: DataFrame, hit_text: str = "text", quote_text: str = "text", max_broadcast_mb: int = 64) -> DataFrame:
-    """All columns of both sides, those of quotes first, for pairs where a hit matches a
-    quote. Quotes are broadcast in parts that are measured to be below max_broadcast_mb;
-    hits are read once a part and never shuffle. Each hit is read once for all quotes of
-    the part, by an Aho-Corasick automaton, instead of once for each."""
-    h = spread(hits).withColumn("__h", normalize_text(hit_text)).where("__h <> ''")
-    q = quotes.withColumn("__q", normalize_text(quote_text)).where("__q <> ''")
+#: About so many bytes of pairs are made before they leave the worker.
+PAIRS_BYTES = 4 << 20
+
+
+def match_pairs(hits: DataFrame, quotes: DataFrame, hit_text: str = "text", quote_text: str = "text", max_broadcast_mb: int = 64, keep: Sequence[str] | None = None) -> DataFrame:
+    """Columns of both sides, those of quotes first, for pairs where a hit matches a quote;
+    all columns, or those to keep, and no others are sent to Python. Quotes are broadcast in
+    parts that are measured to be below max_broadcast_mb; hits are read once a part and never
+    shuffle. Each hit is read once for all quotes of the part, by an Aho-Corasick automaton,
+    instead of once for each. A worker holds a batch, the strings of a portion of it and
+    PAIRS_BYTES of pairs."""
+    quotes_names, hits_names = ([x for x in d.columns if keep is None or x in keep] for d in (quotes, hits))
+    h = spread(hits).withColumn("__h", normalize_text(hit_text)).where("__h <> ''").select(*hits_names, "__h")
+    q = quotes.withColumn("__q", normalize_text(quote_text)).where("__q <> ''").select(*quotes_names, "__q")
     size = quotes.agg(F.coalesce(F.sum(F.octet_length(F.col(quote_text))), F.lit(0))).collect()[0][0]
     parts = max(1, -(-int(size) * 2 // (max_broadcast_mb << 20)))
-    names = [*quotes.columns, *hits.columns]
-    schema = T.StructType([*quotes.schema.fields, *hits.schema.fields])
+    names = [*quotes_names, *hits_names]
+    schema = T.StructType([*(quotes.schema[x] for x in quotes_names), *(hits.schema[x] for x in hits_names)])
+    wide_h, wide_q = hit_text in hits_names, quote_text in quotes_names
     out = None
     for i in range(parts):
         part = q if parts == 1 else q.where(F.pmod(F.xxhash64("__q"), F.lit(parts)) == i)
@@ -101,14 +110,27 @@ def match_pairs(hits: DataFrame, quotes: DataFrame, hit_text: str = "text", quot
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
             t = shared.value.combine_chunks()
+            lengths = pc.binary_length(t["__q"]).to_pylist() if wide_q else None
+
+            def made(batch: pa.RecordBatch, rows: list[int], ids: list[int]) -> pa.RecordBatch:
+                left = t.select(quotes_names).take(pa.array(ids, pa.int64())).combine_chunks()
+                return pa.record_batch([*(c.chunk(0) for c in left.columns), *(batch.column(c).take(pa.array(rows, pa.int64())) for c in hits_names)], names)
+
             for batch in batches:
-                pairs = [(i, j) for i, h in enumerate(batch.column("__h").to_pylist()) for j in _matches(h, *_patterns(key, t["__q"].to_pylist() if key not in _LAST else []))]
-                if pairs:
-                    rows, ids = (pa.array(x, pa.int64()) for x in zip(*pairs))
-                    left = t.select(quotes_names).take(ids).combine_chunks()
-                    yield pa.record_batch([*(c.chunk(0) for c in left.columns), *(batch.column(c).take(rows) for c in hits_names)], names)
+                texts = batch.column("__h")
+                for at, n in portions(texts):
+                    rows, ids, held = [], [], 0
+                    for r, x in enumerate(texts.slice(at, n).to_pylist(), at):
+                        for j in _matches(x, *_patterns(key, t["__q"].to_pylist() if key not in _LAST else [])):
+                            rows.append(r)
+                            ids.append(j)
+                            held += 64 + (len(x) if wide_h else 0) + (lengths[j] if wide_q else 0)
+                            if held >= PAIRS_BYTES:
+                                yield made(batch, rows, ids)
+                                rows, ids, held = [], [], 0
+                    if rows:
+                        yield made(batch, rows, ids)
 
-        quotes_names, hits_names = list(quotes.columns), list(hits.columns)
         pairs = h.mapInArrow(find, schema)
         out = pairs if out is None else out.unionAll(pairs)
     return out

@@ -1,7 +1,10 @@
 """Queries against their SQL on tables of odd rows."""
 
 import duckdb
+import pyarrow as pa
 
+from attestry.functions import text
+from attestry.operators import scoring
 from attestry.plans.queries import ORACLE, QUERIES
 from attestry.streaming import jobs
 
@@ -38,3 +41,31 @@ def test_last_lines_of_a_job_in_order(spark):
     events = spark.createDataFrame(rows, "job_id string, kind string, seq long, event string, line string").repartition(5)
     got = {r.job_id: tuple(r)[1:] for r in jobs.latest_states(events).collect()}
     assert got == {"j": ("completed", 950, 100, [str(i) for i in range(550, 950)]), None: ("failed", 1, 8, ["y"])}
+
+
+def test_documents_meet_items_once_and_without_their_text(spark, sf):
+    df = QUERIES["platform_compare"](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    makers = [x for x in plan.splitlines() if "MapInArrow" in x]
+    assert len(makers) == 1 and "text" not in makers[0] and "quote" not in makers[0]
+
+
+def test_pairs_leave_the_worker_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "PAIRS_BYTES", 500)
+    h = spark.createDataFrame([(i, f"{'x' * 300} and word{i % 7}") for i in range(40)], "hit long, text string").coalesce(1)
+    q = spark.createDataFrame([(i, f"word{i % 7}") for i in range(50)], "item long, quote string")
+    want = sorted((j, i) for i in range(40) for j in range(50) if i % 7 == j % 7)
+    wide = scoring.match_pairs(h, q, "text", "quote")
+    assert wide.columns == ["item", "quote", "hit", "text"] and sorted((r.item, r.hit) for r in wide.collect()) == want
+    narrow = scoring.match_pairs(h, q, "text", "quote", keep=("hit", "item"))
+    assert narrow.columns == ["item", "hit"] and sorted(map(tuple, narrow.collect())) == want
+
+
+def test_portions_cover_all_texts():
+    arr = pa.array(["a" * 10, None, "", "b" * 50, "c", "d" * 9, None])
+    for part in (arr, arr.slice(1, 5), arr.slice(0, 0)):
+        for most in (1, 10, 20, 1000):
+            got = list(text.portions(part, most))
+            assert [i for at, n in got for i in range(at, at + n)] == list(range(len(part)))
+            assert all(n == 1 or sum(len(x or "") for x in part.slice(at, n).to_pylist()) <= most for at, n in got)
