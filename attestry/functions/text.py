@@ -225,11 +225,18 @@ def token_weights(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     By character: CJK 150, ASCII letters and digits 45, other ASCII 80, others 100, white
     space none. By word: CJK 150, words of letters 130 (one apostrophe may join two),
-    numbers 100 (single signs may join digits). All bytes of a batch are counted at once."""
+    numbers 100 (single signs may join digits). All bytes of a portion are counted at once,
+    with about forty bytes of arrays for each."""
+    each = [_weights(arr.slice(*p)) for p in portions(arr)]
+    if not each:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([words for words, _ in each]), np.concatenate([dense for _, dense in each])
+
+
+def _weights(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """token_weights of one portion."""
     arr = arr.fill_null("") if arr.null_count else arr
     n = len(arr)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     wide = pa.types.is_large_string(arr.type)
     offs = np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32)[arr.offset : arr.offset + n + 1].astype(np.int64)
     data = arr.buffers()[2]
@@ -288,6 +295,12 @@ def _tokens(arr: pa.Array) -> pa.Array:
     return pa.array(_whole(np.maximum(words, dense)).astype(np.int32))
 
 
+@F.arrow_udf(T.StructType([T.StructField("dense_tokens", T.IntegerType()), T.StructField("tokens", T.IntegerType())]))
+def _both(arr: pa.Array) -> pa.Array:
+    words, dense = token_weights(arr)
+    return pa.StructArray.from_arrays([pa.array(_whole(x).astype(np.int32)) for x in (dense, np.maximum(words, dense))], ["dense_tokens", "tokens"])
+
+
 def estimate_dense_tokens(x: Column | str) -> Column:
     """By kind of character, in hundredths so that sums are exact."""
     return _dense(text(x))
@@ -296,3 +309,8 @@ def estimate_dense_tokens(x: Column | str) -> Column:
 def estimate_tokens(x: Column | str) -> Column:
     """The greater of the estimate by words and by characters."""
     return _tokens(text(x))
+
+
+def estimate_both(x: Column | str) -> Column:
+    """Struct of both estimates, dense_tokens and tokens, for one count."""
+    return _both(text(x))

@@ -1,5 +1,7 @@
 """Queries against their SQL on tables of odd rows."""
 
+import tracemalloc
+
 import duckdb
 import pyarrow as pa
 
@@ -69,3 +71,15 @@ def test_portions_cover_all_texts():
             got = list(text.portions(part, most))
             assert [i for at, n in got for i in range(at, at + n)] == list(range(len(part)))
             assert all(n == 1 or sum(len(x or "") for x in part.slice(at, n).to_pylist()) <= most for at, n in got)
+
+
+def test_tokens_are_counted_in_bounded_memory():
+    some = ["it's 3.14 and 文字 2024-01-02, x\u3000y ", None, "", "don't'stop 1.2.3 "]
+    arr = pa.array([x if x is None else x * 2000 for x in some] * 60)
+    want = [text.token_weights(arr.slice(i, 1)) for i in range(4)]
+    tracemalloc.start()
+    words, dense = text.token_weights(arr)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert arr.nbytes > 6 << 20 and peak < 32 << 20
+    assert words.tolist() == [int(w[0]) for w, _ in want] * 60 and dense.tolist() == [int(d[0]) for _, d in want] * 60
